@@ -125,69 +125,56 @@ def _columns(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return get("key"), get("c"), get("n").astype(np.int32), np.stack([get(f"b{i}").view(np.uint64) for i in range(BITS64)], 1)
 
 
-def _traverse(least: float):
-    """Groups of a partition sorted by key: pairs of classes, or of a group beyond ``HOT`` its key alone."""
+def _traverse(least: float, hot: int):
+    """Groups of a partition sorted by key: pairs of classes, or of a group of over ``hot`` its key alone."""
 
-    def group(c, n, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        t = Tree(bits, n)
-        for a, b in dual(t, t, least):
-            yield c[a], c[b]
-
-    def flush(key, c, n, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def flush(key, c, n, bits) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         count = np.diff(np.append(at, len(key)))
         few = (count > 1) & (count <= SMALL)
-        for a, b in small_groups(at[few], count[few], bits, n, least):
-            yield c[a], c[b]
-        for i in np.flatnonzero(count > SMALL):
+        found = [(c[a], c[b]) for a, b in small_groups(at[few], count[few], bits, n, least)]
+        for i in np.flatnonzero((count > SMALL) & (count <= hot)):
             s = slice(at[i], at[i] + count[i])
-            yield from group(c[s], n[s], bits[s])
-
-    def out(a, b, hot=None) -> pa.RecordBatch:
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        if len(lo):
-            lo, hi = np.unique(np.stack([lo, hi], 1), axis=0).T
-        z = np.zeros(len(lo), bool) if hot is None else np.ones(len(lo), bool)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(lo)), pa.array(np.ascontiguousarray(hi)), pa.array(z)], names=["a", "b", "hot"])
+            t = Tree(bits[s], n[s])
+            found += [(c[s][a], c[s][b]) for a, b in dual(t, t, least)]
+        if found:
+            yield batch(np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
+        if len(k := key[at[count > hot]]):
+            yield batch(k, k, True)
+
+    def batch(a, b, is_key=False) -> pa.RecordBatch:
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        cols = [pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(np.full(len(both), is_key))]
+        return pa.RecordBatch.from_arrays(cols, names=["a", "b", "hot"])
 
     def run(batches):
-        rest, too_many = None, None
-        for b in [*batches, None] if False else _with_end(batches):
-            if b is not None:
-                cols = _columns(b)
-                if too_many is not None:  # rows of a hot group: only passed over here
-                    keep = cols[0] != too_many
-                    cols = tuple(x[keep] for x in cols)
-                    if not len(cols[0]):
-                        continue
-                    too_many = None
-                if rest is not None:
-                    cols = tuple(np.concatenate(x) for x in zip(rest, cols))
-                if len(cols[0]) < CHUNK // 8 and cols[0][0] != cols[0][-1]:
-                    rest = cols
-                    continue
-                last = np.searchsorted(cols[0] != cols[0][-1], False) if False else int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1 if cols[0][0] != cols[0][-1] else 0
-                now, rest = tuple(x[:last] for x in cols), tuple(x[last:] for x in cols)
-                if len(rest[0]) > HOT:
-                    too_many = rest[0][0]
-                    yield out(rest[0][:1], rest[0][:1], True)
-                    rest = None
-            else:
-                now, rest = rest, None
-            if now is None or not len(now[0]):
+        held: list[tuple[np.ndarray, ...]] = []
+        rows, passing = 0, None  # passing: the hot key whose further rows are not kept
+        for b in batches:
+            cols = _columns(b)
+            if passing is not None:
+                cols = tuple(x[cols[0] != passing] for x in cols)
+            if not len(cols[0]):
                 continue
-            found = [(a, b) for a, b in flush(*now) if len(a)]
-            if found:
-                yield out(np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
+            held.append(cols)
+            rows += len(cols[0])
+            if rows < CHUNK // 8:
+                continue
+            cols = tuple(np.concatenate(x) for x in zip(*held))
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if last:
+                yield from flush(*(x[:last] for x in cols))
+            held, rows = [tuple(x[last:] for x in cols)], len(cols[0]) - last
+            if rows > hot:
+                passing = held[0][0][-1]
+                yield batch(held[0][0][:1], held[0][0][:1], True)
+                held, rows = [], 0
+        if held:
+            yield from flush(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
 
-def _with_end(batches):
-    yield from batches
-    yield None
-
-
 def _blocks(least: float):
     """One pair of blocks of a hot group: the trees of both are traversed together."""
 
@@ -243,13 +230,13 @@ def candidates(cl: DataFrame, least: float = T.THRESHOLD, hot: int = HOT) -> Dat
     rows = routed(cl)
     spark = cl.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    got = cut(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_traverse(least), "a long, b long, hot boolean").distinct())
+    got = cut(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_traverse(least, hot), "a long, b long, hot boolean").distinct())
     pairs = got.where("not hot").select("a", "b")
     if got.where("hot").isEmpty():
         return pairs
-    # a marker names one class of the hot group; all groups of that class with over HOT members are taken
-    keys = rows.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("blocks"))
-    split = rows.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    found = rows.join(got.where("hot").select(F.col("a").alias("key")), "key", "left_semi")
+    keys = found.groupBy("key").count().select("key", F.ceil(F.col("count") / hot).cast("int").alias("blocks"))
+    split = found.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     split = split.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     more = split.select("key", "i", "j", "own", "c", "n", "b0", "b1", "b2", "b3").groupBy("key", "i", "j").applyInPandas(_blocks(least), "a long, b long")
@@ -265,7 +252,7 @@ def near_pairs(texts: DataFrame, least: float = T.THRESHOLD) -> DataFrame:
     """(field, id_a, id_b) with id_a < id_b: near copies, exact copies included."""
     sets = T.word_sets(texts)
     cl = cut(T.classes(sets))
-    members = sets.select("field", F.col("id"), F.conv(F.substring("cls", 1, 15), 16, 10).cast("long").alias("c")).distinct()
+    members = sets.select("field", F.col("id"), F.xxhash64("field", "cls").alias("c")).distinct()
     links = class_links(cl, least).select("a", "b")
     # a class of several records links to itself
     own = members.groupBy("field", "c").agg(F.count("*").alias("k")).where("k > 1").select(F.col("c").alias("a"), F.col("c").alias("b"))

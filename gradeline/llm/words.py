@@ -78,7 +78,7 @@ def word_sets(texts: DataFrame) -> DataFrame:
 def classes(sets: DataFrame) -> DataFrame:
     """One row per (field, cls) with a 64-bit class number ``c``, its size and its elements."""
     one = sets.groupBy("field", "cls").agg(F.first("toks").alias("toks"))
-    return one.select("field", F.conv(F.substring("cls", 1, 15), 16, 10).cast("long").alias("c"), "cls", F.size("toks").alias("n"), "toks")
+    return one.select("field", F.xxhash64("field", "cls").alias("c"), "cls", F.size("toks").alias("n"), "toks")
 
 
 def seeds(k: int, seed: int) -> np.ndarray:
