@@ -23,6 +23,7 @@ import unicodedata as ud
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Letters of other scripts drawn like a Latin letter, after the Unicode security data (UTS 39).
 CYRILLIC_AS_LATIN = {
@@ -133,7 +134,7 @@ def canonical(df: DataFrame, text: str, out: str = "canonical_text") -> DataFram
     beside all other columns, whatever their names are. One Arrow pass, no shuffle."""
     if out in df.columns:
         raise ValueError(f"column {out} is there already")
-    schema = df.schema.add(out, "string")
+    schema = StructType([*df.schema.fields, StructField(out, StringType())])
 
     def run(batches):
         seen: dict[str, str] = {}

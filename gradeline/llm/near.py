@@ -260,3 +260,39 @@ def near_pairs(texts: DataFrame, least: float = T.THRESHOLD) -> DataFrame:
     both = links.unionByName(own)
     x = both.join(m.select(F.col("field"), F.col("c").alias("a"), F.col("id").alias("x")), "a").join(m.select("field", F.col("c").alias("b"), F.col("id").alias("y")), ["field", "b"])
     return x.where("a <> b or x < y").select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def groups(texts: DataFrame, least: float = T.THRESHOLD) -> DataFrame:
+    """One row per record with a word: its group, the least class number linked to it over any number of links, how many
+    records the group has and how many classes of other words it is linked to itself. Alone, a record is its own group."""
+    sets = T.word_sets(texts)
+    cl = cut(T.classes(sets))
+    members = sets.select("field", "id", F.xxhash64("field", "cls").alias("c")).distinct()
+    links = cut(class_links(cl, least).select("a", "b"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy("a").agg(F.count("*").alias("n_links"))
+    label = components(links)
+    m = members.join(label, members["c"] == label["node"], "left").join(degree, F.col("c") == F.col("a"), "left")
+    m = m.select("field", "id", F.coalesce("root", "c").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    size = m.groupBy("field", "group_id").agg(F.count("*").alias("n_records"))
+    return m.join(size, ["field", "group_id"]).select("field", "id", "group_id", "n_records", "n_links")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of every node with a link, by alternating large-star and small-star steps until nothing changes.
+    Each step only regroups links and writes them to the checkpoint folder; none leaves the cluster."""
+    e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    before = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        e = cut(small.select("x.u", "x.v").where("u <> v").distinct())
+        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if now == before:
+            break
+        before = now
+    roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

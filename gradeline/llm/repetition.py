@@ -82,12 +82,15 @@ def limits(measured: DataFrame, most: float | None = None) -> DataFrame:
     return out.select("lang", "source", "n_docs", (F.least(limit, F.lit(most)) if most is not None else limit).alias("limit"))
 
 
+def with_limits(measured: DataFrame, most: float | None = None) -> DataFrame:
+    """Adds ``limit`` to every document; null lang and source are groups of their own."""
+    lim = limits(measured, most).select(F.col("lang").alias("l"), F.col("source").alias("s"), "limit")
+    return measured.join(lim, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
+
+
 def flagged(docs: DataFrame, most: float | None = None) -> DataFrame:
-    """Documents at or above the limit of their lang and source, null lang and source being groups of their own."""
-    m = cut(shares(docs))
-    lim = limits(m, most)
-    on = m["lang"].eqNullSafe(lim["lang"]) & m["source"].eqNullSafe(lim["source"])
-    return m.join(lim, on).where(m["share"] >= lim["limit"]).select("doc_id", m["lang"], m["source"], "n_words", "n_repeated", "share", "limit")
+    """Documents at or above the limit of their lang and source."""
+    return with_limits(cut(shares(docs)), most).where("share >= limit")
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -96,10 +99,7 @@ def found(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """Per lang and source: documents, words, repeated words, share of repeated words, the limit and documents beyond it."""
-    m = cut(shares(docs))
-    lim = limits(m)
-    on = m["lang"].eqNullSafe(lim["lang"]) & m["source"].eqNullSafe(lim["source"])
-    return m.join(lim, on).groupBy(m["lang"], m["source"]).agg(
+    return with_limits(cut(shares(docs))).groupBy("lang", "source").agg(
         F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"), F.sum("n_repeated").alias("n_repeated"),
         F.try_divide(F.sum("n_repeated"), F.sum("n_words")).alias("share"), F.first("limit").alias("limit"), F.count_if(F.col("share") >= F.col("limit")).alias("n_beyond"),
     )
