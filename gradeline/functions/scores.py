@@ -17,7 +17,7 @@ def confidence(blank: Column, has_content: Column, n_formulas: Column, parse_rat
     if agreement is not None:
         score = F.when(agreement.isNull(), score).otherwise(0.6 * score + 0.4 * clamp(agreement, 0.0, 1.0))
     score = F.when(self_reported.isNull(), score).otherwise(0.9 * score + 0.1 * F.least(clamp(self_reported, 0.0, 1.0), F.lit(0.85)))
-    return F.when(blank, 0.95).when(~has_content, 0.15).otherwise(F.round(score, 4))
+    return F.when(blank, 0.95).when(~has_content, 0.15).otherwise(F.round(score.cast("decimal(18,8)"), 4).cast("double"))
 
 
 def centre(x: Column) -> Column:

@@ -125,3 +125,93 @@ QUERIES: dict[str, Query] = {
         SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 4) AS cosine FROM q JOIN e ON q.vec_id <> e.vec_id WHERE round(list_cosine_similarity(q.v, e.v), 4) >= 0.4""",
     ),
 }
+
+
+def drawn_pages(s, d):
+    from ..operators import imaging
+
+    return imaging.drawn(table(s, d, "booklets").select(F.regexp_extract("booklet_id", r"(\d+)", 1).cast("long").alias("id")).distinct())
+
+
+def _imaging(name):
+    def run(s, d):
+        from ..operators import imaging
+
+        return getattr(imaging, name)(drawn_pages(s, d))
+
+    return run
+
+
+def grid_answers(s, d):
+    from ..operators import imaging
+
+    return votes.resolved_rows(imaging.grid_cells(drawn_pages(s, d)), "path", "row")
+
+
+def repaired(s, d):
+    """Whole responses read by the repairing parser: how many top-level keys each has, null where it cannot be read."""
+    import pyarrow as pa
+
+    from ..functions import repair
+
+    def run(batches):
+        for b in batches:
+            got = [repair.loads(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) if isinstance(x, dict) else None for x in got], pa.int32())], names=["id", "n_keys"])
+
+    return table(s, d, "grades").select("id", "raw_response").distinct().mapInArrow(run, "id long, n_keys int")
+
+
+def parsed_formulas(s, d):
+    """Formula parse rate per model, measured by the parser."""
+    import pyarrow as pa
+
+    from ..functions import expr
+
+    def run(batches):
+        kept: dict[str, bool] = {}
+        for b in batches:
+            out = []
+            for f in b.column(1).to_pylist():
+                if f not in kept:
+                    if len(kept) > 200_000:
+                        kept.clear()
+                    kept[f] = expr.parses(f)
+                out.append(kept[f])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.bool_())], names=["actual_model", "parsed"])
+
+    t = table(s, d, "transcriber").select("transcript_id", "actual_model", "math_latex", "interleaved_markdown").distinct()
+    f = t.select("actual_model", F.explode(X.all_formulas("math_latex", "interleaved_markdown")).alias("formula"))
+    r = f.mapInArrow(run, "actual_model string, parsed boolean")
+    return r.groupBy("actual_model").agg(F.count("*").alias("total"), F.count_if("parsed").alias("parsed"), F.round(F.avg(F.col("parsed").cast("int")), 4).alias("parse_rate"))
+
+
+def option_matches(s, d):
+    """Expected expressions of a rubric's milestones that are mathematically equal to one of another path of the same question."""
+    import pyarrow as pa
+
+    from ..functions import expr
+
+    r = table(s, d, "curated_rubric").where("kind = 'open'").distinct()
+    p = r.select("rubric_id", "question_id", F.explode("paths").alias("p")).select("rubric_id", "question_id", F.col("p.path_id").alias("path_id"), F.explode("p.milestones").alias("m")).where("m.expected is not null")
+    e = p.select("rubric_id", "question_id", "path_id", F.col("m.id").alias("milestone_id"), F.col("m.expected").alias("expected"))
+    a, b = e.toDF("rubric_id", "question_id", "path_a", "m_a", "left"), e.toDF("rubric_id", "question_id", "path_b", "m_b", "right")
+
+    def run(batches):
+        for x in batches:
+            got = [expr.equivalent(u, v) for u, v in zip(x.column(4).to_pylist(), x.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*x.columns[:4], pa.array([g for g, _ in got], pa.bool_()), pa.array([h for _, h in got])], names=["rubric_id", "question_id", "m_a", "m_b", "equal", "how"])
+
+    pairs = a.join(b, ["rubric_id", "question_id"]).where("path_a < path_b").select("rubric_id", "question_id", "m_a", "m_b", "left", "right")
+    return pairs.mapInArrow(run, "rubric_id string, question_id string, m_a string, m_b string, equal boolean, how string")
+
+
+QUERIES |= {
+    "page_measures": Query(_imaging("measured")),
+    "page_regions": Query(_imaging("regions")),
+    "page_tables": Query(_imaging("tables")),
+    "page_grid_answers": Query(grid_answers),
+    "json_repair": Query(repaired),
+    "parsed_formulas": Query(parsed_formulas),
+    "expression_matches": Query(option_matches),
+}
