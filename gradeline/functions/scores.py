@@ -45,7 +45,7 @@ def fixing_score(deskew: Column, crop: Column, contrast: Column, faint: Column,
 def effective_dpi(widths_px: Column, page_inches: Column, requested: int, least_px: int = 1000) -> Column:
     """Resolution worth rendering at: that of the page's large images, from 72 up to the requested one."""
     native = F.array_max(F.transform(F.filter(widths_px, lambda w: w >= least_px), lambda w: w / page_inches))
-    return F.coalesce(clamp(F.round(native).cast("int"), 72, requested), F.lit(requested))
+    return F.when(native.isNull(), F.lit(requested)).otherwise(clamp(F.round(native).cast("int"), 72, requested))
 
 
 def box(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> Column:

@@ -85,7 +85,7 @@ QUERIES: dict[str, Query] = {
     ),
     "effective_dpi": Query(
         lambda s, d: table(s, d, "booklets").select("booklet_id", S.effective_dpi(F.transform("pages", lambda p: F.greatest(p["width"], p["height"]).cast("double")), F.lit(11.69), 300).alias("dpi")).distinct(),
-        "SELECT DISTINCT booklet_id, CAST(coalesce(least(greatest(round(list_max(list_filter(list_transform(pages, lambda p: greatest(p.width, p.height)), lambda w: w >= 1000)) / 11.69::DOUBLE), 72), 300), 300) AS INTEGER) AS dpi FROM booklets",
+        "SELECT DISTINCT booklet_id, CAST(CASE WHEN m IS NULL THEN 300 ELSE least(greatest(round(m / 11.69::DOUBLE), 72), 300) END AS INTEGER) AS dpi FROM (SELECT booklet_id, list_max(list_filter(list_transform(pages, lambda p: greatest(p.width, p.height)), lambda w: w >= 1000)) AS m FROM booklets)",
     ),
     "suit_tree": Query(
         lambda s, d: table(s, d, "part").select("p_partkey", S.suit(F.pmod("p_partkey", F.lit(10)) / 10, F.pmod("p_partkey", F.lit(2)), F.pmod(F.col("p_partkey") * 3, F.lit(20)) / 20, F.pmod(F.col("p_partkey") * 7, F.lit(50)) / 50).alias("suit")),
