@@ -174,7 +174,7 @@ def keyed(texts: DataFrame) -> DataFrame:
             raw = [xxhash.xxh3_128_hexdigest(x.encode("utf-8", "surrogatepass")) for x in t]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(look), pa.array(raw)], names=["field", "id", "look", "raw"])
 
-    return texts.select("field", "id", "text").mapInArrow(run, "field string, id string, look string, raw string").distinct()
+    return texts.where("id is not null and text is not null").select("field", "id", "text").mapInArrow(run, "field string, id string, look string, raw string").distinct()
 
 
 def look_pairs(texts: DataFrame) -> DataFrame:

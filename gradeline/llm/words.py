@@ -72,7 +72,7 @@ def word_sets(texts: DataFrame) -> DataFrame:
                 [b.column(0).take(at), b.column(1).take(at), pa.array(cls, pa.string()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["field", "id", "cls", "toks"]
             )
 
-    return texts.select("field", "id", "text").mapInArrow(run, "field string, id string, cls string, toks array<long>")
+    return texts.where("id is not null and text is not null").select("field", "id", "text").mapInArrow(run, "field string, id string, cls string, toks array<long>")
 
 
 def classes(sets: DataFrame) -> DataFrame:
