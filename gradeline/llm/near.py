@@ -252,11 +252,10 @@ def near_pairs(texts: DataFrame, least: float = T.THRESHOLD) -> DataFrame:
     """(field, id_a, id_b) with id_a < id_b: near copies, exact copies included."""
     sets = T.word_sets(texts)
     cl = cut(T.classes(sets))
-    members = sets.select("field", F.col("id"), F.xxhash64("field", "cls").alias("c")).distinct()
+    m = cut(sets.select("field", F.col("id"), F.xxhash64("field", "cls").alias("c")).distinct())
     links = class_links(cl, least).select("a", "b")
     # a class of several records links to itself
-    own = members.groupBy("field", "c").agg(F.count("*").alias("k")).where("k > 1").select(F.col("c").alias("a"), F.col("c").alias("b"))
-    m = cut(members)
+    own = m.groupBy("field", "c").agg(F.count("*").alias("k")).where("k > 1").select(F.col("c").alias("a"), F.col("c").alias("b"))
     both = links.unionByName(own)
     x = both.join(m.select(F.col("field"), F.col("c").alias("a"), F.col("id").alias("x")), "a").join(m.select("field", F.col("c").alias("b"), F.col("id").alias("y")), ["field", "b"])
     return x.where("a <> b or x < y").select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
