@@ -57,16 +57,24 @@ def close_ends(text: str) -> str:
     return text + '"' * inside + "".join(reversed(open_))
 
 
+def _variants(t: str):
+    """Repairs from none to all, each made only when it is asked for."""
+    yield t
+    yield double_backslashes(t)
+    quoted = escape_quotes(t)
+    yield quoted
+    both = double_backslashes(quoted)
+    yield both
+    yield escape_quotes(double_backslashes(t))
+    yield close_ends(both)
+
+
 def loads(text: str | None):
     """The first reading that parses: as it is, then repaired more and more; of the whole text, then of its braces. None if none does."""
     base = _FENCE.sub("", (text or "").strip()).strip()
     m = _OBJECT.search(base)
     for t in dict.fromkeys([base, m.group(0) if m else base]):
-        if not t:
-            continue
-        quoted, doubled = escape_quotes(t), double_backslashes(t)
-        both = double_backslashes(quoted)
-        for x in dict.fromkeys([t, doubled, quoted, both, escape_quotes(doubled), close_ends(both)]):
+        for x in _variants(t) if t else ():
             try:
                 return json.loads(x)
             except ValueError:

@@ -123,4 +123,5 @@ def drawn(ids: DataFrame, height: int = 400, width: int = 300) -> DataFrame:
         for b in batches:
             yield pd.DataFrame([(str(i), height, width, 1, page(int(i)).tobytes()) for i in b.iloc[:, 0]], columns=["path", "height", "width", "channels", "data"])
 
-    return ids.mapInPandas(run, "path string, height int, width int, channels int, data binary")
+    # few ids make many bytes: they are spread before they are drawn
+    return ids.repartition(max(8, ids.sparkSession.sparkContext.defaultParallelism)).mapInPandas(run, "path string, height int, width int, channels int, data binary")
