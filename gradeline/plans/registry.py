@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import general, grading, transcripts
+from . import general, grading, summaries, transcripts
 
-ALL = grading.QUERIES | transcripts.QUERIES | general.QUERIES
+ALL = grading.QUERIES | transcripts.QUERIES | general.QUERIES | summaries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
