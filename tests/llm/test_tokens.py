@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -84,3 +85,19 @@ def test_repetition(spark):
     assert repetition.found(d.limit(0)).count() == 0
     rep = repetition.report(d)
     assert rep.where("source is null").first().n_docs == 2 and rep.agg(F.sum("n_docs")).first()[0] == 6
+
+
+def test_packing_neighbours_are_those_of_the_corpus(spark):
+    rows = [(k, f"w{k % 150} v{k % 150} u{k % 150} common {'text ' * (k % 3)}", "s") for k in range(300)]  # k and k + 150 share rare words
+    d = docs(spark, rows)
+    corpus = packing.Corpus(d.select("doc_id", "text"), tokens.VOCABULARY, 32)
+    whole = corpus.index(np.arange(300))
+    free = np.ones(300, bool)
+    got = corpus.neighbours([(list(range(300)), [99] * 300, free, 100, 300)])
+    for i in range(300):
+        want = whole.scores([whole.terms[i]])[0]
+        assert len(got[0, i]) == 299 and want[got[0, i]] == pytest.approx(np.sort(np.delete(want, i))[::-1], abs=1e-4)
+    n = int(corpus.sizes.max())
+    out = packing.laid_out(d, spark.createDataFrame([("w", 2 * n)], "window_name string, capacity_tokens int"), shard=32).toPandas()
+    together = out.assign(k=out.doc_id % 150).groupby("k").window_id.nunique()
+    assert (together == 1).mean() > 0.7  # dealt to shards of 32, nearly no pair can meet
