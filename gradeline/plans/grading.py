@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scores as S, text as X
+from ..functions import repair, scores as S, text as X
 from ..operators import intake, measures, scoring, store, votes
 from .tables import Query, table
 
@@ -25,17 +25,40 @@ def current(s, d, *more):
     return store.latest(grades(s, d, "id", *GRADE_KEYS, *more), GRADE_KEYS, "id")
 
 
-#: What the rows of a grid response are read as.
-GRID = "struct<suit:string,rows:array<struct<question:int,marks:array<array<string>>,final_answer:string,note:string>>>"
+def grid_answers(responses):
+    """Answers read off grid responses (id, booklet_id, raw_response): (id, booklet_id, suit, question, letter). Responses are read
+    with repairs and out of the words around them; one that cannot be read is a single row of nulls: not gradeable."""
+
+    def whole(x):
+        return int(x) if isinstance(x, int) and not isinstance(x, bool) or isinstance(x, str) and x.strip().isdecimal() else None
+
+    def text(x):
+        return x if x is None or isinstance(x, str) else str(x)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out: list[tuple] = []
+            for i, booklet, response in zip(*(c.to_pylist() for c in b.columns)):
+                x = repair.loads(response)
+                rows = x.get("rows") if isinstance(x, dict) else None
+                if not isinstance(rows, list):
+                    out.append((i, booklet, None, None, None))
+                    continue
+                for r in rows:
+                    r = r if isinstance(r, dict) else {}
+                    out.append((i, booklet, text(x.get("suit")), whole(r.get("question")), text(r.get("final_answer"))))
+            types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string())
+            cols = list(zip(*out)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "booklet_id", "suit", "question", "letter"])
+
+    return responses.select(F.col("id").cast("long"), "booklet_id", "raw_response").mapInArrow(run, "id long, booklet_id string, suit string, question int, letter string")
 
 
 def grid_rows(s, d):
-    """Answers read off answer grids: (booklet_id, suit, question, letter, id); responses that are no JSON are not gradeable and left out."""
-    g = store.latest(grades(s, d, "id", "booklet_id", "model", "prompt_version", "raw_response").where("prompt_version = 'grid_v3'"), ["booklet_id"], "id")
-    t = X.unfenced("raw_response")
-    x = g.where(t.rlike(r'(?s)^\{.*\}$')).select("id", "booklet_id", F.from_json(t, GRID).alias("x"))
-    r = x.select("id", "booklet_id", F.col("x.suit").alias("suit"), F.explode("x.rows").alias("r"))
-    return r.select("id", "booklet_id", "suit", F.col("r.question").alias("question"), F.col("r.final_answer").alias("letter"))
+    """Answers of the latest grid response of each booklet."""
+    return grid_answers(store.latest(grades(s, d, "id", "booklet_id", "model", "prompt_version", "raw_response").where("prompt_version = 'grid_v3'"), ["booklet_id"], "id"))
 
 
 GRID_SQL = r"""
