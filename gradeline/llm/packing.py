@@ -1,75 +1,223 @@
 """Problem 6: documents laid out into windows of fixed capacity, neighbours in content together.
 
-Neighbours are those of BM25 over the whole corpus. Documents are spread over index shards by a hash of their id, but document
-frequencies and the mean length are sums over all shards, and every query goes to every shard; the shards' best are merged.
-The longest unused documents, in rounds of half of the windows still needed and of ``MOST`` at most, seed windows; the index returns the
-unused documents of the corpus that fit, best first, and each that still fits is put in. A window whose list ends before it is full asks again in the
-next round, so lists limit no window. What a round leaves is halved by the next one; the last ``LAST`` documents are packed one seed at a time.
+Four passes, each linear in the corpus.
+
+1. Every text becomes its tokens and its terms (hash, times).
+2. Document frequencies over all documents, in ``2**DF_BITS`` buckets of the term's hash, so that what the driver and
+   the executors hold is bounded; terms that share a bucket share their frequency, which can only be too high.
+3. The inverted index is sharded by content: a tree of principal directions, fitted on the ``SAMPLE`` documents of the least
+   hashes (nodes of ``LEAST_NODE`` and more, ``DEPTH`` levels at most), routes a projection of each document's weighted terms to a leaf. A leaf
+   of more than ``SHARD`` documents is cut along further bits of the projection, and where those are equal by a hash of the id, so no
+   shard grows with the corpus, whatever the texts are.
+4. Each shard is an index with the corpus's frequencies and mean length. The longest unused document seeds a window, the index returns the
+   unused documents of the shard by BM25, and each in turn that still fits is put in; a window is left when nothing fits any more.
+
 A document longer than the capacity first fills whole windows; only its rest is packed. Documents without a token
-(null or empty text) are in no window. The driver holds lengths and windows of documents, the queries of a round and their lists, no text.
-The work is that of all pairs of a seed and an unused document, so it grows as the square of the corpus.
+(null or empty text) are in no window; a repeated document counts once. The price of linear work is that a neighbour in another shard is not seen:
+the rows carry ``bm25`` of a member for its window's seed and ``bm25_mean``, the seed's mean over its shard, so that the gain can be read off.
 """
 
 from __future__ import annotations
 
-import math
-import pickle
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import cut
 from .tokens import VOCABULARY, counter
+from .words import mixed
 
-SHARD = 8192
-LAST = 2048
-MOST = 16384
-#: Terms in more than this share of the documents are scored as a matrix product, the others by their postings.
+SHARD = 4096
+DF_BITS, SAMPLE, DEPTH, DIMS, CODE_BITS = 20, 8192, 12, 64, 8
+#: Sampled documents that make a node worth splitting.
+LEAST_NODE = 64
+#: Terms in more than this share of a shard's documents are scored as a matrix product, the others by their postings.
 DENSE = 0.1
 K1, B = 1.2, 0.75
-SCHEMA = "window_name string, window_id string, doc_id long, piece int, start_token long, n_tokens long, capacity_tokens long"
+SCHEMA = "window_name string, window_id string, doc_id long, piece int, start_token long, n_tokens long, capacity_tokens long, bm25 double, bm25_mean double"
+_SIGNS = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def terms(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens, n_terms, data): tokens and terms of each document; ``data`` holds the terms' 32-bit hashes, then how often each stands."""
+
+    def run(batches):
+        import xxhash
+
+        c, seen = counter(vocabulary), {}
+        for b in batches:
+            ids, tokens, sizes, data = [], [], [], []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                chunks, counts = c.parts(text)
+                d: dict[int, int] = {}
+                for x in chunks:
+                    h = seen.get(x)
+                    if h is None:
+                        h = xxhash.xxh32_intdigest(x.strip().encode("utf-8", "surrogatepass"))
+                        if len(seen) < 400_000:
+                            seen[x] = h
+                    d[h] = d.get(h, 0) + 1
+                ids.append(i), tokens.append(sum(counts)), sizes.append(len(d))
+                data.append(np.fromiter(d, np.uint32, len(d)).tobytes() + np.fromiter(d.values(), np.uint32, len(d)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.int64()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "n_tokens", "n_terms", "data"])
+
+    rows = docs.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_terms int, data binary").dropDuplicates(["doc_id"])
+
+
+def unpacked(data, sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term hashes, times and the row of each, of several documents."""
+    sizes = np.asarray(sizes, np.int64)
+    both = np.frombuffer(b"".join(data), np.uint32)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(row)) + np.repeat(np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes)
+    return both[at], both[at + sizes[row]], row
+
+
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """Documents per bucket of terms, over all documents. Partial counts are made where the rows are; the result has ``2**DF_BITS`` numbers."""
+    mask = (1 << DF_BITS) - 1
+
+    def run(batches):
+        n = np.zeros(1 << DF_BITS, np.int64)
+        for b in batches:
+            t, _, _ = unpacked(b.column(0).to_pylist(), b.column(1).to_numpy())
+            np.add.at(n, t & mask, 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["bucket", "df"])
+
+    got = rows.select("data", "n_terms").mapInArrow(run, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
+    out = np.zeros(1 << DF_BITS, np.int64)
+    out[got.column("bucket").to_numpy()] = got.column("df").to_numpy()
+    return out
+
+
+def inverse(df: np.ndarray, n_docs: int) -> np.ndarray:
+    return np.log(1 + np.maximum(n_docs - df + 0.5, 0.5) / (df + 0.5)).astype(np.float32)
+
+
+def vectors(data, sizes, idf: np.ndarray) -> np.ndarray:
+    """Documents x ``DIMS``, of length 1: random signs of the terms summed with their weights."""
+    sizes = np.asarray(sizes, np.int64)
+    out = np.zeros((len(sizes), DIMS), np.float32)
+    step = 256
+    for i in range(0, len(sizes), step):
+        t, f, row = unpacked(data[i : i + step], sizes[i : i + step])
+        signs = np.unpackbits(mixed(t.astype(np.uint64), _SIGNS).view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32) * 2 - 1
+        w = idf[t & np.uint32(len(idf) - 1)] * (f * (K1 + 1) / (f + K1)).astype(np.float32)
+        out[i : i + step] = np.add.reduceat(signs * w[:, None], np.concatenate([[0], np.cumsum(sizes[i : i + step])[:-1]]), axis=0)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+class Router:
+    """Tree of principal directions: per node a direction, a limit and its children; leaves carry a number and their sample's mean.
+    A node of ``enough`` sampled documents or fewer is a leaf."""
+
+    def __init__(self, sample: np.ndarray, enough: float):
+        self.direction, self.limit, self.child, self.means = [], [], [], []
+        self.enough = max(enough, LEAST_NODE)
+        self.root = self._grow(sample, DEPTH)
+
+    @staticmethod
+    def _limit(along: np.ndarray) -> float:
+        """Where two groups along a line are parted best: the least sum of squares within them, a fifth of all on either side."""
+        x = np.sort(along.astype(np.float64))
+        n, k = len(x), np.arange(1, len(x))
+        s = np.cumsum(x)
+        between = s[:-1] ** 2 / k + (s[-1] - s[:-1]) ** 2 / (n - k)
+        a = max(n // 5, 1)
+        k = a + int(np.argmax(between[a - 1 : n - a]))
+        return float((x[k - 1] + x[k]) / 2)
+
+    def _grow(self, x: np.ndarray, depth: int) -> int:
+        mean = x.mean(0) if len(x) else np.zeros(DIMS, np.float32)
+        if depth and len(x) > self.enough:
+            way = np.linalg.eigh(np.cov((x - mean).T))[1][:, -1].astype(np.float32)
+            along = x @ way
+            limit = self._limit(along)
+            low = along <= limit
+            if low.any() and not low.all():
+                me = len(self.direction)
+                self.direction.append(way), self.limit.append(limit), self.child.append(None)
+                self.child[me] = (self._grow(x[low], depth - 1), self._grow(x[~low], depth - 1))
+                return me
+        self.means.append(mean)
+        return -len(self.means)
+
+    def route(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf and further bits of each vector."""
+        leaf, code = np.zeros(len(v), np.int32), np.zeros(len(v), np.int32)
+        stack = [(self.root, np.arange(len(v)))]
+        while stack:
+            node, at = stack.pop()
+            if not len(at):
+                continue
+            if node < 0:
+                leaf[at] = -node - 1
+                code[at] = ((v[at, :CODE_BITS] > self.means[-node - 1][:CODE_BITS]) << np.arange(CODE_BITS)).sum(1)
+                continue
+            low = v[at] @ self.direction[node] <= self.limit[node]
+            stack += [(self.child[node][0], at[low]), (self.child[node][1], at[~low])]
+        return leaf, code
+
+
+def dealt(rows: DataFrame, df: np.ndarray, n_docs: int, shard: int) -> DataFrame:
+    """``rows`` with the shard (leaf, part) of each document; a shard has about ``shard`` documents at most."""
+    sc = rows.sparkSession.sparkContext
+    idf = sc.broadcast(inverse(df, n_docs))
+
+    def sampled(batches):
+        for b in batches:
+            v = vectors(b.column(1).to_pylist(), b.column(2).to_numpy(), idf.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, (len(v) + 1) * DIMS, DIMS, dtype=np.int32)), pa.array(v.reshape(-1)))], names=["h", "v"])
+
+    x = np.zeros((0, DIMS), np.float32)
+    if n_docs > shard:
+        least = rows.select(F.xxhash64("doc_id").alias("h"), "data", "n_terms").orderBy("h").limit(SAMPLE)
+        x = np.array(least.mapInArrow(sampled, "h long, v array<float>").toArrow().column("v").to_pylist(), np.float32).reshape(-1, DIMS)
+    router = Router(x, shard * len(x) / max(n_docs, 1))
+
+    def run(batches):
+        for b in batches:
+            leaf, code = router.route(vectors(b.column(3).to_pylist(), b.column(2).to_numpy(), idf.value))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf), pa.array(code)], names=[*b.schema.names, "leaf", "code"])
+
+    placed = rows.mapInArrow(run, "doc_id long, n_tokens long, n_terms int, data binary, leaf int, code int")
+    # at most SAMPLE / LEAST_NODE * 5 leaves of 2**CODE_BITS codes, whatever the corpus
+    n = placed.groupBy("leaf", "code").agg(F.count("*").alias("n"))
+    every, upto = W.partitionBy("leaf"), W.partitionBy("leaf").orderBy("code")
+    size = F.sum("n").over(every)
+    n = n.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("room", size / F.ceil(size / shard))
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(6), "doc_id"), 11) / F.lit(float(1 << 53))
+    part = F.floor((F.col("before") + F.floor(u * F.col("n"))) / F.col("room")).cast("int")
+    return placed.join(F.broadcast(n), ["leaf", "code"]).select("doc_id", "n_tokens", "n_terms", "data", "leaf", part.alias("part"))
 
 
 class Index:
-    """BM25 inverted index. Terms are chunks of the tokenizer; a document is its own query. ``df`` (by term), ``n_docs`` and ``mean``
-    are those of the corpus, where the documents here are only a part of it."""
-
-    def __init__(self, docs: list[dict[int, int]], lengths: np.ndarray):
-        t = np.fromiter((x for d in docs for x in d), np.int64)
-        f = np.fromiter((x for d in docs for x in d.values()), np.float64)
-        self.build(t, f, np.repeat(np.arange(len(docs)), [len(d) for d in docs]), lengths, np.bincount(t) if len(t) else np.zeros(1), len(docs), lengths.mean())
-
-    @classmethod
-    def part(cls, *args) -> Index:
-        self = cls.__new__(cls)
-        self.build(*args)
-        return self
-
-    def build(self, t, f, row, lengths, df, n_docs: int, mean: float) -> None:
-        more = df[t] > 1 if len(t) else np.zeros(0, bool)  # a term of one document finds no neighbour
-        t, f, row = t[more], f[more], row[more]
-        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    """BM25 inverted index of a shard. ``t``, ``f``, ``row``: a term, how often and in which document; ``idf`` by term and ``mean`` length are the corpus's."""
+
+    def __init__(self, t: np.ndarray, f: np.ndarray, row: np.ndarray, lengths: np.ndarray, idf: np.ndarray, mean: float):
+        self.n = len(lengths)
+        here = np.bincount(t, minlength=len(idf))
+        more = here[t] > 1  # a term of one document finds no neighbour
+        t, f, row = t[more], f[more].astype(np.float64), row[more]
         norm = K1 * (1 - B + B * lengths / max(mean, 1e-9))
         order = np.argsort(t, kind="stable")
-        self.n, self.rows = len(lengths), row[order]
+        self.rows = row[order]
         self.weights = (idf[t] * f * (K1 + 1) / (f + norm[row]))[order]
-        self.first = np.searchsorted(t[order], np.arange(len(df) + 1))
+        self.first = np.searchsorted(t[order], np.arange(len(idf) + 1))
         self.terms = np.split(t, np.searchsorted(row, np.arange(1, self.n)))
-        self.found: dict[int, np.ndarray] = {}
-        self.common = np.flatnonzero(df > DENSE * n_docs)
-        self.dense = None
+        common = np.flatnonzero(here > max(DENSE * self.n, 1))
+        self.place = np.full(len(idf), -1)
+        self.place[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        for k, c in enumerate(common):
+            a, b = self.first[c], self.first[c + 1]
+            self.dense[k, self.rows[a:b]] = self.weights[a:b]
 
     def scores(self, queries: list[np.ndarray]) -> np.ndarray:
         """A row per query (distinct terms), a column per document."""
-        if self.dense is None:
-            self.dense = np.zeros((len(self.common), self.n), np.float32)
-            for k, t in enumerate(self.common):
-                a, b = self.first[t], self.first[t + 1]
-                self.dense[k, self.rows[a:b]] = self.weights[a:b]
-            self.place = np.full(len(self.first) - 1, -1)
-            self.place[self.common] = np.arange(len(self.common))
-        has = np.zeros((len(queries), len(self.common)), np.float32)
+        has = np.zeros((len(queries), len(self.dense)), np.float32)
         rest = []
         for k, q in enumerate(queries):
             p = self.place[q]
@@ -78,24 +226,24 @@ class Index:
         out = has @ self.dense
         for k, q in enumerate(rest):
             a, b = self.first[q], self.first[q + 1]
-            at = [slice(x, y) for x, y in zip(a.tolist(), b.tolist()) if y > x]
-            if at:
-                out[k] += np.bincount(np.concatenate([self.rows[s] for s in at]), np.concatenate([self.weights[s] for s in at]), self.n)
+            if (size := b - a).sum():
+                at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+                out[k] += np.bincount(self.rows[at], self.weights[at], self.n)
         return out
 
-    def neighbours(self, i: int) -> np.ndarray:
-        """All other documents, best first; those that share no term come last, in order."""
-        if i not in self.found:
-            score = self.scores([self.terms[i]])[0]
-            score[i] = -1
-            self.found[i] = np.argsort(-score, kind="stable")[:-1].astype(np.int32)
-        return self.found[i]
+    def every(self) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of all documents for each, and for each all others, best first; those that share no term come last, in order."""
+        score = np.concatenate([self.scores(self.terms[i : i + 256]) for i in range(0, self.n, 256)])
+        key = score.copy()
+        np.fill_diagonal(key, -1)
+        return score, np.argsort(-key, axis=1, kind="stable")[:, :-1].astype(np.int32)
 
 
-def fill(near: np.ndarray, rest: np.ndarray, unused: np.ndarray, room: int, take) -> int:
-    """Takes of the documents ``near``, in order, each unused one that fits; the room left."""
+def fill(near: np.ndarray, rest: np.ndarray, unused: np.ndarray, room: int) -> tuple[list[int], int]:
+    """The unused documents of ``near``, in order, that fit one after the other; the room left."""
     near = near[unused[near]]
     need = rest[near]
+    got: list[int] = []
     at = 0
     while room and at < len(near):
         fits = need[at:] <= room
@@ -103,258 +251,65 @@ def fill(near: np.ndarray, rest: np.ndarray, unused: np.ndarray, room: int, take
         if not fits[k]:
             break
         at += k
-        take(int(near[at]))
-        unused[near[at]] = False
+        got.append(int(near[at]))
         room -= int(need[at])
         at += 1
-    return room
-
-
-class Layout:
-    """Windows of one capacity while they are filled: per document the window of its rest, and the windows with room (seed, room)."""
-
-    def __init__(self, sizes: np.ndarray, capacity: int):
-        self.capacity, self.rest = capacity, (sizes % capacity).astype(np.int64)
-        self.unused = self.rest > 0
-        self.window = np.full(len(sizes), -1, np.int64)
-        self.n_windows = 0
-        self.open: dict[int, int] = {}
-
-    def seed(self, i: int) -> None:
-        self.unused[i] = False
-        self.window[i] = self.n_windows
-        self.n_windows += 1
-        self.open[i] = self.capacity - int(self.rest[i])
-
-    def fill(self, seed: int, near: np.ndarray, whole: bool) -> None:
-        """Fills the seed's window, a new one for an unused seed, from its list; it is closed if the list is ``whole``."""
-        if self.unused[seed]:
-            self.seed(seed)
-        elif seed not in self.open:
-            return  # taken by an earlier one
-        w = self.window[seed]
-
-        def take(d):
-            self.window[d] = w
-
-        self.open[seed] = fill(near, self.rest, self.unused, self.open[seed], take)
-        if whole:
-            del self.open[seed]
-
-    def close(self) -> None:
-        """Closes windows with less room than the shortest unused document needs."""
-        least = self.rest[self.unused].min(initial=self.capacity + 1)
-        self.open = {s: r for s, r in self.open.items() if r >= least}
-
-    def queries(self) -> tuple[list[int], list[int], int]:
-        """Seeds of the round, older windows first, then the longest unused documents, with their room and the length of their lists.
-        The latter are no seeds yet: an earlier one of the round may take them."""
-        self.close()
-        left = np.flatnonzero(self.unused)
-        total = int(self.rest[left].sum())
-        new = max((total - sum(self.open.values())) // self.capacity // 2, not self.open)
-        new = left[np.argsort(-self.rest[left], kind="stable")[: min(new, MOST)]]
-        alone = self.capacity - self.rest[new] < self.rest[left].min(initial=self.capacity)
-        for d in new[alone].tolist():
-            self.seed(d)
-        self.close()
-        seeds = sorted(self.open, key=lambda s: self.window[s]) + new[~alone].tolist()
-        rooms = [self.open.get(s, self.capacity - int(self.rest[s])) for s in seeds]
-        return seeds, rooms, 16 + 2 * math.ceil(max(rooms, default=0) * len(left) / max(total, 1))
-
-    def finish(self, index: Index, place: np.ndarray) -> None:
-        """The rest, one seed at a time. ``place``: the documents of the index, which has all unused ones and all seeds."""
-        at = {int(d): k for k, d in enumerate(place)}
-        while True:
-            self.close()
-            left = np.flatnonzero(self.unused)
-            if not len(left):
-                return
-            if not self.open:
-                self.seed(int(left[np.argmax(self.rest[left])]))
-            for s in sorted(self.open, key=lambda s: self.window[s]):
-                self.fill(s, place[index.neighbours(at[s])], True)
-
-
-def _shards(texts: DataFrame, vocabulary: str, shards: int) -> DataFrame:
-    """(shard, n_docs, data): a row per shard with its documents' ids, lengths, and terms by hash."""
-
-    def run(key, pdf):
-        from hashlib import blake2b
-
-        import pandas as pd
-
-        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id", kind="stable")
-        c = counter(vocabulary)
-        ids: dict[str, int] = {}
-        codes, times, ends, n = [], [], [0], []
-        for t in pdf["text"]:
-            chunks, counts = c.parts(t)
-            d: dict[int, int] = {}
-            for x in chunks:
-                k = ids.setdefault(x.strip(), len(ids))
-                d[k] = d.get(k, 0) + 1
-            codes.append(np.fromiter(d, np.int32, len(d)))
-            times.append(np.fromiter(d.values(), np.int32, len(d)))
-            ends.append(ends[-1] + len(d))
-            n.append(sum(counts))
-        hashes = np.frombuffer(b"".join(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in ids), np.int64)
-        data = (pdf["doc_id"].to_numpy(np.int64), np.array(n, np.int64), hashes, np.concatenate(codes), np.concatenate(times), np.array(ends))
-        return pd.DataFrame({"shard": [int(key[0])], "n_docs": [len(n)], "data": [pickle.dumps(data, 5)]})
-
-    return texts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("shard").applyInPandas(run, "shard long, n_docs long, data binary")
-
-
-def _each(shards: DataFrame, f, schema: str) -> DataFrame:
-    """``f(shard, data)`` yields the arrow batches of a shard."""
-
-    def run(batches):
-        for b in batches:
-            for s, data in zip(b.column(0).to_pylist(), b.column(1)):
-                yield from f(s, pickle.loads(data.as_buffer()))
-
-    return shards.select("shard", "data").mapInArrow(run, schema)
-
-
-def _lists(values: np.ndarray, lengths) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values)
-
+    unused[got] = False
+    return got, room
 
-class Corpus:
-    """The index shards, and what the driver knows of them."""
 
-    def __init__(self, texts: DataFrame, vocabulary: str, shard: int):
-        self.sc = texts.sparkSession.sparkContext
-        self.shards = cut(_shards(texts, vocabulary, max(1, math.ceil(texts.count() / shard))))
-
-        def lengths(s, x):
-            yield pa.RecordBatch.from_arrays([pa.array([s]), _lists(pa.array(x[1]), [len(x[1])])], names=["shard", "n"])
-
-        def terms(s, x):
-            yield pa.RecordBatch.from_arrays([pa.array(x[2]), pa.array(np.bincount(x[3], minlength=len(x[2])).astype(np.int64))], names=["h", "df"])
-
-        n = sorted(((r.shard, np.array(r.n, np.int64)) for r in _each(self.shards, lengths, "shard long, n array<long>").collect()), key=lambda r: r[0])
-        ends = np.cumsum([0, *(len(x) for _, x in n)])
-        base = {s: int(e) for (s, _), e in zip(n, ends)}
-        self.sizes = np.concatenate([np.zeros(0, np.int64), *(x for _, x in n)])
-        t = _each(self.shards, terms, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).where("df > 1").toArrow()
-        h, df = (t.column(c).to_numpy() for c in ("h", "df"))
-        order = np.argsort(h)
-        self.known = self.sc.broadcast((base, h[order], np.append(df[order], 0), len(self.sizes), float(self.sizes.mean()) if len(self.sizes) else 0.0))
-
-    @staticmethod
-    def numbers(known, x) -> np.ndarray:
-        """Global numbers of a shard's terms; those of one document get the last, of frequency 0."""
-        h = known[1]
-        at = np.searchsorted(h, x[2])
-        return np.where((at < len(h)) & (h[np.minimum(at, max(len(h) - 1, 0))] == x[2]), at, len(h)) if len(h) else np.zeros(len(x[2]), np.int64)
-
-    def terms(self, docs: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Terms and how often, of some documents."""
-        known, numbers, wanted = self.known, self.numbers, self.sc.broadcast(np.sort(docs))
-
-        def run(s, x):
-            k = known.value
-            g, w = numbers(k, x), wanted.value - k[0][s]
-            w = w[(w >= 0) & (w < len(x[1]))]
-            if len(w):
-                at = [np.arange(x[5][i], x[5][i + 1]) for i in w]
-                size, at = [len(a) for a in at], np.concatenate(at)
-                yield pa.RecordBatch.from_arrays([pa.array(w + k[0][s]), _lists(pa.array(g[x[3][at]].astype(np.int32)), size), _lists(pa.array(x[4][at]), size)], names=["doc", "t", "f"])
-
-        got = _each(self.shards, run, "doc long, t array<int>, f array<int>").toArrow()
-        out = {d: (t.values.to_numpy(), f.values.to_numpy()) for d, t, f in zip(got.column("doc").to_pylist(), got.column("t"), got.column("f"))}
-        wanted.destroy()
-        return out
-
-    def index(self, docs: np.ndarray) -> Index:
-        """Index of some documents with the corpus's statistics."""
-        x, (_, _, df, n, mean) = self.terms(docs), self.known.value
-        t, f = (np.concatenate([x[d][k] for d in docs.tolist()]).astype(np.int64) for k in (0, 1))
-        return Index.part(t, f, np.repeat(np.arange(len(docs)), [len(x[d][0]) for d in docs.tolist()]), self.sizes[docs], df, n, mean)
-
-    def neighbours(self, asked: list[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, int]]) -> dict[tuple[int, int], np.ndarray]:
-        """Per entry (seeds, rooms, documents that count, what they need, length of lists): by (entry, seed) the best documents of the corpus that fit, best first."""
-        terms = self.terms(np.unique(np.concatenate([np.array(a[0], np.int64) for a in asked])))
-        flat = [(np.array(s, np.int64), np.array(r), np.packbits(u), need, k, [terms[i][0] for i in s]) for s, r, u, need, k in asked]
-        known, numbers, sent = self.known, self.numbers, self.sc.broadcast([(s, r, u, need, k, np.concatenate([np.zeros(0, np.int32), *t]), np.cumsum([0, *map(len, t)])) for s, r, u, need, k, t in flat])
-
-        def run(shard, x):
-            base, _, df, n_docs, mean = known.value
-            g, a, n = numbers(known.value, x), base[shard], len(x[1])
-            row = np.repeat(np.arange(n), np.diff(x[5]))
-            for e, (seeds, rooms, bits, capacity, k, ts, ends) in enumerate(sent.value):
-                own = np.flatnonzero(np.unpackbits(bits, count=n_docs)[a : a + n])
-                if not len(own) or not len(seeds):
-                    continue
-                new = np.full(n, -1)
-                new[own] = np.arange(len(own))
-                keep = new[row] >= 0
-                index = Index.part(g[x[3][keep]], x[4][keep].astype(np.float64), new[row[keep]], x[1][own], df, n_docs, mean)
-                rest = x[1][own] % capacity
-                for i in range(0, len(seeds), 256):
-                    q = range(i, min(i + 256, len(seeds)))
-                    s = index.scores([ts[ends[j] : ends[j + 1]] for j in q])
-                    s[rest[None, :] > rooms[i : i + len(q), None]] = -1
-                    own_row = np.flatnonzero((seeds[i : i + len(q)] >= a) & (seeds[i : i + len(q)] < a + n))
-                    own_col = new[seeds[i + own_row] - a]
-                    s[own_row[own_col >= 0], own_col[own_col >= 0]] = -1
-                    best = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(own) else np.tile(np.arange(len(own)), (len(q), 1))
-                    v = np.take_along_axis(s, best, 1)
-                    ok = v >= 0
-                    pairs = pa.StructArray.from_arrays([pa.array(v[ok].astype(np.float32)), pa.array(-(own[best[ok]] + a))], names=["score", "doc"])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), e, np.int32)), pa.array(seeds[i : i + len(q)]), _lists(pairs, ok.sum(1))], names=["entry", "seed", "best"])
-
-        best = _each(self.shards, run, "entry int, seed long, best array<struct<score:float,doc:long>>")
-        k = F.element_at(F.array(*(F.lit(int(a[4])) for a in asked)), F.col("entry") + 1)
-        merged = best.groupBy("entry", "seed").agg(F.flatten(F.collect_list("best")).alias("best"))
-        got = merged.select("entry", "seed", F.transform(F.slice(F.sort_array("best", False), F.lit(1), k), lambda x: -x["doc"]).alias("best")).toArrow()
-        out = {(e, s): b.values.to_numpy() for e, s, b in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2))}
-        sent.destroy()
-        return out
+def windows(sizes: np.ndarray, capacity: int, near: np.ndarray) -> list[list[int]]:
+    """Documents' rests laid out into windows, the seed of each first. ``near``: for each document all others, best first."""
+    rest = sizes % capacity
+    unused = rest > 0
+    out = []
+    for seed in np.argsort(-rest, kind="stable").tolist():
+        if unused[seed]:
+            unused[seed] = False
+            out.append([seed, *fill(near[seed], rest, unused, capacity - int(rest[seed]))[0]])
+    return out
 
 
 def laid_out(docs: DataFrame, sizes: DataFrame, vocabulary: str = VOCABULARY, shard: int = SHARD) -> DataFrame:
-    """A row per document piece: window, place and tokens. ``sizes`` (a handful of rows) has the windows' names and capacities."""
+    """A row per document piece: window, place, tokens and score. ``sizes`` (a handful of rows) has the windows' names and capacities."""
     capacities = [(r.window_name, int(r.capacity_tokens)) for r in sizes.where("capacity_tokens > 0").select("window_name", "capacity_tokens").distinct().orderBy("window_name").collect()]
-    corpus = Corpus(docs.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text"), vocabulary, shard)
-    layouts = [Layout(corpus.sizes, c) for _, c in capacities]
-    last = min(shard, LAST)
-    while busy := [x for x in layouts if int(x.unused.sum()) > last]:
-        asked = []
-        for x in busy:
-            seeds, rooms, k = x.queries()
-            asked.append((seeds, rooms, x.unused.copy(), x.capacity, k))
-        got = corpus.neighbours(asked) if any(a[0] for a in asked) else {}
-        nothing = np.zeros(0, np.int64)
-        for e, (x, (seeds, _, _, _, k)) in enumerate(zip(busy, asked)):
-            for s in seeds:
-                near = got.get((e, s), nothing)
-                x.fill(s, near, len(near) < k)
-    for x in layouts:
-        place = np.union1d(np.flatnonzero(x.unused), np.array(list(x.open), np.int64))
-        if len(place):
-            x.finish(corpus.index(place), place)
-    known, windows = corpus.known, corpus.sc.broadcast([x.window for x in layouts])
-
-    def rows(s, x):
-        ids, n, a = x[0], x[1], known.value[0][s]
-        for (name, capacity), window in zip(capacities, windows.value):
-            w, full = window[a : a + len(n)], n // capacity
-            out = [(f"{d}-{k}", d, k, k * capacity, capacity) for d, f in zip(ids.tolist(), full.tolist()) for k in range(f)]
-            out += [(str(v), d, f, f * capacity, m - f * capacity) for d, v, f, m in zip(ids.tolist(), w.tolist(), full.tolist(), n.tolist()) if v >= 0]
-            if out:
-                wid, d, piece, start, k = zip(*out)
-                cols = [pa.array([name] * len(out)), pa.array(wid), pa.array(d, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(k, pa.int64()), pa.array([capacity] * len(out), pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return _each(corpus.shards, rows, SCHEMA)
+    rows = cut(terms(docs, vocabulary))
+    n_docs, mean = rows.agg(F.count("*"), F.coalesce(F.avg("n_tokens"), F.lit(0.0))).first()
+    df = frequencies(rows)
+    idf = docs.sparkSession.sparkContext.broadcast(inverse(df, n_docs))
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("doc_id", kind="stable")
+        ids, n = pdf["doc_id"].to_numpy(np.int64), pdf["n_tokens"].to_numpy(np.int64)
+        t, f, row = unpacked(pdf["data"].tolist(), pdf["n_terms"].to_numpy())
+        known, local = np.unique(t, return_inverse=True)
+        score, near = Index(local, f, row, n, idf.value[known & np.uint32(len(idf.value) - 1)], mean).every()
+        usual = (score.sum(1) - np.diagonal(score)) / max(len(ids) - 1, 1)
+        name = f"{pdf['leaf'].iloc[0]}.{pdf['part'].iloc[0]}"
+        out = []
+        for size, capacity in capacities:
+            for d, k in zip(ids[n >= capacity].tolist(), (n[n >= capacity] // capacity).tolist()):
+                out += [(size, f"d{d}.{j}", d, j, j * capacity, capacity, capacity, None, None) for j in range(k)]
+            for w, members in enumerate(windows(n, capacity, near)):
+                for m in members:
+                    full = int(n[m]) // capacity
+                    own = m == members[0]
+                    out.append((size, f"{name}.{w}", int(ids[m]), full, full * capacity, int(n[m]) - full * capacity, capacity, None if own else float(score[members[0], m]), float(usual[members[0]])))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return dealt(rows, df, n_docs, shard).groupBy("leaf", "part").applyInPandas(run, SCHEMA)
 
 
 def report(docs: DataFrame, sizes: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Per window size: windows, documents, tokens, share of room filled, fewest windows that could hold the tokens."""
-    w = laid_out(docs, sizes, vocabulary).groupBy("window_name", "capacity_tokens", "window_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("pieces"), F.count_if(F.col("piece") == 0).alias("first_pieces"))
+    """Per window size: windows, documents, tokens, share of room filled, fewest windows that could hold the tokens, and how much better
+    than a document of the shard the members score for their window's seed."""
+    w = laid_out(docs, sizes, vocabulary).groupBy("window_name", "capacity_tokens", "window_id").agg(
+        F.sum("n_tokens").alias("used"), F.count_if(F.col("piece") == 0).alias("first_pieces"), F.sum("bm25").alias("bm25"), F.sum(F.when(F.col("bm25").isNotNull(), F.col("bm25_mean"))).alias("usual"),
+    )
     return w.groupBy("window_name", "capacity_tokens").agg(
         F.count("*").alias("n_windows"), F.sum("first_pieces").alias("n_docs"), F.sum("used").alias("n_tokens"),
         (F.sum("used") / (F.count("*") * F.first("capacity_tokens"))).alias("filled"), F.ceil(F.sum("used") / F.first("capacity_tokens")).alias("least_windows"),
+        F.try_divide(F.sum("bm25"), F.sum("usual")).alias("score_to_mean"),
     )

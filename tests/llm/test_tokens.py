@@ -47,11 +47,17 @@ def test_packing(spark):
     assert packing.laid_out(docs(spark, rows).limit(0), sizes).count() == 0 and packing.laid_out(docs(spark, rows), sizes.limit(0)).count() == 0
 
 
-def test_neighbours_share_content():
-    import numpy as np
-
-    i = packing.Index([{0: 1, 1: 1}, {0: 1, 2: 1}, {3: 2}, {3: 1, 1: 1}], np.array([2, 2, 2, 2]))
-    assert i.neighbours(0)[0] in (1, 3) and i.neighbours(2)[0] == 3 and len(i.neighbours(1)) == 3
+def test_index_gives_bm25():
+    docs = [{0: 1, 1: 1}, {0: 1, 2: 1}, {3: 2}, {3: 1, 1: 1}, {4: 3, 0: 2, 1: 1}]
+    t, f, row = (np.array(x) for x in zip(*((k, n, i) for i, d in enumerate(docs) for k, n in d.items())))
+    lengths, idf, mean = np.array([2, 2, 2, 2, 6]), np.array([0.5, 0.7, 2.0, 1.0, 3.0]), 3.0
+    i = packing.Index(t, f, row, lengths, idf, mean)
+    score, near = i.every()
+    for a, x in enumerate(docs):
+        for b, y in enumerate(docs):
+            want = sum(idf[k] * y[k] * 2.2 / (y[k] + 1.2 * (0.25 + 0.75 * lengths[b] / mean)) for k in x if k in y)
+            assert a == b or score[a, b] == pytest.approx(want, rel=1e-5)
+        assert sorted([a, *near[a].tolist()]) == list(range(5)) and (np.diff(score[a][near[a]]) <= 1e-6).all()
 
 
 def test_mixture(spark):
@@ -87,17 +93,23 @@ def test_repetition(spark):
     assert rep.where("source is null").first().n_docs == 2 and rep.agg(F.sum("n_docs")).first()[0] == 6
 
 
-def test_packing_neighbours_are_those_of_the_corpus(spark):
-    rows = [(k, f"w{k % 150} v{k % 150} u{k % 150} common {'text ' * (k % 3)}", "s") for k in range(300)]  # k and k + 150 share rare words
+def test_shards_are_cut_by_content(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, " ".join(f"topic{k % 8}word{w}" for w in r.integers(0, 30, 40)), "s") for k in range(1600)] + [(5000 + k, "the same text", "s") for k in range(700)]
     d = docs(spark, rows)
-    corpus = packing.Corpus(d.select("doc_id", "text"), tokens.VOCABULARY, 32)
-    whole = corpus.index(np.arange(300))
-    free = np.ones(300, bool)
-    got = corpus.neighbours([(list(range(300)), [99] * 300, free, 100, 300)])
-    for i in range(300):
-        want = whole.scores([whole.terms[i]])[0]
-        assert len(got[0, i]) == 299 and want[got[0, i]] == pytest.approx(np.sort(np.delete(want, i))[::-1], abs=1e-4)
-    n = int(corpus.sizes.max())
-    out = packing.laid_out(d, spark.createDataFrame([("w", 2 * n)], "window_name string, capacity_tokens int"), shard=32).toPandas()
-    together = out.assign(k=out.doc_id % 150).groupby("k").window_id.nunique()
-    assert (together == 1).mean() > 0.7  # dealt to shards of 32, nearly no pair can meet
+    terms = packing.cut(packing.terms(d))
+    df = packing.frequencies(terms)
+    n = terms.count()
+    assert n == 2300 and df.max() == 700
+    placed = packing.dealt(terms, df, n, 256).toPandas()
+    assert len(placed) == n and placed.doc_id.is_unique
+    size = placed.groupby(["leaf", "part"]).size()
+    assert size.max() <= 1.4 * 256  # copies of one text, a third of all, are cut by a hash
+    own = placed[placed.doc_id < 1600]
+    most = own.assign(topic=own.doc_id % 8).groupby(["leaf", "part"]).topic.agg(lambda x: x.value_counts().iloc[0]).sum() / len(own)
+    assert most > 0.8  # dealt by hash it is about an eighth
+    sizes = spark.createDataFrame([("w", 2048)], "window_name string, capacity_tokens int")
+    out = packing.laid_out(d, sizes, shard=256)
+    assert out.select("doc_id").distinct().count() == n
+    r = packing.report(d, sizes).first()
+    assert r.n_docs == n and r.score_to_mean > 1
