@@ -231,17 +231,13 @@ class Index:
                 out[k] += np.bincount(self.rows[at], self.weights[at], self.n)
         return out
 
-    def every(self) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of all documents for each, and for each all others, best first; those that share no term come last, in order."""
-        score = np.concatenate([self.scores(self.terms[i : i + 256]) for i in range(0, self.n, 256)])
-        key = score.copy()
-        np.fill_diagonal(key, -1)
-        return score, np.argsort(-key, axis=1, kind="stable")[:, :-1].astype(np.int32)
+    def every(self) -> np.ndarray:
+        """Scores of all documents (columns) for each (rows)."""
+        return np.concatenate([self.scores(self.terms[i : i + 256]) for i in range(0, self.n, 256)])
 
 
-def fill(near: np.ndarray, rest: np.ndarray, unused: np.ndarray, room: int) -> tuple[list[int], int]:
-    """The unused documents of ``near``, in order, that fit one after the other; the room left."""
-    near = near[unused[near]]
+def fill(near: np.ndarray, rest: np.ndarray, room: int) -> list[int]:
+    """The documents of ``near``, in order, that fit one after the other."""
     need = rest[near]
     got: list[int] = []
     at = 0
@@ -254,19 +250,22 @@ def fill(near: np.ndarray, rest: np.ndarray, unused: np.ndarray, room: int) -> t
         got.append(int(near[at]))
         room -= int(need[at])
         at += 1
-    unused[got] = False
-    return got, room
+    return got
 
 
-def windows(sizes: np.ndarray, capacity: int, near: np.ndarray) -> list[list[int]]:
-    """Documents' rests laid out into windows, the seed of each first. ``near``: for each document all others, best first."""
+def windows(sizes: np.ndarray, capacity: int, score: np.ndarray) -> list[list[int]]:
+    """Documents' rests laid out into windows, the seed of each first; then the unused documents by the seed's ``score``, equal ones in order."""
     rest = sizes % capacity
     unused = rest > 0
     out = []
     for seed in np.argsort(-rest, kind="stable").tolist():
         if unused[seed]:
             unused[seed] = False
-            out.append([seed, *fill(near[seed], rest, unused, capacity - int(rest[seed]))[0]])
+            room = capacity - int(rest[seed])
+            near = np.flatnonzero(unused & (rest <= room))
+            got = fill(near[np.argsort(-score[seed, near], kind="stable")], rest, room)
+            unused[got] = False
+            out.append([seed, *got])
     return out
 
 
@@ -285,14 +284,14 @@ def laid_out(docs: DataFrame, sizes: DataFrame, vocabulary: str = VOCABULARY, sh
         ids, n = pdf["doc_id"].to_numpy(np.int64), pdf["n_tokens"].to_numpy(np.int64)
         t, f, row = unpacked(pdf["data"].tolist(), pdf["n_terms"].to_numpy())
         known, local = np.unique(t, return_inverse=True)
-        score, near = Index(local, f, row, n, idf.value[known & np.uint32(len(idf.value) - 1)], mean).every()
+        score = Index(local, f, row, n, idf.value[known & np.uint32(len(idf.value) - 1)], mean).every()
         usual = (score.sum(1) - np.diagonal(score)) / max(len(ids) - 1, 1)
         name = f"{pdf['leaf'].iloc[0]}.{pdf['part'].iloc[0]}"
         out = []
         for size, capacity in capacities:
             for d, k in zip(ids[n >= capacity].tolist(), (n[n >= capacity] // capacity).tolist()):
                 out += [(size, f"d{d}.{j}", d, j, j * capacity, capacity, capacity, None, None) for j in range(k)]
-            for w, members in enumerate(windows(n, capacity, near)):
+            for w, members in enumerate(windows(n, capacity, score)):
                 for m in members:
                     full = int(n[m]) // capacity
                     own = m == members[0]

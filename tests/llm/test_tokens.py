@@ -52,12 +52,13 @@ def test_index_gives_bm25():
     t, f, row = (np.array(x) for x in zip(*((k, n, i) for i, d in enumerate(docs) for k, n in d.items())))
     lengths, idf, mean = np.array([2, 2, 2, 2, 6]), np.array([0.5, 0.7, 2.0, 1.0, 3.0]), 3.0
     i = packing.Index(t, f, row, lengths, idf, mean)
-    score, near = i.every()
+    score = i.every()
     for a, x in enumerate(docs):
         for b, y in enumerate(docs):
             want = sum(idf[k] * y[k] * 2.2 / (y[k] + 1.2 * (0.25 + 0.75 * lengths[b] / mean)) for k in x if k in y)
             assert a == b or score[a, b] == pytest.approx(want, rel=1e-5)
-        assert sorted([a, *near[a].tolist()]) == list(range(5)) and (np.diff(score[a][near[a]]) <= 1e-6).all()
+    w = packing.windows(lengths, 8, score)
+    assert w == [[4, max((0, 1, 2, 3), key=lambda d: score[4, d])], *w[1:]] and sorted(sum(w, [])) == list(range(5)) and len(w) == 2
 
 
 def test_mixture(spark):
