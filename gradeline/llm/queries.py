@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": _with(truncation.found, "grades", "transcriber"),
         "p1_rates": _with(truncation.report, "grades", "transcriber"),
+        "p1_limits": _with(truncation.limits, "grades", "transcriber"),
         "p2_found": _with(overlap.pairs, "curated_cases", "curated_cases_heldout"),
         "p2_report": _with(overlap.report, "curated_cases", "curated_cases_heldout"),
         "p3_found": lambda s, d: looks.look_pairs(_looks(s, d)),

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from . import truncation as T
-
-
-def _quoted(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
-P1_FOUND = f"""
+#: Written from the definition of the cases: a response is whole if the last part of its format stands complete, a plain text if it ends with a full stop.
+_P1 = r"""
 WITH r AS (
-  SELECT 'grades' AS source_table, CAST(id AS VARCHAR) AS record_id, raw_response AS t FROM grades UNION SELECT 'transcriber', transcript_id, raw_text FROM transcriber
-), x AS (SELECT source_table, record_id, t, regexp_replace(t, '\\s+$', '') AS s FROM r WHERE t IS NOT NULL AND NOT regexp_matches(t, '^\\s*$') AND record_id IS NOT NULL)
-SELECT DISTINCT source_table, record_id FROM x WHERE CASE WHEN regexp_matches(t, {_quoted(T.JSON_START)})
-  THEN NOT (regexp_matches(t, {_quoted(T.OPEN_END)}) OR (contains(t, '"rows"') AND NOT contains(t, '"path_followed"') AND regexp_matches(t, {_quoted(T.GRID_END)})) OR regexp_matches(t, {_quoted(T.TRANSCRIPT_END)}))
-  ELSE regexp_matches(s, {_quoted(T.CUT_NOTE)}) OR NOT ends_with(s, '.') END"""
+  SELECT 'grades' AS source_table, CAST(id AS VARCHAR) AS record_id, coalesce(provider_model, '') AS source, raw_response AS t FROM grades
+  UNION SELECT 'transcriber', transcript_id, coalesce(actual_model, ''), raw_text FROM transcriber
+), x AS (SELECT *, rtrim(t, chr(10) || chr(9) || chr(13) || ' ') AS s FROM r WHERE t IS NOT NULL AND record_id IS NOT NULL AND trim(t, chr(10) || chr(9) || chr(13) || ' ') <> ''),
+k AS (SELECT *, CASE
+    WHEN NOT regexp_matches(t, '\{\s*("|$)') THEN NOT ends_with(s, '.') OR ends_with(s, '...')
+    WHEN contains(t, '"path_followed"') THEN NOT regexp_matches(t, '(?s)"undeclared_method": ?\{.*"reaches_correct_conclusion": ?(null|true|false)\s*\}\s*\}')
+    WHEN contains(t, '"rows"') THEN NOT regexp_matches(t, '(?s)\}\s*\]\s*\}')
+    ELSE NOT regexp_matches(t, '"transcription_confidence": ?(null|[0-9.]+)\s*\}') END AS is_cut FROM x)"""
+P1_FOUND = _P1 + " SELECT DISTINCT source_table, record_id FROM k WHERE is_cut"
+P1_RATES = _P1 + " SELECT source_table, source, count(*) AS n_records, count_if(is_cut)::BIGINT AS n_cut, avg(is_cut::INT)::DOUBLE AS cut_share FROM k GROUP BY ALL"
 
 _SHARES = r"""
 WITH d AS (SELECT DISTINCT doc_id, lang, source, text FROM documents),
@@ -33,4 +32,4 @@ P8_FOUND = _SHARES + " SELECT DISTINCT doc_id FROM shares WHERE share >= 0.3"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p8_shares": P8_SHARES, "p8_found": P8_FOUND}
+    return {"p1_found": P1_FOUND, "p1_rates": P1_RATES, "p8_shares": P8_SHARES, "p8_found": P8_FOUND}

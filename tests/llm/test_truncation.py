@@ -1,8 +1,7 @@
+import json
 import math
 import random
 
-from pyspark.sql import functions as F
-
 from gradeline.llm import truncation as T
 
 WHOLE = '{"path_followed": "p1", "values": {"p1.m1": "\\\\frac{1}{2}"}, "undeclared_method": {"used": false, "description": "", "reasoning_valid": null, "reaches_correct_conclusion": null}}'
@@ -24,19 +23,57 @@ def test_endings(spark):
     assert got == {("grades", str(k)) for k in range(len(whole), len(whole) + len(cut))} | {("transcriber", f"T{k}") for k in (3, 4, 5, 6)}
     r = T.report(g, t).where("source_table = 'grades'").first()
     assert r.n_records == len(whole) + len(cut) and r.n_cut == len(cut)
-    assert T.found(g.limit(0), t.limit(0)).count() == 0
+    assert T.found(g.limit(0), t.limit(0)).count() == 0 and T.limits(g.limit(0), t.limit(0)).count() == 0
+
+
+def found(spark, transcripts):
+    g, t = tables(spark, [], transcripts)
+    return {int(r.record_id[1:]) for r in T.found(g, t).collect()}
+
+
+def lengths(n, seed=1):
+    r = random.Random(seed)
+    return [max(int(r.lognormvariate(5.5, 0.4)), 9) for _ in range(n)]
+
+
+def words(n, seed):
+    """A text of n characters with a full stop at its end and every 25 characters."""
+    r = random.Random(seed)
+    return "".join(r.choice("abcdefgh ") if k % 25 else "." for k in range(n, 1, -1)) + "."
+
+
+def test_cut_behind_a_full_stop_at_a_limit(spark):
+    texts = [words(n, k) if n < 300 else words(299, k)[:-1] + "xy" for k, n in enumerate(lengths(1500))]
+    texts += [words(300, 5000 + k) for k in range(5)]
+    ends = [k for k, x in enumerate(texts) if len(x) == 300]
+    assert found(spark, texts) == set(ends)
+    # without the others at that length they are whole
+    assert found(spark, [x for x in texts if len(x) != 300] + texts[-5:]) == set()
+
 
+def test_all_at_a_limit_with_full_stops(spark):
+    texts = [words(n, k) for k, n in enumerate(lengths(500)) if n < 300] + [words(300, 5000 + k) for k in range(300)]
+    assert found(spark, texts) == {k for k, x in enumerate(texts) if len(x) == 300}
 
-def test_a_whole_text_as_long_as_the_limit_is_no_case(spark):
-    r = random.Random(1)
-    body = [int(r.lognormvariate(5.5, 0.4)) for _ in range(400)]
-    texts = [("x" * (n - 1) + ".") if n < 300 else "x" * 300 for n in body] + ["y" * 299 + "."]
-    g, t = tables(spark, [], texts)
-    s = T.scored(T.measured(T.texts(g, t)).cache())
-    assert {r.at for r in T.limits(T.measured(T.texts(g, t))).where("unit = 'chars'").collect()} == {300}
-    found = {r.record_id for r in s.where("posterior >= 0.5").collect()}
-    assert found == {f"T{k}" for k, x in enumerate(texts) if not x.endswith(".")}
-    assert s.where("at_limit").agg(F.min("prior")).first()[0] > 0.9
+
+def test_whole_json_as_long_as_the_limit(spark):
+    whole = lambda n, k: json.dumps({"hebrew_text": str(k).rjust(6, "x") + "y" * (n - 70), "transcription_confidence": 0.5}).ljust(n)[:n]
+    texts = [whole(n, k) for k, n in enumerate(lengths(300)) if 90 < n < 400] + [whole(400, 1000 + k) for k in range(100)] + [whole(500, 2000 + k)[:400] for k in range(100)]
+    texts = [x.strip() if len(x) < 400 else x for x in texts]
+    got = found(spark, texts)
+    assert got == {k for k, x in enumerate(texts) if "confidence" not in x}
+
+
+def test_one_cut_text_among_thousands(spark):
+    assert found(spark, [words(n, k) for k, n in enumerate(lengths(4000, 3))] + ["half a sent"]) == {4000}
+
+
+def test_one_message_many_times_is_no_limit(spark):
+    assert found(spark, [words(n, k) for k, n in enumerate(lengths(200, 4))] + ["The crop is too dark to read."] * 90) == set()
+
+
+def test_lead_in_of_any_length(spark):
+    assert found(spark, ['He said "' + "long words " * 60 + '" and then: ' + x for x in (SCAN, SCAN[:-1])]) == {1}
 
 
 def test_censored_fit_finds_the_distribution():
@@ -47,3 +84,11 @@ def test_censored_fit_finds_the_distribution():
     mu, sd = T.fit(bins, [(limit, float(len(x) - len(bins)))])
     assert abs(mu - 6.0) < 0.02 and abs(sd - 0.5) < 0.02
     assert T.fit([(3.0, 5.0)], [])[0] == 3.0
+
+
+def test_limits(spark):
+    g, t = tables(spark, [], [words(n, k) if n < 300 else words(299, k)[:-1] + "xy" for k, n in enumerate(lengths(2000))])
+    rows = T.limits(g, t).where("unit = 'chars'").collect()
+    assert [r.at for r in rows if r.at] == [300]
+    r = next(r for r in rows if r.at is None)
+    assert abs(r.mu - 5.5) < 0.05 and abs(r.sd - 0.4) < 0.05
