@@ -1,10 +1,11 @@
 """Problem 5: markup of other formats in transcripts, found and turned into clean text.
 
-Three steps. (1) Each page's HTML containers are scored by the visible text that they hold. (2) The pages of
+Three steps. (1) Each page's HTML containers are scored by the visible text that they hold; marks that may as well be plain signs
+(``WEAK``: a dash or star at the start of a line, a single star or underscore around words, a ruled line, bars) are noted. (2) The pages of
 a host, here the model and prompt that wrote them, vote in Spark on generalised paths, tag and class from the
-outside in, indexes left out; the path with the most votes wins. (3) Each page is read again: where it
-has the winning path, that container is its body, and whatever stands outside is kept after it, not lost.
-The body becomes text with headings (``#``), lists (``-``), tables (``|``), code fences and formulas in dollars.
+outside in, indexes left out; the path with the most votes wins. A weak mark wins if ``AGREE`` pages have it. (3) Each page is read again: where it
+has the winning path, that container is its body, and whatever stands outside is kept after it, not lost; weak marks that did not win stay text.
+The body becomes text with headings (``#``), lists (``-``), tables (``|``), code fences and formulas in dollars. The cases are what this step took out.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import cut
+
 #: Element names of HTML and of wiki extensions.
 TAGS = """a abbr address article aside b big blockquote body br button caption center cite code col colgroup dd del details dfn div dl dt em
 figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark math meta nav
@@ -89,6 +92,8 @@ def formula_kinds(entry: str | None) -> list[str]:
     return [k for k in IN_FORMULA if _has(k, entry)] + ["wrapped"] * (_P["wrapped"].search(entry) is not None)
 
 
+#: Marks that may be plain signs, the pages that must have one, and the most hosts whose winning paths are broadcast.
+WEAK, AGREE, MOST_HOSTS = ("item", "quote", "rule", "table", "emphasis"), 2, 100_000
 BLOCKS = {"p", "div", "section", "article", "blockquote", "table", "tr", "ul", "ol", "li", "pre", "main", "header", "footer", "nav", "aside", "center", "body", "html", "dl", "dt", "dd", "hr", "h1", "h2", "h3", "h4", "h5", "h6"}
 HOSTS = {"div", "section", "article", "main", "body", "blockquote", "center"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "col", "source"}
@@ -126,6 +131,7 @@ def containers(text: str) -> dict[str, tuple[int, int, int]]:
 
 
 def _html(s: str) -> str:
+    """Elements out; headings, lists, tables and line ends stay."""
     out: list[str] = []
     lists: list[str] = []
     last = 0
@@ -147,10 +153,6 @@ def _html(s: str) -> str:
             out.append(" |" if end else " ")
         elif name == "tr":
             out.append("\n" if end else "\n|")
-        elif name in ("pre", "syntaxhighlight"):
-            out.append("\n```\n")
-        elif name == "math":
-            out.append("$")
         elif name in ("sup", "sub"):
             out.append("}" if end else {"sup": "^{", "sub": "_{"}[name])
         elif name == "br" or name in BLOCKS:
@@ -159,63 +161,155 @@ def _html(s: str) -> str:
     return "".join(out)
 
 
-_STEPS = [
-    (r"(?s)\\begin\s*\{(?:equation|align|gather|multline|displaymath|math)\*?\}(.*?)\\end\s*\{[^}]*\}", r"$$\1$$"),
-    (r"(?s)\\\[(.*?)\\\]", r"$$\1$$"),
-    (r"(?s)\\\((.*?)\\\)", r"$\1$"),
-    (r"(?s)\\begin\s*\{(?:verbatim|lstlisting)\}(.*?)\\end\s*\{[^}]*\}", r"\n```\1```\n"),
-    (r"\\(?:chapter|section)\*?\{([^{}]*)\}", r"\n# \1\n"),
-    (r"\\subsection\*?\{([^{}]*)\}", r"\n## \1\n"),
-    (r"\\(?:subsubsection|paragraph)\*?\{([^{}]*)\}", r"\n### \1\n"),
-    (r"\\(?:label|vspace|hspace|ref|cite|usepackage|documentclass)\*?\{[^{}]*\}", ""),
-    (r"\\(?:begin|end)\s*\{[^{}]*\}(?:\[[^\]]*\])?", r"\n"),
-    (r"\\item\b(?:\[[^\]]*\])?[ \t]*", r"\n- "),
-    (r"\\footnote\{([^{}]*)\}", r" (\1)"),
-    (r"\\(?:newline|par|linebreak)\b|\\\\", r"\n"),
-    (r"\\[a-zA-Z]+\*?\{([^{}]*)\}", r"\1"),
-    (r"\\(?:noindent|centering|bigskip|medskip|smallskip|hline|maketitle|clearpage|newpage)\b", ""),
+def _rows(rows: list[list[str]]) -> str:
+    return "\n" + "\n".join("| " + " | ".join(" ".join(c.split()) for c in r) + " |" for r in rows if r) + "\n"
+
+
+def _wiki_table(m: re.Match) -> str:
+    rows: list[list[str]] = [[]]
+    for line in m.group(1).split("\n")[1:]:
+        line = line.strip()
+        if line.startswith("|-"):
+            rows.append([])
+        elif line.startswith(("|+", "|}")):
+            continue
+        elif line[:1] in "|!" and line:
+            for cell in re.split(r"\|\||!!" if line[0] == "!" else r"\|\|", line[1:]):
+                rows[-1].append(re.sub(r"^\s*[a-z]+\s*=\s*(?:\"[^\"]*\"|\S+)[^|]*\|(?!\|)", "", cell))
+        elif rows[-1]:
+            rows[-1][-1] += " " + line
+    return _rows(rows)
+
+
+def _tabular(m: re.Match) -> str:
+    body = re.sub(r"\\(?:hline|toprule|midrule|bottomrule|cline\{[^}]*\})", "", m.group(1))
+    return _rows([re.split(r"(?<!\\)&", r) for r in re.split(r"\\\\(?:\[[^\]]*\])?", body) if r.strip()])
+
+
+def _argument(s: str, at: int) -> int:
+    """End of the group in braces that begins at ``at``, or ``at`` where none does or it has no end."""
+    if s[at : at + 1] != "{":
+        return at
+    depth = 0
+    for k in range(at, len(s)):
+        depth += (s[k] == "{") - (s[k] == "}")
+        if not depth:
+            return k + 1
+    return at
+
+
+_MATH_NAME = re.compile(rf"\\(?:{'|'.join(MATH)})(?![a-zA-Z])")
+
+
+def _hold_mathematics(s: str, put) -> str:
+    """Bare formula commands with their arguments, held as they are."""
+    out, last = [], 0
+    for m in _MATH_NAME.finditer(s):
+        if m.start() < last:
+            continue
+        end = m.end()
+        while (after := _argument(s, end)) != end or s[end : end + 1] == "[" and "]" in s[end:]:
+            end = after if after != end else s.index("]", end) + 1
+        out += [s[last : m.start()], put(s[m.start() : end])]
+        last = end
+    return "".join([*out, s[last:]])
+
+
+def _code(body: str, language: str = "") -> str:
+    return f"\n```{language}\n" + body.strip("\n") + "\n```\n"
+
+
+def _bare(s: str) -> str:
+    return html.unescape(_PART.sub("", s))
+
+
+_DISPLAY = r"(?:equation|align|gather|multline|displaymath|eqnarray|math)\*?"
+#: Pieces that are taken out first, as their inside is no text: (pattern, what stays).
+_HELD = [(re.compile(a), b) for a, b in [
+    (r"(?is)\[\[deleted:.*?(?:\]\]|\Z)", lambda m: m.group(0)),
+    (r"(?s)(?:```|~~~)[ \t]*(\w*)[ \t]*\n?(.*?)(?:```|~~~|\Z)", lambda m: _code(m.group(2), m.group(1))),
+    (r"(?is)<(pre|syntaxhighlight)\b[^>]*>(.*?)</\1\s*>", lambda m: _code(_bare(m.group(2)))),
+    (r"(?s)\\begin\s*\{(verbatim|lstlisting)\*?\}(?:\[[^\]]*\])?(.*?)\\end\s*\{\1\*?\}", lambda m: _code(m.group(2))),
+    (r"(?<!`)`([^`\n]+)`(?!`)", lambda m: m.group(1)),
+    (r"(?is)<(code|tt|kbd|samp)\b[^>]*>(.*?)</\1\s*>", lambda m: _bare(m.group(2))),
+    (r"\\verb\*?([^a-zA-Z\s*])(.*?)\1", lambda m: m.group(2)),
+    (r"(?s)\$\$.+?\$\$|\$[^$\n]+\$", lambda m: m.group(0)),
+    (rf"(?s)\\begin\s*\{{({_DISPLAY})\}}(.*?)\\end\s*\{{\1\}}", lambda m: "$$" + re.sub(r"\\label\{[^{}]*\}", "", m.group(2)).strip() + "$$"),
+    (r"(?s)\\\[(.*?)\\\]", lambda m: "$$" + m.group(1).strip() + "$$"),
+    (r"(?s)\\\((.*?)\\\)", lambda m: "$" + m.group(1).strip() + "$"),
+    (r"(?is)<math\b[^>]*>(.*?)</math\s*>", lambda m: "$" + html.unescape(_html(m.group(1))).strip() + "$"),
+]]
+_ENTITY = re.compile(RULES["entity"])
+_STEPS = [(re.compile(a), b) for a, b in [
+    (r"(?s)\\begin\s*\{tabular[x*]?\}(?:\{[^{}]*\}){1,2}(.*?)\\end\s*\{tabular[x*]?\}", _tabular),
+    (r"(?s)(?<![^\n])(\{\|.*?)\n\|\}", _wiki_table),
+    (r"\\(?:label|vspace|hspace|ref|cite|usepackage|documentclass|includegraphics|color)\*?(?:\[[^\]]*\])?\{[^{}]*\}", ""),
+    (r"\\(?:begin|end)\s*\{[^{}]*\}(?:\[[^\]]*\])?", "\n"),
+    (r"\\item(?![a-zA-Z])(?:\[[^\]]*\])?[ \t]*", "\n- "),
+    (r"\\(?:newline|par|linebreak)(?![a-zA-Z])|\\\\", "\n"),
+    (r"\\(?:noindent|centering|bigskip|medskip|smallskip|hline|maketitle|clearpage|newpage|bfseries|itshape|ttfamily|small|large|Large|huge|tiny|normalsize)(?![a-zA-Z])[ ]?", ""),
     (r"!?\[([^\]\n]*)\]\([^)\n]*\)", r"\1"),
     (r"\[(?:https?|ftp)://\S+\s+([^\]\n]+)\]", r"\1"),
-    (r"\[\[(?!deleted:)(?:[^\]|\n]*\|)?([^\]|\n]+)\]\]", r"\1"),
-    (r"\{\{(?:[^{}|\n]*\|)*([^{}|\n]*)\}\}", r"\1"),
+    (r"\[\[(?:[^\]|\n]*\|)*([^\]|\n]+)\]\]", r"\1"),
     (r"(?m)^\s*={2}\s*([^=\n]+?)\s*={2}\s*$", r"## \1"),
     (r"(?m)^\s*={3,6}\s*([^=\n]+?)\s*={3,6}\s*$", r"### \1"),
-    (r"(?m)^\{\|.*$|^\|\}.*$|^\|-+\s*$", ""),
-    (r"'{2,5}([^'\n]+)'{2,5}", r"\1"),
-    (r"\*\*([^*\n]+)\*\*", r"\1"),
-    (r"(?<!\w)__([^_\n]+)__(?!\w)", r"\1"),
-    (r"~~([^~\n]+)~~", r"\1"),
-    (r"(?<![\w*])\*([^\s*][^*\n]*?)(?<!\s)\*(?![\w*])", r"\1"),
-    (r"(?<![`\w])`([^`\n]+)`(?!`)", r"\1"),
     (r"(?m)^[ \t]*>[ \t]?", ""),
-    (r"(?m)^[ \t]*\*{2,4}[ \t]+", "  - "),
-    (r"(?m)^[ \t]*[*+][ \t]+", "- "),
+    (r"(?m)^[ \t]*\*{2,4}[ \t]+(?=\S)", "  - "),
+    (r"(?m)^([ \t]*)[*+][ \t]+(?=\S)", r"\1- "),
     (r"(?m)^[ \t]{0,3}(?:-{3,}|\*{3,}|_{3,})[ \t]*$", ""),
-    (r"[ \t]+\n", r"\n"),
-    (r"\n{3,}", r"\n\n"),
-]
-_STEPS = [(re.compile(a), b) for a, b in _STEPS]
-_KEEP = re.compile(r"(?s)(```.*?(?:```|\Z)|\$\$.+?\$\$|\$[^$\n]+\$|\[\[deleted:.*?\]\])")
+]]
+#: From the inside out, as often as one of them still finds something.
+_NESTED = [(re.compile(a), b) for a, b in [
+    (r"\\(?:chapter|section)\*?\{([^{}]*)\}", r"\n# \1\n"),
+    (r"\\subsection\*?\{([^{}]*)\}", r"\n## \1\n"),
+    (r"\\(?:subsubsection|paragraph|subparagraph)\*?\{([^{}]*)\}", r"\n### \1\n"),
+    (r"\\footnote\{([^{}]*)\}", r" (\1)"),
+    (r"\\href\{[^{}]*\}\{([^{}]*)\}", r"\1"),
+    (r"\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1"),
+    (r"\{\{(?:[^{}|\n]*\|)*([^{}|\n]*)\}\}", r"\1"),
+    (r"'{2,5}([^'\n]+)'{2,5}", r"\1"),
+    (r"\*\*([^\s*](?:[^*\n]*[^\s*])?)\*\*", r"\1"),
+    (r"(?<!\w)__([^\s_](?:[^\n]*?[^\s_])?)__(?!\w)", r"\1"),
+    (r"~~([^\s~](?:[^~\n]*[^\s~])?)~~", r"\1"),
+    (r"(?<![\w*])\*([^\s*](?:[^*\n]*?[^\s*])?)\*(?![\w*])", r"\1"),
+    (r"(?<![\w_\\])_([^\s_](?:[^_\n]*?[^\s_])?)_(?![\w_])", r"\1"),
+]]
+_LAST = [(re.compile(a), b) for a, b in [(r"\\([%&#_{}])", r"\1"), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")]]
+_SLOT = re.compile("\ue000(\\d+)\ue001")
 
 
 def clean(text: str, path: str | None = None) -> str:
-    """Clean text of a page. With ``path`` the page's container of that path is the body; text outside of it follows."""
+    """Clean text of a page. With ``path`` the page's container of that path is the body; text outside of it follows.
+    Code and formulas are taken out first and put back as they were; what encloses other text goes from the inside out."""
     if path:
         c = containers(text).get(path)
         if c:
             body, rest = text[c[1] : c[2]], text[: c[1]] + "\n" + text[c[2] :]
             return "\n".join(x for x in (clean(body), clean(rest)) if x)
-    kept: list[str] = []
-
-    def keep(m: re.Match) -> str:
-        kept.append(m.group(0))
-        return f"{HOLD}{len(kept) - 1}{HOLD}"
-
-    s = _KEEP.sub(keep, text)
-    s = html.unescape(_html(s))
+    held: list[str] = []
+
+    def put(piece: str) -> str:
+        held.append(piece)
+        return f"\ue000{len(held) - 1}\ue001"
+
+    s = text.replace("\ue000", "").replace("\ue001", "")
+    for pattern, stays in _HELD:
+        s = pattern.sub(lambda m, f=stays: put(f(m)), s)
+    s = _hold_mathematics(s, put)
+    s = _html(s)
+    s = _ENTITY.sub(lambda m: " " if not (x := html.unescape(m.group(0))).strip() else put(x), s)
     for step, to in _STEPS:
         s = step.sub(to, s)
-    return re.sub(f"{HOLD}(\\d+){HOLD}", lambda m: kept[int(m.group(1))], s).replace("\xa0", " ").strip()
+    before = None
+    while s != before:
+        before = s
+        for step, to in _NESTED:
+            s = step.sub(to, s)
+    for step, to in _LAST:
+        s = step.sub(to, s)
+    while _SLOT.search(s):
+        s = _SLOT.sub(lambda m: held[int(m.group(1))], s)
+    return re.sub(r"\n{3,}", "\n\n", s.replace("\xa0", " ")).strip()
 
 
 def clean_formula(entry: str) -> str:
@@ -230,48 +324,71 @@ def host_of() -> Column:
     return F.concat_ws("|", F.coalesce("actual_model", F.lit("")), F.coalesce("prompt_version", F.lit("")))
 
 
+def page_votes(text: str) -> list[tuple[str, int]]:
+    """What a page votes for: its best container, the innermost that still holds nine tenths of the visible text of its containers (path, that
+    text's length), and the weak marks on it (their names in angles, how often)."""
+    out: list[tuple[str, int]] = []
+    c = containers(text) if "<" in text else {}
+    if c:
+        most = max(v[0] for v in c.values())
+        best = max((p for p, v in c.items() if v[0] >= 0.9 * most), key=lambda p: (p.count(">"), p))
+        out.append((best, c[best][0]))
+    return out + [(f"<{k}>", 1) for k in kinds(text) if k in WEAK]
+
+
 def winning_paths(df: DataFrame) -> DataFrame:
-    """Per host the container path that most of its pages with containers vote for. A page votes for its
-    best container, the innermost that still holds nine tenths of its visible text in containers."""
+    """(host, body_path, votes, marks): per host the container path that most of its pages with containers vote for, and the weak marks that
+    ``AGREE`` pages, of the host or of all hosts together, have. A host without any vote has no row."""
 
     def run(batches):
         for b in batches:
             host, path, score = [], [], []
             for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = containers(t)
-                if c:
-                    most = max(v[0] for v in c.values())
-                    best = max((p for p, v in c.items() if v[0] >= 0.9 * most), key=lambda p: (p.count(">"), p))
-                    host.append(h), path.append(best), score.append(c[best][0])
+                for p, n in page_votes(t):
+                    host.append(h), path.append(p), score.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(score, pa.int64())], names=["host", "path", "score"])
 
-    pages = df.where(F.col("interleaved_markdown").contains("<")).select(host_of().alias("host"), "interleaved_markdown")
-    votes = pages.mapInArrow(run, "host string, path string, score long").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
-    return votes.groupBy("host").agg(F.max(F.struct("votes", "score", "path")).alias("v")).select("host", F.col("v.path").alias("body_path"), F.col("v.votes").alias("votes"))
+    pages = df.where("interleaved_markdown is not null").select(host_of().alias("host"), "interleaved_markdown")
+    votes = cut(pages.mapInArrow(run, "host string, path string, score long").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score")))
+    weak = F.col("path").startswith("<")
+    marks = [r.path[1:-1] for r in votes.where(weak).groupBy("path").agg(F.sum("votes").alias("v")).where(F.col("v") >= AGREE).orderBy("path").collect()]  # five names at most
+    best = votes.groupBy("host").agg(F.max(F.when(~weak, F.struct("votes", "score", "path"))).alias("v"))
+    return best.select("host", F.col("v.path").alias("body_path"), F.col("v.votes").alias("votes"), F.array(*map(F.lit, marks)).cast("array<string>").alias("marks"))
+
+
+def extracted(text: str | None, path: str | None, marks: list[str] | None) -> tuple[str | None, list[str], str | None]:
+    """A page read again: clean text, kinds of markup taken out, and the winning path if the page has it. Without markup it is unchanged."""
+    k = [x for x in kinds(text) if x not in WEAK or x in (marks or ())]
+    if not k:
+        return text, k, None
+    path = path if path and "html" in k and path in containers(text) else None
+    return clean(text, path), k, path
 
 
 def cleaned(df: DataFrame) -> DataFrame:
     """(transcript_id, host, body_path, markdown_kinds, latex_kinds, clean_markdown, clean_latex) of every row. A text without markup
-    comes out as it is; null stays null; null entries of ``math_latex`` stay null."""
+    comes out as it is; null stays null; null entries of ``math_latex`` stay null. ``body_path`` is null where the page lacks it."""
 
     def run(batches):
         for b in batches:
             i, h, p, mk, lk, mt, lt = [], [], [], [], [], [], []
-            for tid, host, path, text, entries in zip(*(c.to_pylist() for c in b.columns)):
-                k = kinds(text)
+            for tid, host, path, marks, text, entries in zip(*(c.to_pylist() for c in b.columns)):
                 e = [formula_kinds(x) for x in entries or []]
-                i.append(tid), h.append(host), p.append(path if "html" in k else None), mk.append(k), lk.append(sorted({y for x in e for y in x}))
-                mt.append(clean(text, path if "html" in k else None) if k else text)
+                t, k, used = extracted(text, path, marks)
+                i.append(tid), h.append(host), p.append(used), mk.append(k), lk.append(sorted({y for x in e for y in x})), mt.append(t)
                 lt.append(None if entries is None else [clean_formula(x) if y else x for x, y in zip(entries, e)])
             s, l = pa.string(), pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((i, s), (h, s), (p, s), (mk, l), (lk, l), (mt, s), (lt, l))], names=["transcript_id", "host", "body_path", "markdown_kinds", "latex_kinds", "clean_markdown", "clean_latex"])
 
     rows = df.select("transcript_id", host_of().alias("host"), "interleaved_markdown", "math_latex")
-    rows = rows.join(winning_paths(df), "host", "left").select("transcript_id", "host", "body_path", "interleaved_markdown", "math_latex")
+    won = cut(winning_paths(df))
+    won = F.broadcast(won) if won.limit(MOST_HOSTS + 1).count() <= MOST_HOSTS else won
+    rows = rows.join(won, "host", "left").select("transcript_id", "host", "body_path", "marks", "interleaved_markdown", "math_latex")
     return rows.mapInArrow(run, "transcript_id string, host string, body_path string, markdown_kinds array<string>, latex_kinds array<string>, clean_markdown string, clean_latex array<string>")
 
 
 def found(df: DataFrame) -> DataFrame:
+    """Fields from which reading again took markup out."""
     c = cleaned(df).select("transcript_id", F.explode(F.array(
         F.struct(F.lit("interleaved_markdown").alias("field"), F.size("markdown_kinds").alias("n")),
         F.struct(F.lit("math_latex").alias("field"), F.size("latex_kinds").alias("n")),
@@ -280,7 +397,6 @@ def found(df: DataFrame) -> DataFrame:
 
 
 def report(df: DataFrame) -> DataFrame:
-    """Per host and kind of markup: records with it and the winning path."""
-    c = cleaned(df).select("host", "transcript_id", F.explode(F.array_union("markdown_kinds", "latex_kinds")).alias("kind")).distinct()
-    n = c.groupBy("host", "kind").agg(F.count("*").alias("n_records"))
-    return n.join(winning_paths(df), "host", "left").select("host", "kind", "n_records", "body_path")
+    """Per host and kind of markup: records with it, and how many of them have the host's winning path."""
+    c = cleaned(df).select("host", "transcript_id", "body_path", F.explode(F.array_union("markdown_kinds", "latex_kinds")).alias("kind")).distinct()
+    return c.groupBy("host", "kind").agg(F.count("*").alias("n_records"), F.count("body_path").alias("n_on_path"), F.max("body_path").alias("body_path"))
