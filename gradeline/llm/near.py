@@ -244,35 +244,35 @@ def candidates(cl: DataFrame, least: float = T.THRESHOLD, hot: int = HOT) -> Dat
 
 
 def class_links(cl: DataFrame, least: float = T.THRESHOLD) -> DataFrame:
-    """(a, b, similarity): classes of one field with different words whose similarity is ``least`` or more."""
-    return T.similarity(candidates(cl, least), cl, cl).where(F.col("similarity") >= least - 1e-12)
+    """(field, a, b, similarity): classes (``cls``) of one field with different words whose similarity is ``least`` or more."""
+    s = T.similarity(candidates(cl, least), *(cl.select("field", "c", "cls", "toks"),) * 2)
+    return s.where((F.col("similarity") >= least - 1e-12) & (F.col("field_a") == F.col("field_b")) & (F.col("a") != F.col("b"))).select(F.col("field_a").alias("field"), "a", "b", "similarity")
 
 
 def near_pairs(texts: DataFrame, least: float = T.THRESHOLD) -> DataFrame:
     """(field, id_a, id_b) with id_a < id_b: near copies, exact copies included."""
     sets = T.word_sets(texts)
     cl = cut(T.classes(sets))
-    m = cut(sets.select("field", F.col("id"), F.xxhash64("field", "cls").alias("c")).distinct())
-    links = class_links(cl, least).select("a", "b")
+    m = cut(sets.select("field", "id", "cls").distinct())
+    links = class_links(cl, least).select("field", "a", "b")
     # a class of several records links to itself
-    own = m.groupBy("field", "c").agg(F.count("*").alias("k")).where("k > 1").select(F.col("c").alias("a"), F.col("c").alias("b"))
-    both = links.unionByName(own)
-    x = both.join(m.select(F.col("field"), F.col("c").alias("a"), F.col("id").alias("x")), "a").join(m.select("field", F.col("c").alias("b"), F.col("id").alias("y")), ["field", "b"])
-    return x.where("a <> b or x < y").select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    own = m.groupBy("field", "cls").agg(F.count("*").alias("k")).where("k > 1").select("field", F.col("cls").alias("a"), F.col("cls").alias("b"))
+    x = links.unionByName(own).join(m.select("field", F.col("cls").alias("a"), F.col("id").alias("x")), ["field", "a"]).join(m.select("field", F.col("cls").alias("b"), F.col("id").alias("y")), ["field", "b"])
+    return x.where("a <> b or x < y").select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a <> id_b").distinct()
 
 
 def groups(texts: DataFrame, least: float = T.THRESHOLD) -> DataFrame:
-    """One row per record with a word: its group, the least class number linked to it over any number of links, how many
+    """One row per record with a word: its group, the least class (in hex) linked to it over any number of links, how many
     records the group has and how many classes of other words it is linked to itself. Alone, a record is its own group."""
     sets = T.word_sets(texts)
     cl = cut(T.classes(sets))
-    members = sets.select("field", "id", F.xxhash64("field", "cls").alias("c")).distinct()
-    links = cut(class_links(cl, least).select("a", "b"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy("a").agg(F.count("*").alias("n_links"))
-    label = components(links)
-    m = members.join(label, members["c"] == label["node"], "left").join(degree, F.col("c") == F.col("a"), "left")
-    m = m.select("field", "id", F.coalesce("root", "c").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    node = F.concat(F.col("cls"), F.encode("field", "utf-8"))
+    members = sets.select("field", "id", node.alias("node")).distinct()
+    name = lambda x: F.concat(F.col(x), F.encode("field", "utf-8")).alias(x)
+    links = cut(class_links(cl, least).select(name("a"), name("b")))
+    degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
+    m = members.join(components(links), "node", "left").join(degree, "node", "left")
+    m = m.select("field", "id", F.lower(F.hex(F.substring(F.coalesce("root", "node"), 1, 16))).alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     size = m.groupBy("field", "group_id").agg(F.count("*").alias("n_records"))
     return m.join(size, ["field", "group_id"]).select("field", "id", "group_id", "n_records", "n_links")
 

@@ -1,12 +1,13 @@
 """Problem 2: records of the evaluation split that are also, exactly or almost, in the training split.
 
-Every distinct word multiset of a split gets a bit fingerprint of ``BITS`` bits, one from each of as many
-min-wise hashes of its words; two texts of similarity s differ in about ``BITS * (1 - s) / 2`` of them. The
-codes are cut into ``BITS / ROWS`` blocks of ``ROWS`` hashes. Texts of the two splits meet if one block
-agrees, go on if their fingerprints lie within ``RADIUS`` bits, and are verified on their words.
-At similarity 0.6 no block agrees with probability (1 - 0.6**4)**64 = 0.0001, and the distance exceeds the
-radius, 4.5 standard deviations above its mean, with about 4e-6; both fall quickly above 0.6.
-
+Every distinct word multiset of a split gets a fingerprint of ``HASHES * 8`` bits, a similarity hash: eight bits from each of as many min-wise hashes
+of its words, so two texts of similarity s differ in about ``4 * HASHES * (1 - s)`` of them. The code is cut into ``HASHES / 4`` segments of 32
+bits, and the splits are joined on segment and place. What meets goes on if the codes lie within ``RADIUS`` bits, and is verified on its words.
+At similarity 0.6 no segment agrees with probability (1 - 0.6**4)**64 = 0.0001, and the distance exceeds the
+radius, 4.5 standard deviations above its mean, with about 4e-6; both fall quickly above 0.6. Of two unrelated texts a segment agrees by chance
+once in 2**32.
+
+A segment that more than ``HOT`` training texts have is dealt to several tasks: its training texts are split, its held-out ones go to each part.
 Empty and null texts and texts without a word overlap with nothing. Copies within a split are one class and
 meet the other split once. Extra columns of the tables are not read.
 """
@@ -20,42 +21,63 @@ from pyspark.sql import DataFrame, functions as F
 from . import words as T
 from .common import cut
 
-BITS, ROWS, RADIUS = 256, 4, 80
+HASHES, RADIUS, HOT = 256, 565, 8192
+LONGS = HASHES // 8
 
 
 def coded(cl: DataFrame) -> DataFrame:
-    """(c, f0..f3, blocks): fingerprint and block keys of every class."""
-    how = T.seeds(BITS, 2)
+    """Classes with their fingerprint ``code``, as longs."""
+    how = T.seeds(HASHES, 2)
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            m = T.min_hashes(*T.flat(b, "toks"), how)
-            bit = (T.mixed(m, T.STEP) >> np.uint64(40)) & np.uint64(1)
-            words = [(bit[:, i : i + 64] << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64) for i in range(0, BITS, 64)]
-            cols = [b.column(b.schema.get_field_index("c")), *(pa.array(w.view(np.int64)) for w in words), T.lists(T.band_keys(m, ROWS))]
-            yield pa.RecordBatch.from_arrays(cols, names=["c", "f0", "f1", "f2", "f3", "blocks"])
+            if b.num_rows:
+                bits = (T.mixed(T.min_hashes(*T.flat(b, "toks"), how), T.STEP) >> np.uint64(40)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([*b.columns, T.lists(bits.view(np.uint64))], names=[*b.schema.names, "code"])
+
+    return cl.select("field", "c", "cls", "toks").mapInArrow(run, "field string, c long, cls binary, toks array<long>, code array<long>")
+
+
+def segments(cl: DataFrame, name: str) -> DataFrame:
+    """(block, name): every class under each 32-bit segment of its code; the block is the segment's place and bits."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                code, _ = T.flat(b, "code")
+                s = code.view(np.uint32).reshape(b.num_rows, -1).astype(np.uint64)
+                s |= np.arange(s.shape[1], dtype=np.uint64)[None, :] << np.uint64(32)
+                yield pa.RecordBatch.from_arrays([pa.array(s.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), s.shape[1]))], names=["block", name])
+
+    return cl.select("c", "code").mapInArrow(run, f"block long, {name} long")
+
 
-    return cl.select("c", "toks").mapInArrow(run, "c long, f0 long, f1 long, f2 long, f3 long, blocks array<long>")
+def candidates(t: DataFrame, h: DataFrame, hot: int = HOT) -> DataFrame:
+    """(a, b): classes of the two splits that agree in a segment."""
+    a, b = segments(t, "a"), segments(h, "b")
+    many = cut(a.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("block", F.ceil(F.col("n") / hot).cast("int").alias("parts")))
+    if many.isEmpty():
+        return a.join(b, "block").select("a", "b").distinct()
+    few = a.join(many, "block", "left_anti").join(b, "block").select("a", "b")
+    part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
+    split = a.join(many, "block").withColumn("part", part).join(b.join(many, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), ["block", "part"]).select("a", "b")
+    return few.unionByName(split).distinct()
 
 
 def split_texts(df: DataFrame, split: str) -> DataFrame:
     return df.where(F.col("id").isNotNull() & F.col("transcript").isNotNull()).select(F.lit(split).alias("field"), "id", F.col("transcript").alias("text"))
 
 
-def overlaps(train: DataFrame, held: DataFrame, least: float = T.THRESHOLD) -> DataFrame:
+def overlaps(train: DataFrame, held: DataFrame, least: float = T.THRESHOLD, hot: int = HOT) -> DataFrame:
     """(train_id, held_id, similarity) of all overlaps between two tables with id and transcript."""
     sets = T.word_sets(split_texts(train, "t").unionByName(split_texts(held, "h")))
-    cl = cut(T.classes(sets))
+    cl = cut(coded(T.classes(sets)))
     t, h = cl.where("field = 't'"), cl.where("field = 'h'")
-    blocks = lambda x, n: coded(x).select(F.col("c").alias(n), *(F.col(f"f{i}").alias(f"{n}{i}") for i in range(4)), F.explode("blocks").alias("block"))
-    distance = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(4)), F.lit(0))
-    near = blocks(t, "a").join(blocks(h, "b"), "block").where(distance <= RADIUS).select("a", "b").distinct()
-    links = T.similarity(near, t, h).where(F.col("similarity") >= least - 1e-12)
-    m = cut(sets.select("field", "id", F.xxhash64("field", "cls").alias("c")).distinct())
-    x = links.join(m.where("field = 't'").select(F.col("c").alias("a"), F.col("id").alias("train_id")), "a")
-    return x.join(m.where("field = 'h'").select(F.col("c").alias("b"), F.col("id").alias("held_id")), "b").groupBy("train_id", "held_id").agg(F.max("similarity").alias("similarity"))
+    distance = sum((F.bit_count(F.col("code_a")[i].bitwiseXOR(F.col("code_b")[i])) for i in range(LONGS)), F.lit(0))
+    links = T.similarity(candidates(t, h, hot), t, h, distance <= RADIUS).where(F.col("similarity") >= least - 1e-12)
+    m = cut(sets.select("field", "id", "cls").distinct())
+    x = links.join(m.where("field = 't'").select(F.col("cls").alias("a"), F.col("id").alias("train_id")), "a")
+    return x.join(m.where("field = 'h'").select(F.col("cls").alias("b"), F.col("id").alias("held_id")), "b").groupBy("train_id", "held_id").agg(F.max("similarity").alias("similarity"))
 
 
 def pairs(train: DataFrame, held: DataFrame) -> DataFrame:

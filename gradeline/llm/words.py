@@ -64,19 +64,20 @@ def word_sets(texts: DataFrame) -> DataFrame:
             toks = [elements(x, seen) for x in b.column(2).to_pylist()]
             keep = [k for k, t in enumerate(toks) if len(t)]
             toks = [toks[k] for k in keep]
-            cls = [xxhash.xxh3_128_hexdigest(t.tobytes()) for t in toks]
+            cls = [xxhash.xxh3_128_digest(t.tobytes()) for t in toks]
             flat = np.concatenate(toks).view(np.int64) if toks else np.zeros(0, np.int64)
             off = np.concatenate(([0], np.cumsum([len(t) for t in toks]))).astype(np.int32)
             at = pa.array(keep, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(cls, pa.string()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["field", "id", "cls", "toks"]
+                [b.column(0).take(at), b.column(1).take(at), pa.array(cls, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["field", "id", "cls", "toks"]
             )
 
-    return texts.where("id is not null and text is not null").select("field", "id", "text").mapInArrow(run, "field string, id string, cls string, toks array<long>")
+    return texts.where("id is not null and text is not null").select("field", "id", "text").mapInArrow(run, "field string, id string, cls binary, toks array<long>")
 
 
 def classes(sets: DataFrame) -> DataFrame:
-    """One row per (field, cls) with a 64-bit class number ``c``, its size and its elements."""
+    """One row per (field, cls) with a 64-bit class number ``c``, its size and its elements. ``c`` is what candidate search moves; classes that share
+    one are told apart by ``cls`` when their words are compared."""
     one = sets.groupBy("field", "cls").agg(F.first("toks").alias("toks"))
     return one.select("field", F.xxhash64("field", "cls").alias("c"), "cls", F.size("toks").alias("n"), "toks")
 
@@ -132,8 +133,11 @@ def lists(a: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * k, k, dtype=np.int32)), pa.array(np.ascontiguousarray(a).reshape(-1).view(np.int64)))
 
 
-def similarity(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, similarity) of distinct class pairs, exact: common elements over all elements. ``left`` and ``right`` have c, toks."""
-    p = pairs.join(left.select(F.col("c").alias("a"), F.col("toks").alias("ta")), "a").join(right.select(F.col("c").alias("b"), F.col("toks").alias("tb")), "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return p.select("a", "b", (common / (F.size("ta") + F.size("tb") - common)).alias("similarity"))
+def similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, near=None) -> DataFrame:
+    """(field_a, a, field_b, b, similarity) of distinct pairs of class numbers, exact: common elements over all elements. ``a`` and ``b`` come out as
+    ``cls``. ``left`` and ``right`` have field, c, cls, toks; ``near`` is a condition on their columns, named x_a and x_b, to be met first."""
+    side = lambda x, n: x.select(F.col("c").alias(n), *(F.col(k).alias(f"{k}_{n}") for k in x.columns if k != "c"))
+    p = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b")
+    p = p if near is None else p.where(near)
+    common = F.size(F.array_intersect("toks_a", "toks_b"))
+    return p.select("field_a", F.col("cls_a").alias("a"), "field_b", F.col("cls_b").alias("b"), (common / (F.size("toks_a") + F.size("toks_b") - common)).alias("similarity"))

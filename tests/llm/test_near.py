@@ -40,6 +40,13 @@ def test_hot_group_goes_by_blocks(spark):
     assert near.candidates(cl, hot=25).count() == near.candidates(cl).count() == 120 * 119 // 2
 
 
+def test_classes_that_share_a_number(spark):
+    rows = [(f"{k:03d}", t) for k, t in enumerate(H.texts_like(40, 9))]
+    cl = words.classes(words.word_sets(frame(spark, rows))).cache()
+    pairs = lambda c: {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in near.class_links(c).collect()}
+    assert pairs(cl) and pairs(cl.withColumn("c", F.lit(7).cast("long"))) == pairs(cl)
+
+
 def test_copies_make_one_class(spark):
     rows = spark.range(3000).selectExpr("'f' as field", "cast(id as string) as id", "'one two three four' as text")
     g = near.groups(rows)
@@ -80,3 +87,5 @@ def test_overlaps_against_brute_force(spark, seed):
     rep = overlap.report(df(train), df(held))
     assert rep.agg(F.sum("n_pairs")).first()[0] == len(got) and rep.where("source is null").count() == 2
     assert overlap.pairs(df(train).limit(0), df(held)).count() == 0
+    hot = {tuple(sorted((r.train_id, r.held_id))) for r in overlap.overlaps(df(train), df(held), hot=1).collect()}
+    assert hot == got
