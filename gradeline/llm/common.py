@@ -14,12 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and cut its lineage there.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where no folder is set, as in
-    tests on one machine, a temporary one is made.
+    The folder is the cluster's ``spark.checkpoint.dir``. Where none is named, a temporary one is made on a ``local`` master, as in
+    tests; on a cluster that would be the driver's own disk, so there it is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gradeline-checkpoint-"))
     return df.checkpoint(eager=True)
