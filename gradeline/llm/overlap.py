@@ -1,13 +1,14 @@
 """Problem 2: records of the evaluation split that are also, exactly or almost, in the training split.
 
 Every distinct word multiset of a split gets a fingerprint of ``HASHES * 8`` bits, a similarity hash: eight bits from each of as many min-wise hashes
-of its words, so two texts of similarity s differ in about ``4 * HASHES * (1 - s)`` of them. The code is cut into ``HASHES / 4`` segments of 32
-bits, and the splits are joined on segment and place. What meets goes on if the codes lie within ``RADIUS`` bits, and is verified on its words.
-At similarity 0.6 no segment agrees with probability (1 - 0.6**4)**64 = 0.0001, and the distance exceeds the
+of its words. The code is cut into ``HASHES / 4`` segments of 32 bits, and the splits are joined on segment and place; only class numbers move. Pairs
+that meet go on if the lowest bits of their eights, ``HASHES`` bits of which about ``HASHES * (1 - s) / 2`` differ, lie within ``RADIUS``, and are
+verified on their words. At similarity 0.6 no segment agrees with probability (1 - 0.6**4)**64 = 0.0001, and the distance exceeds the
 radius, 4.5 standard deviations above its mean, with about 4e-6; both fall quickly above 0.6. Of two unrelated texts a segment agrees by chance
 once in 2**32.
 
-A segment that more than ``HOT`` training texts have is dealt to several tasks: its training texts are split, its held-out ones go to each part.
+A segment that more than ``HOT`` training texts have is dealt to several tasks: its training texts are split, its held-out ones go to each part. Counts
+by ``BUCKETS`` hashes of segments show whether there can be one.
 Empty and null texts and texts without a word overlap with nothing. Copies within a split are one class and
 meet the other split once. Extra columns of the tables are not read.
 """
@@ -21,21 +22,22 @@ from pyspark.sql import DataFrame, functions as F
 from . import words as T
 from .common import cut
 
-HASHES, RADIUS, HOT = 256, 565, 8192
-LONGS = HASHES // 8
+HASHES, RADIUS, HOT, BUCKETS = 256, 80, 8192, 1 << 16
+LONGS = HASHES // 64
 
 
 def coded(cl: DataFrame) -> DataFrame:
-    """Classes with their fingerprint ``code``, as longs."""
+    """Classes with their fingerprint ``code`` and its lowest bits ``low``, as longs."""
     how = T.seeds(HASHES, 2)
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 bits = (T.mixed(T.min_hashes(*T.flat(b, "toks"), how), T.STEP) >> np.uint64(40)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([*b.columns, T.lists(bits.view(np.uint64))], names=[*b.schema.names, "code"])
+                low = np.packbits(bits & 1, axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, T.lists(bits.view(np.uint64)), T.lists(low.view(np.uint64))], names=[*b.schema.names, "code", "low"])
 
-    return cl.select("field", "c", "cls", "toks").mapInArrow(run, "field string, c long, cls binary, toks array<long>, code array<long>")
+    return cl.select("field", "c", "cls", "toks").mapInArrow(run, "field string, c long, cls binary, toks array<long>, code array<long>, low array<long>")
 
 
 def segments(cl: DataFrame, name: str) -> DataFrame:
@@ -55,7 +57,10 @@ def segments(cl: DataFrame, name: str) -> DataFrame:
 def candidates(t: DataFrame, h: DataFrame, hot: int = HOT) -> DataFrame:
     """(a, b): classes of the two splits that agree in a segment."""
     a, b = segments(t, "a"), segments(h, "b")
-    many = cut(a.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("block", F.ceil(F.col("n") / hot).cast("int").alias("parts")))
+    bucket = F.pmod(F.xxhash64("block"), F.lit(BUCKETS))
+    full = a.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    many = a.withColumn("bucket", bucket).join(F.broadcast(cut(full)), "bucket", "left_semi").groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    many = cut(many.select("block", F.ceil(F.col("n") / hot).cast("int").alias("parts")))
     if many.isEmpty():
         return a.join(b, "block").select("a", "b").distinct()
     few = a.join(many, "block", "left_anti").join(b, "block").select("a", "b")
@@ -73,8 +78,11 @@ def overlaps(train: DataFrame, held: DataFrame, least: float = T.THRESHOLD, hot:
     sets = T.word_sets(split_texts(train, "t").unionByName(split_texts(held, "h")))
     cl = cut(coded(T.classes(sets)))
     t, h = cl.where("field = 't'"), cl.where("field = 'h'")
-    distance = sum((F.bit_count(F.col("code_a")[i].bitwiseXOR(F.col("code_b")[i])) for i in range(LONGS)), F.lit(0))
-    links = T.similarity(candidates(t, h, hot), t, h, distance <= RADIUS).where(F.col("similarity") >= least - 1e-12)
+    side = lambda x, n: x.select(F.col("c").alias(n), F.col("low").alias(f"{n}_low"))
+    distance = sum((F.bit_count(F.col("a_low")[i].bitwiseXOR(F.col("b_low")[i])) for i in range(LONGS)), F.lit(0))
+    near = candidates(t, h, hot).join(side(t, "a"), "a").join(side(h, "b"), "b").where(distance <= RADIUS).select("a", "b").distinct()
+    words = lambda x: x.select("field", "c", "cls", "toks")
+    links = T.similarity(near, words(t), words(h)).where(F.col("similarity") >= least - 1e-12)
     m = cut(sets.select("field", "id", "cls").distinct())
     x = links.join(m.where("field = 't'").select(F.col("cls").alias("a"), F.col("id").alias("train_id")), "a")
     return x.join(m.where("field = 'h'").select(F.col("cls").alias("b"), F.col("id").alias("held_id")), "b").groupBy("train_id", "held_id").agg(F.max("similarity").alias("similarity"))

@@ -133,11 +133,10 @@ def lists(a: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * k, k, dtype=np.int32)), pa.array(np.ascontiguousarray(a).reshape(-1).view(np.int64)))
 
 
-def similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, near=None) -> DataFrame:
+def similarity(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(field_a, a, field_b, b, similarity) of distinct pairs of class numbers, exact: common elements over all elements. ``a`` and ``b`` come out as
-    ``cls``. ``left`` and ``right`` have field, c, cls, toks; ``near`` is a condition on their columns, named x_a and x_b, to be met first."""
+    ``cls``. ``left`` and ``right`` have field, c, cls, toks."""
     side = lambda x, n: x.select(F.col("c").alias(n), *(F.col(k).alias(f"{k}_{n}") for k in x.columns if k != "c"))
     p = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b")
-    p = p if near is None else p.where(near)
     common = F.size(F.array_intersect("toks_a", "toks_b"))
     return p.select("field_a", F.col("cls_a").alias("a"), "field_b", F.col("cls_b").alias("b"), (common / (F.size("toks_a") + F.size("toks_b") - common)).alias("similarity"))
