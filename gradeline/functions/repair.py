@@ -1,83 +1,127 @@
-"""JSON of models, repaired: TeX backslashes, bare quotes inside strings, missing ends."""
+"""JSON of models, read with tolerance: TeX backslashes, bare quotes inside strings, missing ends, fences and words around."""
 
 from __future__ import annotations
 
 import json
 import re
 
-_ESCAPE = re.compile(r'\\(?:u[0-9a-fA-F]{4}|["\\/]|[nrt](?![^\W\d_])|)')
-_OBJECT = re.compile(r"\{.*\}", re.S)
 _FENCE = re.compile(r"\A```(?:json)?|```\Z")
-
-
-def _strings(text: str, ends_at_any_quote: bool):
-    """Pieces (inside a string?, text). With ``ends_at_any_quote`` false a quote ends a string only before , } ] : or the end."""
-    i, start, inside, n = 0, 0, False, len(text)
-    while i < n:
-        c = text[i]
-        if inside and c == "\\":
-            i += 2
-            continue
+_SPACE = re.compile(r"[ \t\r\n]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?")
+_WORDS = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+#: Escapes that mean in JSON what they say; n, r and t only where no letter follows, as with one they begin a TeX command.
+_KNOWN = re.compile(r"""\\(?:u([0-9a-fA-F]{4})|(["\\/])|([nrt])(?![^\W\d_]))""")
+_CONTROL = {"n": "\n", "r": "\r", "t": "\t"}
+_PLAIN = re.compile(r'[^"\\\x00-\x1f]+')
+
+
+class Unreadable(ValueError):
+    pass
+
+
+class _Reader:
+    """One pass over a text. A backslash that JSON does not know stands for itself. A quote ends a string only where
+    one of , } ] : or the end follows. Where an object breaks off, what is open counts as closed, if it broke off behind a value or inside a string value."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+        self.may_break = text.startswith("{")
+
+    def next(self) -> str:
+        self.at = _SPACE.match(self.text, self.at).end()
+        return self.text[self.at : self.at + 1]
+
+    def document(self):
+        v = self.value()
+        if self.next():
+            raise Unreadable(self.at)
+        return v
+
+    def value(self):
+        c = self.next()
+        if c == "{":
+            return dict(self.items("}", self.member))
+        if c == "[":
+            return list(self.items("]", self.value))
         if c == '"':
-            if not inside:
-                yield False, text[start : i + 1]
-                start, inside = i + 1, True
-            elif ends_at_any_quote or text[i + 1 :].lstrip(" \t\r\n")[:1] in ("", ",", "}", "]", ":"):
-                yield True, text[start:i]
-                start, inside = i, False
-                yield False, '"'
-                start = i + 1
-        i += 1
-    yield inside, text[start:]
-
-
-def double_backslashes(text: str) -> str:
-    """Doubles the backslashes that JSON does not know, and those of TeX commands such as ``\\neq`` or ``\\boxtimes``."""
-    return "".join(_ESCAPE.sub(lambda m: m.group(0) if len(m.group(0)) > 1 else "\\\\", s) if inside else s for inside, s in _strings(text, True))
-
-
-def escape_quotes(text: str) -> str:
-    """Escapes quotes that stand inside a string."""
-    return "".join(re.sub(r'(?<!\\)((?:\\\\)*)"', r'\1\\"', s) if inside else s for inside, s in _strings(text, False))
-
-
-def close_ends(text: str) -> str:
-    """Closes what an object that breaks off leaves open; other texts stay."""
-    if not text.startswith("{"):
-        return text
-    open_: list[str] = []
-    inside = False
-    for inside, s in _strings(text, True):
-        if not inside:
-            for c in s:
-                if c in "{[":
-                    open_.append("}" if c == "{" else "]")
-                elif open_ and c == open_[-1]:
-                    open_.pop()
-    return text + '"' * inside + "".join(reversed(open_))
-
-
-def _variants(t: str):
-    """Repairs from none to all, each made only when it is asked for."""
-    yield t
-    yield double_backslashes(t)
-    quoted = escape_quotes(t)
-    yield quoted
-    both = double_backslashes(quoted)
-    yield both
-    yield escape_quotes(double_backslashes(t))
-    yield close_ends(both)
+            return self.string()
+        word = next((w for w in _WORDS if self.text.startswith(w, self.at)), None)
+        if word:
+            self.at += len(word)
+            return _WORDS[word]
+        m = _NUMBER.match(self.text, self.at)
+        if not m:
+            raise Unreadable(self.at)
+        self.at = m.end()
+        return float(m.group(0)) if m.group(1) or m.group(2) else int(m.group(0))
+
+    def items(self, end: str, item):
+        self.at += 1
+        c = self.next()
+        while c and c != end:
+            yield item()
+            c = self.next()
+            if c == ",":
+                self.at += 1
+                if self.next() in ("", end):
+                    raise Unreadable(self.at)
+            elif c and c != end:
+                raise Unreadable(self.at)
+        if not c and not self.may_break:
+            raise Unreadable(self.at)
+        self.at += len(c)
+
+    def member(self):
+        if self.next() != '"':
+            raise Unreadable(self.at)
+        name = self.string()
+        if self.next() != ":":
+            raise Unreadable(self.at)
+        self.at += 1
+        return name, self.value()
+
+    def string(self) -> str:
+        out = []
+        self.at += 1
+        while self.at < len(self.text):
+            c = self.text[self.at]
+            if c == '"':
+                after = _SPACE.match(self.text, self.at + 1).end()
+                self.at += 1
+                if self.text[after : after + 1] in ("", ",", "}", "]", ":"):
+                    return "".join(out)
+                out.append(c)
+            elif c == "\\":
+                m = _KNOWN.match(self.text, self.at)
+                out.append(c if not m else m.group(2) or _CONTROL.get(m.group(3)) or chr(int(m.group(1), 16)))
+                self.at = m.end() if m else self.at + 1
+            elif m := _PLAIN.match(self.text, self.at):
+                out.append(m.group(0))
+                self.at = m.end()
+            else:
+                raise Unreadable(self.at)
+        if not self.may_break:
+            raise Unreadable(self.at)
+        return "".join(out)
+
+
+def tolerant(text: str):
+    """Value of a text in JSON with faults; raises a ValueError if it cannot be read."""
+    try:
+        return _Reader(text).document()
+    except RecursionError as e:
+        raise Unreadable(text[:40]) from e
 
 
 def loads(text: str | None):
-    """The first reading that parses: as it is, then repaired more and more; of the whole text, then of its braces. None if none does."""
+    """Strictly where that goes, else with tolerance; the whole text, else what stands from its first to its last brace. None if nothing can be read."""
     base = _FENCE.sub("", (text or "").strip()).strip()
-    m = _OBJECT.search(base)
-    for t in dict.fromkeys([base, m.group(0) if m else base]):
-        for x in _variants(t) if t else ():
+    inner = base[base.find("{") : base.rfind("}") + 1] if "{" in base else ""
+    for t in dict.fromkeys(x for x in (base, inner) if x):
+        for read in (json.loads, tolerant):
             try:
-                return json.loads(x)
-            except ValueError:
+                return read(t)
+            except (ValueError, RecursionError):
                 pass
     return None
 
