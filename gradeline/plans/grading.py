@@ -61,17 +61,26 @@ def grid_rows(s, d):
     return grid_answers(store.latest(grades(s, d, "id", "booklet_id", "model", "prompt_version", "raw_response").where("prompt_version = 'grid_v3'"), ["booklet_id"], "id"))
 
 
-GRID_SQL = r"""
+#: Rows of a response that are there as far as their note, the one it may break off in, and what it may break off behind or inside of and still be read.
+ROW_SQL = r'\{\s*"question"\s*:\s*(\d+)\s*,\s*"marks"\s*:\s*\[[^{}]*?\]\s*,\s*"final_answer"\s*:\s*(?:null|"[^"]*")\s*,\s*"note"\s*:\s*"'
+INNER_SQL = r'\[\s*|\[(?:\s*"[^"]*"\s*,)*\s*"[^"]*(?:"\s*)?|\[[^\[\]]*\]\s*'
+LAST_SQL = rf'\{{\s*"question"\s*:\s*(\d+)\s*(?:,\s*"marks"\s*:\s*\[\s*(?:(?:\[[^\[\]]*\]\s*,\s*)*(?:{INNER_SQL})\]?\s*)?)?$'
+ANSWER_SQL = r'\{\s*"question"\s*:\s*\d+\s*,\s*"marks"\s*:\s*\[[^{}]*?\]\s*,\s*"final_answer"\s*:\s*(?:null\s*|"[^"]*"?\s*)$'
+BEGINS_SQL = r'^\s*(```(json)?)?\s*\{'
+GRID_SQL = rf"""
 WITH g AS (
   SELECT DISTINCT id, booklet_id, raw_response FROM grades WHERE prompt_version = 'grid_v3'
 ), l AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY booklet_id ORDER BY id DESC) = 1
 ), u AS (
-  SELECT id, booklet_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw_response, '^\s+|\s+$', '', 'g'), '^```(?:json)?', ''), '```$', ''), '^\s+|\s+$', '', 'g') AS t FROM l
-), j AS (SELECT id, booklet_id, CAST(t AS JSON) AS x FROM u WHERE regexp_matches(t, '(?s)^\{.*\}$') AND json_valid(t)
+  SELECT id, booklet_id, coalesce(raw_response, '') AS t FROM l
+), j AS (SELECT id, booklet_id, regexp_extract(t, '"suit"\s*:\s*"([^"]*)"', 1) AS suit, list_concat(
+    list_transform(regexp_extract_all(t, '{ROW_SQL}'), lambda r: {{'question': CAST(regexp_extract(r, '"question"\s*:\s*(\d+)', 1) AS INTEGER), 'letter': nullif(regexp_extract(r, '"final_answer"\s*:\s*"([^"]*)"', 1), '')}}),
+    list_transform(CASE WHEN regexp_matches(t, '{BEGINS_SQL}') THEN regexp_extract_all(t, '{ANSWER_SQL}') ELSE [] END, lambda r: {{'question': CAST(regexp_extract(r, '"question"\s*:\s*(\d+)', 1) AS INTEGER), 'letter': CASE WHEN NOT regexp_matches(r, 'null\s*$') THEN regexp_extract(r, '"final_answer"\s*:\s*"([^"]*)', 1) END}}),
+    list_transform(CASE WHEN regexp_matches(t, '{BEGINS_SQL}') THEN regexp_extract_all(t, '{LAST_SQL}') ELSE [] END, lambda r: {{'question': CAST(regexp_extract(r, '"question"\s*:\s*(\d+)', 1) AS INTEGER), 'letter': NULL::VARCHAR}})) AS x FROM u
 ), a AS (
-  SELECT id, booklet_id, x->>'$.suit' AS suit, unnest(json_extract(x, '$.rows[*]')) AS r FROM j
+  SELECT id, booklet_id, CASE WHEN len(x) > 0 THEN suit END AS suit, unnest(CASE WHEN len(x) > 0 THEN x ELSE [{{'question': NULL::INTEGER, 'letter': NULL::VARCHAR}}] END) AS r FROM j
 ), answers AS (
-  SELECT id, booklet_id, suit, CAST(r->>'$.question' AS INTEGER) AS question, r->>'$.final_answer' AS letter FROM a
+  SELECT id, booklet_id, suit, r.question AS question, r.letter AS letter FROM a
 )"""
 VOTE_SQL = GRID_SQL + """, n AS (SELECT suit, question, letter, count(*) AS support FROM answers WHERE letter IS NOT NULL AND suit IS NOT NULL GROUP BY ALL
 ), k AS (SELECT suit, question, letter, support, rank() OVER w AS r, count(*) OVER (PARTITION BY suit, question, support) AS same FROM n WINDOW w AS (PARTITION BY suit, question ORDER BY support DESC)

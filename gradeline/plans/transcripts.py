@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions import scores as S, text as X
+from ..functions import fixed, scores as S, text as X
 from ..operators import layout, measures, store
 from .tables import Query, table
 
@@ -108,9 +108,9 @@ QUERIES: dict[str, Query] = {
     ),
     "formula_results": Query(
         lambda s, d: rows(s, d, "transcript_id", "math_latex").select("transcript_id", F.explode("math_latex").alias("formula")).distinct().select("transcript_id", "formula", X.result_segment("formula").alias("result")).withColumn("last_number", X.last_number(F.col("result"))),
-        r"""WITH e AS (SELECT DISTINCT transcript_id, unnest(math_latex) AS formula FROM transcriber),
-        r AS (SELECT transcript_id, formula, coalesce(list_filter(list_transform(regexp_split_to_array(coalesce(formula, ''), '\\approx|\\simeq|\\rightarrow|\\Rightarrow|\\to\b|->|[≈=→⇒]'), lambda x: trim(x)), lambda x: x <> '')[-1], '') AS result FROM e)
-        SELECT transcript_id, formula, result, regexp_extract_all(result, '-?\d+(?:\.\d+)?(?:\s*/\s*\d+(?:\.\d+)?)?%?')[-1] AS last_number FROM r""",
+        f"""WITH e AS (SELECT DISTINCT transcript_id, unnest(math_latex) AS formula FROM transcriber),
+        r AS (SELECT transcript_id, formula, coalesce(list_filter(list_transform(regexp_split_to_array(coalesce(formula, ''), '{fixed.RESULT_SIGNS}'), lambda x: trim(x)), lambda x: x <> '')[-1], '') AS result FROM e)
+        SELECT transcript_id, formula, result, regexp_extract_all(result, '{fixed.NUMBER}')[-1] AS last_number FROM r""",
     ),
     "option_texts": Query(
         lambda s, d: rows(s, d, "transcript_id", "math_latex").select(F.explode("math_latex").alias("formula")).select(X.option_text("formula").alias("option")).groupBy("option").agg(F.count("*").alias("n")),
