@@ -26,11 +26,25 @@ def upsert(first: DataFrame, second: DataFrame, keys: list[str], *order) -> Data
     return latest(both, keys, "_src", *order).drop("_src")
 
 
-def proposals(events: DataFrame, key: str, content: str, order: str) -> DataFrame:
-    """Versions by idempotent proposal: content equal to the one before it in the key gets no new version."""
-    w = W.partitionBy(key).orderBy(order)
-    e = events.withColumn("_new", ~F.col(content).eqNullSafe(F.lag(content).over(w)) | (F.row_number().over(w) == 1))
-    return e.withColumn("version", F.sum(F.col("_new").cast("int")).over(w)).drop("_new")
+def proposals(events: DataFrame, key: str, content: str, order: str, approvals: DataFrame | None = None) -> DataFrame:
+    """(key, content, version, first, n): versions by idempotent proposal. Content that is already proposed or approved under its key keeps its version; content
+    whose version was superseded, which only an approved one is, by the approval of other content, gets a new one.
+
+    ``approvals`` has the same columns and names what was approved when. Without approvals nothing is superseded, and proposals are counted
+    before anything is ordered; with them, the events of each content are put in order."""
+    e = events.select(F.col(key), F.col(content), F.col(order).alias("_at"))
+    if approvals is None:
+        lives = e.groupBy(key, content).agg(F.min("_at").alias("first"), F.count("*").alias("n"))
+    else:
+        a = approvals.select(F.col(key), F.col(content), F.col(order).alias("_at")).distinct()
+        before = F.lag(content).over(W.partitionBy(key).orderBy("_at"))
+        fallen = a.withColumn("_old", before).where(F.col("_old").isNotNull() & (F.col("_old") != F.col(content))).select(key, F.col("_old").alias(content), "_at")
+        kind = lambda df, n: df.withColumn("_kind", F.lit(n))
+        w = W.partitionBy(key, content).orderBy("_at", "_kind")
+        log = kind(e, 2).unionByName(kind(a, 1)).unionByName(kind(fallen, 0)).withColumn("_last", F.lag("_kind").over(w))
+        new = (F.col("_kind") == 2) & (F.col("_last").isNull() | (F.col("_last") == 0))
+        lives = log.withColumn("_life", F.sum(new.cast("int")).over(w)).where("_kind = 2").groupBy(key, content, "_life").agg(F.min("_at").alias("first"), F.count("*").alias("n")).drop("_life")
+    return lives.withColumn("version", F.row_number().over(W.partitionBy(key).orderBy("first", content)).cast("long")).select(key, content, "version", "first", "n")
 
 
 def stale(current: DataFrame, approved: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,10 +53,27 @@ def stale(current: DataFrame, approved: DataFrame, keys: list[str]) -> DataFrame
     return current.join(a, keys).where(~F.col("hash").eqNullSafe(F.col("approved_hash")))
 
 
-def approvals(log: DataFrame, key: str, version: str, order: str) -> DataFrame:
-    """State of each version after a log of approvals: the one approved last is approved, the others approved before it superseded."""
-    last = F.max_by(version, order).over(W.partitionBy(key))
-    return log.groupBy(key, version).agg(F.max(order).alias(order)).withColumn("status", F.when(F.col(version) == last, "approved").otherwise("superseded"))
+def _judged(log: DataFrame, versions: DataFrame, key: str, version: str, faulty: DataFrame | None) -> DataFrame:
+    known = versions.select(key, version).distinct().withColumn("_known", F.lit(True))
+    j = log.join(known, [key, version], "left")
+    j = j.join(faulty.select(key, version).distinct().withColumn("_bad", F.lit(True)), [key, version], "left") if faulty is not None else j.withColumn("_bad", F.lit(None).cast("boolean"))
+    return j.withColumn("error", F.when(F.col("_known").isNull(), "unknown version").when(F.col("_bad"), "not valid")).drop("_known", "_bad")
+
+
+def approval_errors(log: DataFrame, versions: DataFrame, key: str, version: str, faulty: DataFrame | None = None) -> DataFrame:
+    """Approvals that cannot be: of a version never proposed, or of one in ``faulty``. They change nothing."""
+    return _judged(log, versions, key, version, faulty).where("error is not null")
+
+
+def approvals(log: DataFrame, versions: DataFrame, key: str, version: str, order: str, by: str | None = None, faulty: DataFrame | None = None) -> DataFrame:
+    """State of every proposed version after a log of approvals: the one approved last is approved, others approved before are
+    superseded, the rest is proposed; with when, and by whom if ``by`` names a column, it was approved last."""
+    ok = _judged(log, versions, key, version, faulty).where("error is null")
+    last = ok.groupBy(key, version).agg(F.max(F.struct(F.col(order).alias("at"), *([F.col(by).alias("by")] if by else []))).alias("_a"))
+    newest = last.groupBy(key).agg(F.max("_a.at").alias("_newest"))
+    v = versions.select(key, version).distinct().join(last, [key, version], "left").join(newest, key, "left")
+    status = F.when(F.col("_a").isNull(), "proposed").when(F.col("_a.at") == F.col("_newest"), "approved").otherwise("superseded")
+    return v.select(key, version, status.alias("status"), F.col("_a.at").alias("approved_at"), *([F.col("_a.by").alias("approved_by")] if by else []))
 
 
 def admitted(spend: DataFrame, key: str, order: list[str], cost: str, budget: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def majority(votes: DataFrame, keys: list[str], value: str, voters: DataFrame | None = None) -> DataFrame:
@@ -49,16 +49,20 @@ def cross_checked(first: DataFrame, second: DataFrame, keys: list[str]) -> DataF
     return j.select(*keys, F.col("answer").alias("first_answer"), "other", final.alias("final_answer"), F.array_join(reasons, "; ").alias("reasons"), (F.size(reasons) > 0).alias("needs_review"))
 
 
+#: Excess ink of a mark, margin in which it is doubtful, gap of filling by which one of two marks is taken back.
 MARK, MARGIN, SOLID = 0.027, 0.005, 0.08
 
 
 def resolved_rows(cells: DataFrame, sheet: str, row: str) -> DataFrame:
     """Cells (sheet, row, letter, ink, core_fill) to one row each: the lower half of a sheet's inks gives the ink of an empty box;
     what is well above it is a mark. One mark is the answer; of two, one much more filled is taken back; else ambiguous."""
-    w = W.partitionBy(sheet).orderBy("ink")
-    low = cells.withColumn("_k", F.row_number().over(w)).withColumn("_n", F.count("*").over(W.partitionBy(sheet)))
-    base = low.where(F.col("_k") <= F.floor(F.col("_n") / 2)).groupBy(sheet).agg(F.median("ink").alias("baseline"))
-    c = cells.join(base, sheet, "left").withColumn("excess", F.col("ink") - F.coalesce("baseline", F.lit(0.0)))
+    # a sheet has as many cells as its form, so it is one row for a moment, and its rows need no second shuffle
+    cell = F.struct(F.col(row).alias("row"), F.col("letter").alias("letter"), F.col("ink").cast("double").alias("ink"), F.col("core_fill").cast("double").alias("core_fill"))
+    g = cells.groupBy(sheet).agg(F.collect_list(cell).alias("c")).withColumn("_s", F.array_sort(F.transform("c", lambda x: x["ink"])))
+    low = F.floor(F.size("_s") / 2).cast("int")
+    at = lambda k: F.get("_s", k.cast("int"))
+    base = F.when(low > 0, (at(F.floor((low - 1) / 2)) + at(F.floor(low / 2))) / 2).otherwise(0.0)
+    c = g.select(sheet, base.alias("_base"), F.explode("c").alias("x")).select(sheet, F.col("x.row").alias(row), F.col("x.letter").alias("letter"), F.col("x.core_fill").alias("core_fill"), (F.col("x.ink") - F.coalesce("_base", F.lit(0.0))).alias("excess"))
     marked = F.when(F.col("excess") >= MARK, F.struct((-F.col("core_fill")).alias("light"), F.col("letter").alias("letter")))
     r = c.groupBy(sheet, row).agg(F.array_sort(F.collect_list(marked)).alias("m"), F.bool_or(F.abs(F.col("excess") - MARK) < MARGIN).alias("low_margin"))
     n = F.size("m")

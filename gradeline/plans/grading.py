@@ -102,17 +102,18 @@ CURRENT_SQL = "cur AS (SELECT * FROM (SELECT DISTINCT id, booklet_id, question_i
 
 
 def two_models(s, d):
-    g = grades(s, d, "id", "booklet_id", "question_id", "model", "score", "max_score")
-    last = store.latest(g.where("model in ('vlm-lark-2', 'vlm-lark-2-mini')"), ["booklet_id", "question_id", "model"], "id")
-    a = last.where("model = 'vlm-lark-2'").select("booklet_id", "question_id", F.col("score").alias("system"), "max_score")
-    b = last.where("model = 'vlm-lark-2-mini'").select("booklet_id", "question_id", F.col("score").alias("reference"))
-    return a.join(b, ["booklet_id", "question_id"]).withColumn("max_points", F.col("max_score"))
+    """The last score of every model for a question against that of every other one, each pair of models once."""
+    last = store.latest(grades(s, d, "id", "booklet_id", "question_id", "model", "score", "max_score"), ["booklet_id", "question_id", "model"], "id")
+    a = last.select("booklet_id", "question_id", F.col("model").alias("system_model"), F.col("score").alias("system"), F.col("max_score").alias("max_points"))
+    b = last.select("booklet_id", "question_id", F.col("model").alias("reference_model"), F.col("score").alias("reference"))
+    return a.join(b, ["booklet_id", "question_id"]).where("system_model < reference_model")
 
 
-TWO_SQL = """last AS (SELECT * FROM (SELECT DISTINCT id, booklet_id, question_id, model, score, max_score FROM grades WHERE model IN ('vlm-lark-2', 'vlm-lark-2-mini'))
+MODELS = ["system_model", "reference_model"]
+TWO_SQL = """last AS (SELECT * FROM (SELECT DISTINCT id, booklet_id, question_id, model, score, max_score FROM grades)
   QUALIFY row_number() OVER (PARTITION BY booklet_id, question_id, model ORDER BY id DESC) = 1),
-pairs AS (SELECT a.booklet_id, a.question_id, a.score AS system, b.score AS reference, a.max_score AS max_points FROM last a JOIN last b USING (booklet_id, question_id)
-  WHERE a.model = 'vlm-lark-2' AND b.model = 'vlm-lark-2-mini')"""
+pairs AS (SELECT a.booklet_id, a.question_id, a.model AS system_model, b.model AS reference_model, a.score AS system, b.score AS reference, a.max_score AS max_points FROM last a JOIN last b USING (booklet_id, question_id)
+  WHERE a.model < b.model)"""
 
 
 def rounded(df, *names, digits=6):
@@ -120,11 +121,11 @@ def rounded(df, *names, digits=6):
 
 
 def total_pairs(s, d):
-    return two_models(s, d).groupBy("booklet_id").agg(S.strict_sum(F.col("system")).alias("system"), S.strict_sum(F.col("reference")).alias("reference"))
+    return two_models(s, d).groupBy(*MODELS, "booklet_id").agg(S.strict_sum(F.col("system")).alias("system"), S.strict_sum(F.col("reference")).alias("reference"))
 
 
-TOTAL_SQL = TWO_SQL + """, totals AS (SELECT booklet_id, CASE WHEN count(*) = count(system) THEN sum(system) END AS system,
-  CASE WHEN count(*) = count(reference) THEN sum(reference) END AS reference FROM pairs GROUP BY booklet_id)"""
+TOTAL_SQL = TWO_SQL + """, totals AS (SELECT system_model, reference_model, booklet_id, CASE WHEN count(*) = count(system) THEN sum(system) END AS system,
+  CASE WHEN count(*) = count(reference) THEN sum(reference) END AS reference FROM pairs GROUP BY ALL)"""
 
 
 def open_answers(s, d):
@@ -145,6 +146,53 @@ def path_totals(s, d):
     return milestones(s, d).groupBy("rubric_id", "question_id", "max_points", "pos", "path_id").agg(F.sum("m.points").alias("score"), F.count("*").alias("n_milestones"), F.count("m.expected").alias("n_values"))
 
 
+def revisions(s, d):
+    """What graders worked by, as proposals of content: the rubric's version stands for the content of its question."""
+    g = grades(s, d, "id", "rubric_id", "question_id", "rubric_version", "needs_review")
+    return g.select(F.concat_ws("/", "rubric_id", "question_id").alias("key"), X.digest(F.col("rubric_version").cast("string"), 8).alias("content"), "id", "needs_review")
+
+
+REVISIONS_SQL = "e AS (SELECT DISTINCT rubric_id || '/' || question_id AS key, substr(sha256(CAST(rubric_version AS VARCHAR)), 1, 8) AS content, id, needs_review FROM grades)"
+
+
+def rubric_versions(s, d):
+    g = grades(s, d, "rubric_id", "rubric_version")
+    return g.unionByName(g.groupBy("rubric_id").agg((F.max("rubric_version") + 1).cast("int").alias("rubric_version"))).distinct()
+
+
+def faulty_rubric(s, d):
+    r = table(s, d, "curated_rubric").distinct()
+    turned = F.transform("paths", lambda p: F.struct(p["path_id"].alias("path_id"), F.when(F.col("question_id") == "3", F.reverse(p["milestones"])).otherwise(p["milestones"]).alias("milestones")))
+    return r.withColumn("max_points", F.col("max_points") + (F.col("question_id") == "2").cast("int")).withColumn("paths", F.when(F.col("question_id") != "5", turned))
+
+
+def cases(s, d):
+    c = table(s, d, "curated_cases").select("id", "set", "rubric_id", "question_id", "declared", "slip", "expected_score").distinct()
+    return c.join(table(s, d, "curated_rubric").select("rubric_id", "question_id", "max_points").distinct(), ["rubric_id", "question_id"], "left")
+
+
+def judged_cases(s, d):
+    """Cases with the last score that an open answer to the rubric's question got."""
+    g = grades(s, d, "id", "rubric_id", "question_id", "prompt_version", "score", "needs_review", "evidence").where("prompt_version like 'open_grade%'")
+    g = store.latest(g, ["rubric_id", "question_id"], "id").select("rubric_id", "question_id", "score", (F.col("needs_review") == 1).alias("needs_review"), F.from_json(F.get_json_object("evidence", "$.deductions"), "array<string>").alias("deductions"))
+    return scoring.verdicts(cases(s, d).join(g, ["rubric_id", "question_id"], "left"))
+
+
+CASES_SQL = """g AS (SELECT * FROM (SELECT DISTINCT id, rubric_id, question_id, prompt_version, score, needs_review, evidence FROM grades WHERE prompt_version LIKE 'open_grade%') QUALIFY row_number() OVER (PARTITION BY rubric_id, question_id ORDER BY id DESC) = 1),
+c AS (SELECT DISTINCT id, "set", rubric_id, question_id, declared, slip, expected_score FROM curated_cases), q AS (SELECT DISTINCT rubric_id, question_id, max_points FROM curated_rubric),
+j AS (SELECT c.*, q.max_points, g.score, g.needs_review = 1 AS needs_review, from_json(CAST(g.evidence AS JSON)->'$.deductions', '["VARCHAR"]') AS deductions FROM c LEFT JOIN q USING (rubric_id, question_id) LEFT JOIN g USING (rubric_id, question_id)),
+verdicts AS (SELECT *, CASE WHEN score IS NULL OR max_points IS NULL THEN false WHEN "set" = 'alternative' THEN abs(score - max_points) < 1e-9 AND (coalesce(declared, true) OR coalesce(needs_review, false))
+  WHEN "set" = 'consequential' THEN coalesce(deductions = [slip], false) AND coalesce(abs(score - expected_score) < 1e-9, false) ELSE abs(score - max_points) >= 1e-9 END AS passed FROM j)"""
+
+
+def curated_run(s, d):
+    """Cases scored from responses: the last recorded extraction for the rubric's question stands for the case's own."""
+    g = grades(s, d, "id", "rubric_id", "question_id", "raw_response", "prompt_version").where("prompt_version like 'open_grade%'")
+    r = store.latest(g, ["rubric_id", "question_id"], "id").withColumnRenamed("raw_response", "response")
+    scores = scoring.scored(r, table(s, d, "curated_rubric")).join(r.select("id", "rubric_id", "question_id"), "id").drop("id")
+    return scoring.verdicts(cases(s, d).join(scores, ["rubric_id", "question_id"], "left"))
+
+
 REVIEW_SQL = "CAST(count(*) AS BIGINT) AS n_questions, CAST(sum(CASE WHEN needs_review = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_flagged"
 
 QUERIES: dict[str, Query] = {
@@ -197,25 +245,37 @@ QUERIES: dict[str, Query] = {
         lambda s, d: table(s, d, "grades").groupBy("rubric_id").agg((F.max("rubric_version") + 1).alias("next_version")),
         "SELECT rubric_id, max(rubric_version) + 1 AS next_version FROM grades GROUP BY 1",
     ),
-    "rubric_proposals": Query(
-        lambda s, d: store.proposals(grades(s, d, "id", "rubric_id", "question_id", "question_hash").withColumn("key", F.concat_ws("/", "rubric_id", "question_id")), "key", "question_hash", "id")
-        .groupBy("key", "version").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).withColumn("version", F.col("version").cast("long")),
-        """WITH e AS (SELECT DISTINCT id, rubric_id || '/' || question_id AS key, question_hash AS h FROM grades), n AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR h IS DISTINCT FROM lag(h) OVER w THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY key ORDER BY id)),
-        v AS (SELECT *, CAST(sum(new) OVER (PARTITION BY key ORDER BY id) AS BIGINT) AS version FROM n) SELECT key, version, min(id) AS first_id, count(*) AS n FROM v GROUP BY key, version""",
-    ),
-    "approval_states": Query(
-        lambda s, d: store.approvals(grades(s, d, "id", "rubric_id", "rubric_version"), "rubric_id", "rubric_version", "id").withColumnRenamed("id", "last_id"),
-        """WITH v AS (SELECT rubric_id, rubric_version, max(id) AS last_id FROM grades GROUP BY ALL)
-        SELECT rubric_id, rubric_version, last_id, CASE WHEN last_id = max(last_id) OVER (PARTITION BY rubric_id) THEN 'approved' ELSE 'superseded' END AS status FROM v""",
-    ),
-    "stale_grades": Query(
+    "rubric_proposals": Query(  # content that comes again later keeps its version
+        lambda s, d: store.proposals(revisions(s, d), "key", "content", "id").select("key", "content", "version", F.col("first").alias("first_id"), "n"),
+        f"WITH {REVISIONS_SQL}, l AS (SELECT key, content, min(id) AS first_id, count(*) AS n FROM e GROUP BY ALL) SELECT key, content, row_number() OVER (PARTITION BY key ORDER BY first_id, content) AS version, first_id, n FROM l",
+    ),
+    "rubric_revisions": Query(  # with approvals: content comes back under a new version once other content was approved in its place
+        lambda s, d: store.proposals(revisions(s, d), "key", "content", "id", revisions(s, d).where("needs_review = 0 and id % 3 = 0").select("key", "content", "id")).select("key", "content", "version", F.col("first").alias("first_id"), "n"),
+        f"""WITH {REVISIONS_SQL}, a AS (SELECT key, content, id FROM e WHERE needs_review = 0 AND id % 3 = 0), f AS (SELECT key, old AS content, id FROM (SELECT *, lag(content) OVER (PARTITION BY key ORDER BY id) AS old FROM a) WHERE old <> content),
+        log AS (SELECT key, content, id, 2 AS kind FROM e UNION ALL SELECT key, content, id, 1 FROM a UNION ALL SELECT key, content, id, 0 FROM f), w AS (SELECT *, lag(kind) OVER (PARTITION BY key, content ORDER BY id, kind) AS last FROM log),
+        v AS (SELECT *, sum(CASE WHEN kind = 2 AND (last IS NULL OR last = 0) THEN 1 ELSE 0 END) OVER (PARTITION BY key, content ORDER BY id, kind) AS life FROM w), l AS (SELECT key, content, life, min(id) AS first_id, count(*) AS n FROM v WHERE kind = 2 GROUP BY ALL)
+        SELECT key, content, row_number() OVER (PARTITION BY key ORDER BY first_id, content) AS version, first_id, n FROM l""",
+    ),
+    "approval_states": Query(  # approvals are the grades that asked for no review; the version after the newest is proposed only
+        lambda s, d: store.approvals(grades(s, d, "id", "rubric_id", "rubric_version", "needs_review", "model").where("needs_review = 0"), rubric_versions(s, d), "rubric_id", "rubric_version", "id", "model").withColumnRenamed("approved_at", "last_id"),
+        """WITH g AS (SELECT DISTINCT id, rubric_id, rubric_version, needs_review, model FROM grades), a AS (SELECT rubric_id, rubric_version, max(id) AS last_id, max_by(model, id) AS approved_by FROM g WHERE needs_review = 0 GROUP BY ALL),
+        v AS (SELECT DISTINCT rubric_id, rubric_version FROM g UNION SELECT rubric_id, max(rubric_version) + 1 FROM g GROUP BY 1)
+        SELECT rubric_id, rubric_version, last_id, approved_by, CASE WHEN last_id IS NULL THEN 'proposed' WHEN last_id = max(last_id) OVER (PARTITION BY rubric_id) THEN 'approved' ELSE 'superseded' END AS status FROM v LEFT JOIN a USING (rubric_id, rubric_version)""",
+    ),
+    "approval_errors": Query(  # approvals two versions ahead: some of versions that were never proposed
+        lambda s, d: store.approval_errors(grades(s, d, "id", "rubric_id", "rubric_version").withColumn("rubric_version", F.col("rubric_version") + 2), rubric_versions(s, d), "rubric_id", "rubric_version").groupBy("rubric_id", "rubric_version", "error").agg(F.count("*").alias("n")),
+        """WITH g AS (SELECT DISTINCT id, rubric_id, rubric_version FROM grades), v AS (SELECT DISTINCT rubric_id, rubric_version FROM g UNION SELECT rubric_id, max(rubric_version) + 1 FROM g GROUP BY 1)
+        SELECT rubric_id, rubric_version + 2 AS rubric_version, 'unknown version' AS error, count(*) AS n FROM g WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.rubric_id = g.rubric_id AND v.rubric_version = g.rubric_version + 2) GROUP BY ALL""",
+    ),
+    "stale_grades": Query(  # a question's content is its hash and the rubric's version
         lambda s, d: store.stale(
-            current(s, d, "question_hash").withColumnRenamed("question_hash", "hash"),
-            store.latest(grades(s, d, "id", "rubric_id", "question_id", "rubric_version", "question_hash"), ["rubric_id", "question_id"], "rubric_version", "id").select("rubric_id", "question_id", F.col("question_hash").alias("hash")),
+            current(s, d, "question_hash", "rubric_version").withColumn("hash", X.digest(F.concat_ws("/", "question_hash", "rubric_version"), 16)),
+            store.latest(grades(s, d, "id", "rubric_id", "question_id", "rubric_version", "question_hash"), ["rubric_id", "question_id"], "rubric_version", "id").select("rubric_id", "question_id", X.digest(F.concat_ws("/", "question_hash", "rubric_version"), 16).alias("hash")),
             ["rubric_id", "question_id"],
         ).select("id", "booklet_id", "question_id", "rubric_id", "hash", "approved_hash"),
-        f"""WITH {CURRENT_SQL}, ap AS (SELECT * FROM (SELECT DISTINCT id, rubric_id, question_id, rubric_version, question_hash FROM grades) QUALIFY row_number() OVER (PARTITION BY rubric_id, question_id ORDER BY rubric_version DESC, id DESC) = 1)
-        SELECT cur.id, cur.booklet_id, cur.question_id, cur.rubric_id, cur.question_hash AS hash, ap.question_hash AS approved_hash FROM cur JOIN ap USING (rubric_id, question_id) WHERE cur.question_hash IS DISTINCT FROM ap.question_hash""",
+        f"""WITH {CURRENT_SQL}, ap AS (SELECT * FROM (SELECT DISTINCT id, rubric_id, question_id, rubric_version, question_hash FROM grades) QUALIFY row_number() OVER (PARTITION BY rubric_id, question_id ORDER BY rubric_version DESC, id DESC) = 1),
+        h AS (SELECT cur.id, cur.booklet_id, cur.question_id, cur.rubric_id, substr(sha256(concat_ws('/', cur.question_hash, cur.rubric_version)), 1, 16) AS hash, substr(sha256(concat_ws('/', ap.question_hash, ap.rubric_version)), 1, 16) AS approved_hash FROM cur JOIN ap USING (rubric_id, question_id))
+        SELECT * FROM h WHERE hash <> approved_hash""",
     ),
     "stale_semi": Query(
         lambda s, d: table(s, d, "booklets").select("booklet_id", "source_file").distinct().join(grades(s, d, "booklet_id", "status").where("status = 'superseded'"), "booklet_id", "left_semi"),
@@ -269,28 +329,33 @@ QUERIES: dict[str, Query] = {
         f"WITH {CURRENT_SQL}, r AS (SELECT rubric_id, unnest(from_json(review_reasons, '[\"VARCHAR\"]')) AS reason FROM cur) SELECT rubric_id, reason, count(*) AS n FROM r GROUP BY ALL",
     ),
     "question_gate": Query(
-        lambda s, d: rounded(measures.question_gate(two_models(s, d), "question_id"), "mae", "within1", "signed"),
-        f"""WITH {TWO_SQL}, e AS (SELECT question_id, (system - reference) * 10 / coalesce(nullif(max_points, 0), 10) AS d FROM pairs WHERE system IS NOT NULL AND reference IS NOT NULL)
-        SELECT question_id, count(*) AS n, round(avg(abs(d)), 6) AS mae, round(avg(CASE WHEN abs(d) <= 1 + 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS within1, round(avg(d), 6) + 0.0 AS signed FROM e GROUP BY 1""",
+        lambda s, d: rounded(measures.question_gate(two_models(s, d), *MODELS, "question_id"), "mae", "within1", "signed"),
+        f"""WITH {TWO_SQL}, e AS (SELECT system_model, reference_model, question_id, (system - reference) * 10 / coalesce(nullif(max_points, 0), 10) AS d FROM pairs WHERE system IS NOT NULL AND reference IS NOT NULL)
+        SELECT system_model, reference_model, question_id, count(*) AS n, round(avg(abs(d)), 6) AS mae, round(avg(CASE WHEN abs(d) <= 1 + 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS within1, round(avg(d), 6) + 0.0 AS signed FROM e GROUP BY ALL""",
     ),
     "total_gate": Query(
-        lambda s, d: rounded(measures.total_gate(total_pairs(s, d)), "pearson", "mae_total", "signed"),
+        lambda s, d: rounded(measures.total_gate(total_pairs(s, d), *MODELS), "pearson", "mae_total", "signed"),
         f"""WITH {TOTAL_SQL}, e AS (SELECT * FROM totals WHERE system IS NOT NULL AND reference IS NOT NULL)
-        SELECT count(*) AS n, CASE WHEN count(*) >= 2 AND var_pop(system) > 0 AND var_pop(reference) > 0 THEN round(corr(system, reference), 6) + 0.0 END AS pearson, round(avg(abs(system - reference)), 6) AS mae_total,
-          round(avg(system - reference), 6) + 0.0 AS signed, count(*) FILTER (WHERE abs(system - reference) < 1e-9) AS exact FROM e""",
+        SELECT system_model, reference_model, count(*) AS n, CASE WHEN count(*) >= 2 AND var_pop(system) > 0 AND var_pop(reference) > 0 THEN round(corr(system, reference), 6) + 0.0 END AS pearson, round(avg(abs(system - reference)), 6) AS mae_total,
+          round(avg(system - reference), 6) + 0.0 AS signed, count(*) FILTER (WHERE abs(system - reference) < 1e-9) AS exact FROM e GROUP BY ALL""",
     ),
     "gate_passes": Query(
-        lambda s, d: measures.gates(measures.question_gate(two_models(s, d), "question_id"), {"mae": ("<=", 1.0), "within1": (">=", 0.85), "signed": ("abs<=", 0.3)}).select("question_id", "mae_pass", "within1_pass", "signed_pass"),
-        f"""WITH {TWO_SQL}, e AS (SELECT question_id, (system - reference) * 10 / coalesce(nullif(max_points, 0), 10) AS d FROM pairs WHERE system IS NOT NULL AND reference IS NOT NULL)
-        SELECT question_id, avg(abs(d)) <= 1 AS mae_pass, avg(CASE WHEN abs(d) <= 1 + 1e-9 THEN 1.0::DOUBLE ELSE 0 END) >= 0.85 AS within1_pass, abs(avg(d)) <= 0.3 AS signed_pass FROM e GROUP BY 1""",
+        lambda s, d: measures.gates(rounded(measures.question_gate(two_models(s, d), *MODELS, "question_id"), "mae", "within1", "signed"), {"mae": ("<=", 1.0), "within1": (">=", 0.85), "signed": ("abs<=", 0.3)}).select(*MODELS, "question_id", "mae_pass", "within1_pass", "signed_pass"),
+        f"""WITH {TWO_SQL}, e AS (SELECT system_model, reference_model, question_id, (system - reference) * 10 / coalesce(nullif(max_points, 0), 10) AS d FROM pairs WHERE system IS NOT NULL AND reference IS NOT NULL)
+        SELECT system_model, reference_model, question_id, round(avg(abs(d)), 6) <= 1 AS mae_pass, round(avg(CASE WHEN abs(d) <= 1 + 1e-9 THEN 1.0::DOUBLE ELSE 0 END), 6) >= 0.85 AS within1_pass, abs(round(avg(d), 6)) <= 0.3 AS signed_pass FROM e GROUP BY ALL""",
     ),
     "implied_question_error": Query(
-        lambda s, d: total_pairs(s, d).join(two_models(s, d).groupBy("booklet_id").agg(F.count("*").alias("n")), "booklet_id").where("system is not null and reference is not null").select("booklet_id", (F.round((F.col("system") - F.col("reference")) / F.col("n"), 6) + 0.0).alias("implied")),
-        f"WITH {TOTAL_SQL} SELECT booklet_id, round((t.system - t.reference) / n, 6) + 0.0 AS implied FROM totals t JOIN (SELECT booklet_id, count(*) AS n FROM pairs GROUP BY 1) USING (booklet_id) WHERE t.system IS NOT NULL AND t.reference IS NOT NULL",
+        lambda s, d: total_pairs(s, d).join(two_models(s, d).groupBy(*MODELS, "booklet_id").agg(F.count("*").alias("n")), [*MODELS, "booklet_id"]).where("system is not null and reference is not null").select(*MODELS, "booklet_id", (F.round((F.col("system") - F.col("reference")) / F.col("n"), 6) + 0.0).alias("implied")),
+        f"WITH {TOTAL_SQL} SELECT system_model, reference_model, booklet_id, round((t.system - t.reference) / n, 6) + 0.0 AS implied FROM totals t JOIN (SELECT system_model, reference_model, booklet_id, count(*) AS n FROM pairs GROUP BY ALL) USING (system_model, reference_model, booklet_id) WHERE t.system IS NOT NULL AND t.reference IS NOT NULL",
+    ),
+    "total_disagreements": Query(  # the totals that are not equal, per pair of models
+        lambda s, d: total_pairs(s, d).where(F.abs(F.col("system") - F.col("reference")) >= 1e-9).select(*MODELS, "booklet_id", "system", "reference", (F.round(F.col("system") - F.col("reference"), 6) + 0.0).alias("gap")),
+        f"WITH {TOTAL_SQL} SELECT system_model, reference_model, booklet_id, system, reference, round(system - reference, 6) + 0.0 AS gap FROM totals WHERE abs(system - reference) >= 1e-9",
     ),
-    "question_totals_wide": Query(
-        lambda s, d: current(s, d, "score").groupBy("rubric_id").pivot("question_id", [str(k) for k in range(1, 7)]).agg(F.round(F.avg("score"), 6)).select("rubric_id", *(F.col(str(k)).alias(f"q{k}") for k in range(1, 7))),
-        f"WITH {CURRENT_SQL} SELECT rubric_id, " + ", ".join(f"round(avg(score) FILTER (WHERE question_id = '{k}'), 6) AS q{k}" for k in range(1, 7)) + " FROM cur GROUP BY 1",
+    "question_totals_wide": Query(  # a map of a rubric's questions to their mean scores, whatever questions there are
+        lambda s, d: current(s, d, "score").groupBy("rubric_id", "question_id").agg(F.avg("score").alias("m")).where("m is not null").groupBy("rubric_id")
+        .agg(F.array_join(F.array_sort(F.collect_list(F.concat("question_id", F.lit("="), F.round("m", 4).cast("decimal(18,4)").cast("string")))), ",").alias("means")),
+        f"WITH {CURRENT_SQL}, m AS (SELECT rubric_id, question_id, CAST(round(avg(score), 4) AS DECIMAL(18, 4)) AS m FROM cur GROUP BY ALL) SELECT rubric_id, string_agg(question_id || '=' || CAST(m AS VARCHAR), ',' ORDER BY question_id || '=' || CAST(m AS VARCHAR)) AS means FROM m WHERE m IS NOT NULL GROUP BY 1",
     ),
     "item_statistics": Query(
         lambda s, d: rounded(measures.item_statistics(current(s, d, "score", "max_score").withColumn("item", F.concat_ws("/", "rubric_id", "question_id")), "item", "booklet_id", "score", "max_score"), "facility", "point_biserial", "discrimination", digits=4),
@@ -307,6 +372,15 @@ QUERIES: dict[str, Query] = {
         lambda s, d: table(s, d, "curated_cases").select("id", "set", "declared", "slip").distinct().groupBy("set").agg(F.count("*").alias("n"), F.round(F.avg(F.col("declared").cast("int")), 6).alias("declared_rate"), F.count("slip").alias("n_slips")),
         'SELECT "set", count(*) AS n, round(avg(CAST(declared AS INT)), 6) AS declared_rate, count(slip) AS n_slips FROM (SELECT DISTINCT id, "set", declared, slip FROM curated_cases) GROUP BY 1',
     ),
+    "case_verdicts": Query(  # against the last recorded score of the rubric's question
+        lambda s, d: judged_cases(s, d).select("id", "set", "score", "max_points", "needs_review", "passed"),
+        f"WITH {CASES_SQL} SELECT id, \"set\", score, max_points, needs_review, passed FROM verdicts",
+    ),
+    "curated_rates": Query(
+        lambda s, d: rounded(scoring.pass_rates(judged_cases(s, d)), "pass_rate"),
+        f"WITH {CASES_SQL} SELECT \"set\", count(*) AS n, count_if(passed)::BIGINT AS n_passed, round(avg(passed::INT), 6) AS pass_rate, avg(passed::INT) >= 0.9 AS gate FROM verdicts GROUP BY 1",
+    ),
+    "curated_run": Query(lambda s, d: scoring.pass_rates(curated_run(s, d))),
     "case_rubrics": Query(
         lambda s, d: table(s, d, "curated_cases").select("id", "set", "rubric_id", "question_id").distinct().join(table(s, d, "curated_rubric").select("rubric_id", "question_id", "max_points", "kind").distinct(), ["rubric_id", "question_id"], "left").groupBy("set", "kind").agg(F.count("*").alias("n"), F.round(F.avg("max_points"), 6).alias("mean_points")),
         'SELECT "set", kind, count(*) AS n, round(avg(max_points), 6) AS mean_points FROM (SELECT DISTINCT id, "set", rubric_id, question_id FROM curated_cases) LEFT JOIN (SELECT DISTINCT rubric_id, question_id, max_points, kind FROM curated_rubric) USING (rubric_id, question_id) GROUP BY ALL',
@@ -319,15 +393,18 @@ QUERIES: dict[str, Query] = {
         lambda s, d: scoring.best_paths(path_totals(s, d), "rubric_id", "question_id").select("rubric_id", "question_id", "path_id", F.round("score", 6).alias("total")),
         f"WITH {PATHS_SQL}, t AS (SELECT rubric_id, question_id, pos, path_id, sum(m.points) AS score FROM m GROUP BY ALL) SELECT rubric_id, question_id, path_id, round(score, 6) AS total FROM t QUALIFY row_number() OVER (PARTITION BY rubric_id, question_id ORDER BY score DESC, pos) = 1",
     ),
-    "rubric_errors": Query(
-        lambda s, d: scoring.rubric_errors(table(s, d, "curated_rubric").distinct()),
-        f"""WITH {PATHS_SQL}, i AS (SELECT rubric_id, question_id, max_points, paths[pos + 1] AS p, pos FROM p),
+    "rubric_errors": Query(  # with faults put in: a point too many in questions 2, milestones the wrong way round in questions 3, no paths in questions 5
+        lambda s, d: scoring.structure_errors(faulty_rubric(s, d)),
+        """WITH r AS (SELECT DISTINCT rubric_id, question_id, kind, max_points + CASE WHEN question_id = '2' THEN 1 ELSE 0 END AS max_points, CASE WHEN question_id = '5' THEN NULL
+          ELSE list_transform(paths, lambda p: struct_pack(path_id := p.path_id, milestones := CASE WHEN question_id = '3' THEN list_reverse(p.milestones) ELSE p.milestones END)) END AS paths FROM curated_rubric WHERE kind = 'open'),
+        i AS (SELECT rubric_id, question_id, max_points, unnest(paths) AS p FROM r),
         x AS (SELECT rubric_id, question_id, p.path_id AS path_id, unnest(range(len(p.milestones))) AS k, p.milestones AS ms FROM i)
-        SELECT rubric_id, question_id, 'no paths' AS error FROM (SELECT DISTINCT * FROM curated_rubric WHERE kind = 'open') WHERE coalesce(len(paths), 0) = 0
+        SELECT rubric_id, question_id, 'no paths' AS error FROM r WHERE coalesce(len(paths), 0) = 0
         UNION SELECT rubric_id, question_id, 'sum of ' || p.path_id FROM i WHERE abs(list_sum(list_transform(p.milestones, lambda q: q.points)) - max_points) > 1e-6
         UNION SELECT rubric_id, question_id, 'bad id in ' || path_id FROM x WHERE NOT regexp_matches(ms[k + 1].id, '^[A-Za-z][A-Za-z0-9_]*$')
         UNION SELECT rubric_id, question_id, path_id || '.' || ms[k + 1].id || ' depends on a later one' FROM x WHERE NOT list_has_all(list_transform(ms[1:k], lambda q: q.id), coalesce(ms[k + 1].depends_on, []))""",
     ),
+    "rubric_expression_errors": Query(lambda s, d: scoring.expression_errors(table(s, d, "curated_rubric").distinct())),
     "milestone_order": Query(
         lambda s, d: milestones(s, d).select("rubric_id", "question_id", "path_id", F.col("m.id").alias("milestone_id"), F.coalesce(F.substring_index("m.id", "m", -1).try_cast("int"), F.lit(0)).alias("number")),
         f"WITH {PATHS_SQL} SELECT rubric_id, question_id, path_id, m.id AS milestone_id, coalesce(TRY_CAST(string_split(m.id, 'm')[-1] AS INT), 0) AS number FROM m",

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeline.functions import pages as P
-from gradeline.operators import cohort, imaging, intake, layout, measures, store, votes
+from gradeline.operators import cohort, imaging, intake, layout, measures, scoring, store, votes
 
 BOOKLET = "booklet_id string, source_file string, pages array<struct<index:int,path:string,width:int,height:int>>, errors array<string>, expected_pages int"
 
@@ -33,9 +33,18 @@ def test_store(spark):
     new = spark.createDataFrame([(0, "k", 9), (5, "", 1), (6, None, 1)], "id int, key string, v int")
     assert sorted(r.v for r in store.upsert(rows, new, ["key"], "id").collect()) == [3, 9]
     log = spark.createDataFrame([("r", "a", 1), ("r", "a", 2), ("r", "b", 3), ("r", "a", 4)], "k string, h string, t int")
-    assert [r.version for r in store.proposals(log, "k", "h", "t").orderBy("t").collect()] == [1, 1, 2, 3]
-    st = store.approvals(spark.createDataFrame([("r", 1, 1), ("r", 2, 2)], "k string, v int, t int"), "k", "v", "t")
-    assert {(r.v, r.status) for r in st.collect()} == {(1, "superseded"), (2, "approved")}
+    assert {(r.h, r.version, r.first, r.n) for r in store.proposals(log, "k", "h", "t").collect()} == {("a", 1, 1, 3), ("b", 2, 3, 1)}  # a is still proposed when it comes again
+    at = lambda *rows: spark.createDataFrame([("r", *x) for x in rows], "k string, h string, t int")
+    more = log.unionByName(at(("a", 9), ("b", 9)))
+    lives = lambda approved: {(r.h, r.version, r.n) for r in store.proposals(more, "k", "h", "t", approved).collect()}
+    assert lives(at(("a", 5), ("b", 6))) == {("a", 1, 3), ("b", 2, 2), ("a", 3, 1)}  # a was superseded at 6, so 9 is a new version
+    assert lives(at(("b", 5), ("b", 6))) == {("a", 1, 4), ("b", 2, 2)}  # a was never approved, so it is never superseded
+    assert lives(at(("a", 5), ("b", 6), ("a", 7))) == {("a", 1, 4), ("b", 2, 1), ("b", 3, 1)}  # a approved again, b superseded
+    versions = spark.createDataFrame([("r", 1), ("r", 2), ("r", 3), ("q", 1)], "k string, v int")
+    said = spark.createDataFrame([("r", 1, 1, "x"), ("r", 2, 2, "y"), ("r", 9, 3, "z"), ("r", 3, 4, "z")], "k string, v int, t int, who string")
+    st = store.approvals(said, versions, "k", "v", "t", "who", versions.where("k = 'r' and v = 3"))
+    assert {(r.k, r.v, r.status, r.approved_at, r.approved_by) for r in st.collect()} == {("r", 1, "superseded", 1, "x"), ("r", 2, "approved", 2, "y"), ("r", 3, "proposed", None, None), ("q", 1, "proposed", None, None)}
+    assert {(r.v, r.error) for r in store.approval_errors(said, versions, "k", "v", versions.where("v = 3")).collect()} == {(9, "unknown version"), (3, "not valid")}
     cur = spark.createDataFrame([("q", "x"), ("p", "x"), ("z", None)], "q string, hash string")
     ok = spark.createDataFrame([("q", "y"), ("p", "x"), ("z", None)], "q string, hash string")
     assert [r.q for r in store.stale(cur, ok, ["q"]).collect()] == ["q"]
@@ -66,6 +75,21 @@ def test_grid(spark):
     assert got == {9: ("blank", None, None), 1: ("answered", "a", None), 2: ("answered", "b", "a"), 3: ("ambiguous", None, None)}
 
 
+def test_verdicts(spark):
+    rows = [
+        ("a", "alternative", True, None, None, 10.0, 10.0, [], False, True), ("b", "alternative", False, None, None, 10.0, 10.0, [], False, False), ("c", "alternative", False, None, None, 10.0, 10.0, [], True, True),
+        ("d", "consequential", None, "m1", 7.0, 10.0, 7.0, ["m1"], False, True), ("e", "consequential", None, "m1", 7.0, 10.0, 7.0, ["m1", "m2"], False, False), ("f", "consequential", None, "m1", None, 10.0, 7.0, ["m1"], False, False),
+        ("g", "control", None, None, None, 10.0, 10.0, [], False, False), ("h", "control", None, None, None, 10.0, 9.0, None, None, True), ("i", "control", None, None, None, 10.0, None, None, None, False),
+    ]
+    df = spark.createDataFrame(rows, "id string, `set` string, declared boolean, slip string, expected_score double, max_points double, score double, deductions array<string>, needs_review boolean, want boolean")
+    v = scoring.verdicts(df)
+    assert all(r.passed == r.want for r in v.collect())
+    for r in v.where("score is not null").collect():  # the same rule as for one answer
+        assert scoring.verdict(r["set"], r.declared, r.slip, r.expected_score, r.max_points, {"score": r.score, "deductions": r.deductions, "needs_review": r.needs_review}) == r.passed
+    assert {r["set"]: (r.n, r.n_passed, r.gate) for r in scoring.pass_rates(v).collect()} == {"alternative": (3, 2, False), "consequential": (3, 1, False), "control": (3, 1, False)}
+    assert scoring.pass_rates(v.limit(0)).count() == 0
+
+
 def test_measures(spark):
     p = spark.createDataFrame([(4.0, 5.0, 5.0), (10.0, 10.0, 10.0), (None, 1.0, 10.0)], "system double, reference double, max_points double")
     r = measures.question_gate(p).first()
