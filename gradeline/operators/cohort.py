@@ -2,20 +2,57 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
+#: Rows of a block; a task multiplies one block of queries with one of rows.
+BLOCK = 1024
+
+
+def _stacked(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(ids, unit): up to ``BLOCK`` vectors of length 1 a row, as binary; rows stay where they are. Null and zero vectors, and those with a null in them, are left out."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK):
+                ids, v = b.column(0).slice(at, BLOCK).to_pylist(), b.column(1).slice(at, BLOCK).to_pylist()
+                kept = [(i, x) for i, x in zip(ids, v) if i is not None and x and None not in x and any(x)]
+                for size in sorted({len(x) for _, x in kept}):
+                    some = [(i, x) for i, x in kept if len(x) == size]
+                    m = np.array([x for _, x in some], np.float64)
+                    m /= np.linalg.norm(m, axis=1, keepdims=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([np.array([i for i, _ in some], np.int64).tobytes()]), pa.array([m.tobytes()])], names=["ids", "unit"])
+
+    return rows.select(F.col(key).cast("long"), vector).mapInArrow(run, "ids binary, unit binary")
+
 
 def cosine_neighbours(vectors: DataFrame, key: str, vector: str, least: float, every: int = 50) -> DataFrame:
-    """Queries are the rows whose id is divisible by ``every``, against all rows: (query_id, id, cosine) of at least ``least``.
-
-    Vectors are brought to length 1 once; queries are dealt into blocks and each row meets each block once, so a row is
-    compared with a block's queries where it is and only matches leave. Null or zero vectors match nothing."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    v = vectors.where(F.col(vector).isNotNull() & (norm > 0)).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double") / norm).alias("v"))
-    q = v.where(F.col("id") % every == 0).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(64)))
-    blocks = q.groupBy("block").agg(F.collect_list(F.struct(F.col("id").alias("query_id"), F.col("v").alias("w"))).alias("queries"))
-    each = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<bigint>"))).join(blocks, "block")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    found = F.transform("queries", lambda z: F.struct(z["query_id"].alias("query_id"), F.round(dot(z["w"], F.col("v")), 4).alias("cosine")))
-    m = each.select("id", F.explode(F.filter(found, lambda z: z["cosine"] >= least)).alias("m")).where("m.query_id <> id")
-    return m.select("m.query_id", F.col("id").alias(key), "m.cosine")
+    """Queries are the rows whose id is divisible by ``every``, against all rows: (query_id, id, cosine) of at least ``least``, rounded to four digits.
+
+    Queries are dealt into blocks of about ``BLOCK``, as many as their number asks for; rows are stacked where they are, and each stack meets each
+    block of queries once, in one matrix product. Only matches leave. Null or zero vectors match nothing."""
+    q = vectors.where(F.col(key) % every == 0)
+    blocks = max(1, math.ceil(q.count() / BLOCK))
+    asked = _stacked(q.repartition(blocks, F.xxhash64(key)), key, vector).withColumn("block", F.pmod(F.xxhash64("ids"), F.lit(blocks))).select("block", F.col("ids").alias("q_ids"), F.col("unit").alias("q_unit"))
+    each = _stacked(vectors, key, vector).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for ids, unit, q_ids, q_unit in zip(*(c.to_pylist() for c in b.columns)):
+                i, j = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
+                size, wide = len(unit) // len(ids), len(q_unit) // len(q_ids)
+                if size != wide:
+                    continue
+                c = np.frombuffer(q_unit).reshape(len(j), -1) @ np.frombuffer(unit).reshape(len(i), -1).T
+                y, x = np.nonzero(c >= least - 1e-4)
+                yield pa.RecordBatch.from_arrays([pa.array(j[y]), pa.array(i[x]), pa.array(c[y, x])], names=["query_id", key, "cosine"])
+
+    m = each.join(asked, "block").select("ids", "unit", "q_ids", "q_unit").mapInArrow(run, f"query_id long, {key} long, cosine double")
+    return m.withColumn("cosine", F.round("cosine", 4)).where((F.col("cosine") >= least) & (F.col("query_id") != F.col(key)))

@@ -12,6 +12,13 @@ def coverage(expected: DataFrame, found: DataFrame, keys: list[str], state: str
     return j.withColumn("coverage", F.when(F.col("_blank").isNull(), "not_found").when(F.col("_blank"), "blank").otherwise("answered")).drop("_blank")
 
 
+def halting(coverage: DataFrame, page: str, question: str) -> DataFrame:
+    """(page, halted, reasons): a page halts if a question that it should have is not found; the reasons name them in order."""
+    missing = F.when(F.col("coverage") == "not_found", F.concat(F.lit("question "), F.col(question), F.lit(" not found")))
+    one = coverage.withColumn("_m", missing).groupBy(page).agg(F.array_sort(F.collect_set("_m")).alias("_r"))
+    return one.select(page, (F.size("_r") > 0).alias("halted"), F.array_join("_r", "; ").alias("reasons"))
+
+
 def band_of(points: DataFrame, value: str, bands: list[tuple[float, float]]) -> DataFrame:
     """The first band (from and to included) that holds a value, 0 where none does. A page has few bands, so they are an expression, not a join."""
     out = F.lit(0)
@@ -20,6 +27,27 @@ def band_of(points: DataFrame, value: str, bands: list[tuple[float, float]]) ->
     return points.withColumn("band", out)
 
 
+def column_of(regions: DataFrame, columns: DataFrame, page: str, centre: str) -> DataFrame:
+    """Adds ``column_index``: of the page's own columns (page, pos, x0, x1), the first by pos whose span holds the centre, else 0.
+    Columns come as one array a page, which has few, so a page's regions meet them in one row each."""
+    c = columns.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("pos", "x0", "x1"))).alias("_c"))
+    hit = F.filter("_c", lambda k: F.col(centre).between(k["x0"], k["x1"]))
+    return regions.join(c, page, "left").withColumn("column_index", F.coalesce(F.get(hit, F.lit(0))["pos"].cast("int"), F.lit(0))).drop("_c")
+
+
+def band_rows(spans: DataFrame, labels: DataFrame, page: str, height: int = 6) -> DataFrame:
+    """(page, label, text spans): spans within ``height`` of a label's line, left of it and right of the label before it on that line (text runs from right to left).
+    ``labels`` has label, lx, ly, ``spans`` text, x, y, in integers. Equi-joined on cells of the line's height."""
+    l = labels.select(page, "label", "lx", "ly").withColumn("_cell", F.floor(F.col("ly") / height))
+    n = labels.select(page, F.col("lx").alias("ox"), F.col("ly").alias("oy"))
+    n = n.withColumn("_cell", F.explode(F.array(*(F.floor(F.col("oy") / height) + k for k in (-1, 0, 1)))))
+    left = l.join(n, [page, "_cell"], "left").withColumn("_near", (F.abs(F.col("oy") - F.col("ly")) <= height) & (F.col("ox") < F.col("lx")))
+    left = left.groupBy(page, "label", "lx", "ly").agg(F.max(F.when(F.col("_near"), F.col("ox"))).alias("bound")).withColumn("_cell", F.floor(F.col("ly") / height))
+    s = spans.select(page, "text", "x", "y").withColumn("_cell", F.explode(F.array(*(F.floor(F.col("y") / height) + k for k in (-1, 0, 1)))))
+    hit = left.join(s, [page, "_cell"]).where((F.abs(F.col("y") - F.col("ly")) <= height) & (F.col("x") < F.col("lx")) & (F.col("bound").isNull() | (F.col("x") > F.col("bound"))))
+    return hit.select(page, "label", "text", "x", "y")
+
+
 def backward_asof(left: DataFrame, right: DataFrame, key: str, at: str, value: str, cell) -> DataFrame:
     """For each left row the ``value`` of the last right row of its key that is not later; of right rows at one time the greatest counts.
 

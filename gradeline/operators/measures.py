@@ -40,6 +40,39 @@ def transcription_gate(results: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def agreed_truth(readings: DataFrame, reader: str, item: str, text: str, most_cer: float = 0.08, least_chars: int = 8) -> DataFrame:
+    """(item, truth): provisional ground truth. Of the readings of an item by different readers, the two that differ least give the longer one, if their
+    error rate is ``most_cer`` at most and one of them has ``least_chars`` characters of prose. ``readings`` has one row per item and reader."""
+    r = readings.select(item, F.col(reader).alias("_r"), F.col(text).alias("_t"), X.prose(text).alias("_p"))
+    pair = lambda n: r.select(item, *(F.col(c).alias(f"{c}{n}") for c in ("_r", "_t", "_p")))
+    p = pair(1).join(pair(2), item).where("_r1 < _r2").withColumn("_cer", X.error_rate(F.col("_p1"), F.col("_p2")))
+    p = p.where((F.col("_cer") <= most_cer) & (F.greatest(F.length("_p1"), F.length("_p2")) >= least_chars))
+    longer = F.when(F.length("_p1") >= F.length("_p2"), F.col("_t1")).otherwise(F.col("_t2"))
+    best = p.groupBy(item).agg(F.min(F.struct("_cer", "_r1", "_r2", longer.alias("truth"))).alias("_b"))
+    return best.select(item, F.col("_b.truth").alias("truth"))
+
+
+def truth_gate(results: DataFrame, truth: DataFrame, item: str, *by: str) -> DataFrame:
+    """Per group: results of items in the ground truth without errors, and their mean character error rate; null where there is none."""
+    t = results.where(F.coalesce(F.size("errors"), F.lit(0)) <= 0).join(truth, item)
+    cer = X.error_rate(X.prose("truth"), X.prose(X.first_text("hebrew_text", "interleaved_markdown")))
+    return t.groupBy(*by).agg(F.count("*").alias("n_with_truth"), F.round(F.avg(cer), 4).alias("mean_cer"))
+
+
+#: What a model must reach to be used for transcription.
+TRANSCRIPTION_LIMITS = {"mean_cer": ("<=", 0.08), "mean_parse_rate": (">=", 0.90), "n_unhandled_overload": ("<=", 0)}
+
+
+def transcription_passes(results: DataFrame, truth: DataFrame, item: str, *by: str) -> DataFrame:
+    """Transcription measures with ground truth and gates; without an error rate the whole does not pass."""
+    m = transcription_gate(results, *by).join(truth_gate(results, truth, item, *by), list(by), "left").withColumn("n_with_truth", F.coalesce("n_with_truth", F.lit(0)))
+    m = gates(m, TRANSCRIPTION_LIMITS)
+    every = F.lit(True)
+    for name in TRANSCRIPTION_LIMITS:
+        every = every & F.col(f"{name}_pass")
+    return m.withColumn("all_pass", every)
+
+
 def gates(measures: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
     """Adds a boolean per limit (``>=``, ``<=`` or ``abs<=``); a null measure does not pass."""
     for name, (op, limit) in limits.items():
@@ -49,8 +82,8 @@ def gates(measures: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFram
 
 
 def item_statistics(items: DataFrame, question: str, person: str, score: str, max_points: str) -> DataFrame:
-    """Facility, correlation of the item with the person's other items, and top less bottom 27 % of persons by total. (Planned by the
-    specification, without a reference implementation.)"""
+    """Facility, correlation of the item with the person's other items, and top less bottom 27 % of persons by total. The percentiles are exact; Spark
+    keeps them as counts per different total, of which an exam has few. (Planned by the specification, without a reference implementation.)"""
     x = items.where(F.col(score).isNotNull())
     x = x.join(x.groupBy(person).agg(F.sum(score).alias("_total")), person).withColumn("rest", F.col("_total") - F.col(score)).withColumn("share", F.try_divide(score, max_points))
     ends = x.groupBy(question).agg(F.percentile("rest", F.lit(0.27)).alias("_low"), F.percentile("rest", F.lit(0.73)).alias("_high"))

@@ -111,9 +111,20 @@ QUERIES: dict[str, Query] = {
         """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey) - 1 AS reading_order, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem))
         SELECT l_orderkey, l_partkey, l_suppkey, reading_order, n - 1 - reading_order AS rtl_index FROM r""",
     ),
-    "spans_right_to_left": Query(
-        lambda s, d: table(s, d, "part").groupBy("p_size").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("p_partkey")).alias("k"), F.col("p_brand").alias("t")))), lambda x: x["t"]), " ").alias("line")),
-        "SELECT p_size, string_agg(p_brand, ' ' ORDER BY p_partkey DESC) AS line FROM part GROUP BY 1",
+    "spans_right_to_left": Query(  # a line has the few spans of one order
+        lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("l_partkey")).alias("k"), "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("t")))), lambda x: x["t"]), " ").alias("line")),
+        "SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, ' ' ORDER BY l_partkey DESC, l_linenumber, l_returnflag || l_linestatus) AS line FROM lineitem GROUP BY 1",
+    ),
+    "column_join": Query(  # regions of a page in the page's own columns: parts' prices in bands that differ by brand
+        lambda s, d: layout.column_of(table(s, d, "part").select("p_partkey", "p_brand", "p_retailprice"), brand_bands(s, d), "p_brand", "p_retailprice").select("p_partkey", "column_index"),
+        """WITH m AS (SELECT p_brand, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1)
+        SELECT p_partkey, CASE WHEN p_retailprice BETWEEN lo AND (lo + hi) / 2 THEN 0 WHEN p_retailprice BETWEEN (lo + hi) / 2 AND hi - 1 THEN 1 ELSE 0 END AS column_index FROM part JOIN m USING (p_brand)""",
+    ),
+    "label_bands": Query(  # spans on a label's line between it and the label before: lines of an order by place and part
+        lambda s, d: layout.band_rows(lines(s, d).where("n > 3").select("l_orderkey", F.col("n").alias("text"), "x", "y"), lines(s, d).where("n <= 3").select("l_orderkey", F.col("n").alias("label"), F.col("x").alias("lx"), F.col("y").alias("ly")), "l_orderkey").select("l_orderkey", "label", F.col("text").alias("span"), "x").distinct(),
+        """WITH a AS (SELECT DISTINCT l_orderkey, l_linenumber AS n, l_partkey AS x, CAST(l_quantity AS BIGINT) AS y FROM lineitem), l AS (SELECT * FROM a WHERE n <= 3),
+        b AS (SELECT l.l_orderkey, l.n, l.x, l.y, max(o.x) AS bound FROM l LEFT JOIN l o ON o.l_orderkey = l.l_orderkey AND abs(o.y - l.y) <= 6 AND o.x < l.x GROUP BY ALL)
+        SELECT DISTINCT b.l_orderkey, b.n AS label, s.n AS span, s.x FROM b JOIN a s ON s.l_orderkey = b.l_orderkey AND s.n > 3 AND abs(s.y - b.y) <= 6 AND s.x < b.x AND (b.bound IS NULL OR s.x > b.bound)""",
     ),
     "numeric_ids": Query(
         lambda s, d: table(s, d, "orders").select(F.substring_index("o_orderpriority", "-", 1).alias("label"), "o_orderkey").select("o_orderkey", F.coalesce(F.trim("label").try_cast("int"), F.lit(0)).alias("n"), F.format_string("%02d", F.coalesce(F.trim("label").try_cast("int"), F.lit(0))).alias("padded")),
@@ -127,6 +138,16 @@ QUERIES: dict[str, Query] = {
 }
 
 
+def brand_bands(s, d):
+    m = table(s, d, "part").groupBy("p_brand").agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
+    half = (F.col("lo") + F.col("hi")) / 2
+    return m.select("p_brand", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.col("lo").alias("x0"), half.alias("x1")), F.struct(F.lit(1).alias("pos"), half.alias("x0"), (F.col("hi") - 1).alias("x1")))).alias("b")).select("p_brand", "b.*")
+
+
+def lines(s, d):
+    return table(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("x"), F.col("l_quantity").cast("long").alias("y")).distinct()
+
+
 def drawn_pages(s, d):
     from ..operators import imaging
 

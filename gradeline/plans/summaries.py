@@ -18,10 +18,10 @@ def reason():
     return F.when(said == "", "no single cause").otherwise(said)
 
 
-def readings(s, d, version: str, name: str):
-    """The last reading of each crop under a prompt version that has text."""
-    r = rows(s, d, "transcript_id", "crop_id", "prompt_version", "hebrew_text").where((F.col("prompt_version") == version) & (F.coalesce("hebrew_text", F.lit("")) != ""))
-    return store.latest(r, ["crop_id"], "transcript_id").select("crop_id", F.col("transcript_id").alias(name))
+def readings(s, d):
+    """The last reading of each crop that has text, of the newest prompt that has one."""
+    r = rows(s, d, "transcript_id", "crop_id", "prompt_version", "hebrew_text").where(F.coalesce("hebrew_text", F.lit("")) != "")
+    return store.latest(r, ["crop_id"], "prompt_version", "transcript_id").select("crop_id", "transcript_id", "prompt_version")
 
 
 def payload():
@@ -56,9 +56,9 @@ QUERIES: dict[str, Query] = {
         SELECT booklet_id, regexp_extract(p.path, '([^/]*?)(?:\.[^./]*)?$', 1) AS page_name, coalesce(owner, 'N/A') AS owner FROM p LEFT JOIN t USING (booklet_id)""",
     ),
     "reading_fallback": Query(
-        lambda s, d: rows(s, d, "crop_id").join(readings(s, d, "phase3_transcribe_v2", "second"), "crop_id", "left").join(readings(s, d, "phase3_transcribe_v1", "first"), "crop_id", "left").select("crop_id", F.coalesce("second", "first").alias("reading"), F.when(F.col("second").isNotNull(), "v2").when(F.col("first").isNotNull(), "v1").otherwise("none").alias("came_from")),
-        """WITH r AS (SELECT DISTINCT transcript_id, crop_id, prompt_version FROM transcriber WHERE coalesce(hebrew_text, '') <> ''), m AS (SELECT crop_id, max(transcript_id) FILTER (WHERE prompt_version = 'phase3_transcribe_v2') AS b, max(transcript_id) FILTER (WHERE prompt_version = 'phase3_transcribe_v1') AS a FROM r GROUP BY 1)
-        SELECT c.crop_id, coalesce(b, a) AS reading, CASE WHEN b IS NOT NULL THEN 'v2' WHEN a IS NOT NULL THEN 'v1' ELSE 'none' END AS came_from FROM (SELECT DISTINCT crop_id FROM transcriber) c LEFT JOIN m USING (crop_id)""",
+        lambda s, d: rows(s, d, "crop_id").join(readings(s, d), "crop_id", "left").select("crop_id", F.col("transcript_id").alias("reading"), F.coalesce("prompt_version", F.lit("none")).alias("came_from")),
+        """WITH r AS (SELECT * FROM (SELECT DISTINCT transcript_id, crop_id, prompt_version FROM transcriber WHERE coalesce(hebrew_text, '') <> '') QUALIFY row_number() OVER (PARTITION BY crop_id ORDER BY prompt_version DESC, transcript_id DESC) = 1)
+        SELECT c.crop_id, r.transcript_id AS reading, coalesce(prompt_version, 'none') AS came_from FROM (SELECT DISTINCT crop_id FROM transcriber) c LEFT JOIN r USING (crop_id)""",
     ),
     "transcript_payload": Query(
         lambda s, d: rows(s, d, "transcript_id", "hebrew_text", "math_latex", "interleaved_markdown").select("transcript_id", *payload()),

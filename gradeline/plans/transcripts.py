@@ -56,12 +56,35 @@ CONF_SQL = f"""c AS (SELECT transcript_id, state, self_reported_confidence AS sr
 conf AS (SELECT transcript_id, state, CASE WHEN state = 'blank' THEN 0.95::DOUBLE WHEN text = '' THEN 0.15::DOUBLE ELSE round(CAST(CASE WHEN sr IS NULL THEN base ELSE 0.9 * base + 0.1 * least(greatest(0, least(1, sr)), 0.85::DOUBLE) END AS DECIMAL(18, 8)), 4)::DOUBLE END AS confidence, sr AS self_reported_confidence FROM c)"""
 
 
+def upserted(s, d):
+    t = rows(s, d, "transcript_id", "crop_id", "model", "prompt_version", "state").where("prompt_version is not null")
+    newest = t.agg(F.max("prompt_version")).first()[0]
+    return store.upsert(t.where(F.col("prompt_version") != newest), t.where(F.col("prompt_version") == newest), ["crop_id", "model"], "transcript_id").select("crop_id", "model", "prompt_version", "transcript_id")
+
+
 def expected_questions(s, d):
-    t = rows(s, d, "booklet_id", "question_id", "state")
-    every = t.select("question_id").distinct()
-    # the questions of an exam are few and known; each booklet expects all of them
-    ids = F.array_sort(F.collect_set("question_id"))
-    return t.select("booklet_id").distinct().join(every.agg(ids.alias("ids")), F.lit(True)).select("booklet_id", F.explode("ids").alias("question_id")), t
+    """The questions of the rubrics that a booklet was graded by, and what was found of it."""
+    r = table(s, d, "grades").select("booklet_id", "rubric_id").distinct().join(table(s, d, "curated_rubric").select("rubric_id", "question_id").distinct(), "rubric_id")
+    return r.select("booklet_id", "question_id").distinct(), rows(s, d, "booklet_id", "question_id", "state")
+
+
+def last_readings(s, d):
+    """The last reading without errors of each crop by each model, with text."""
+    t = ordered(s, d, "model").withColumn("text", X.first_text("hebrew_text", "interleaved_markdown")).where("text <> ''")
+    return store.latest(t.select("crop_id", "model", "transcribed_at", "transcript_id", "text"), ["crop_id", "model"], "transcribed_at", "transcript_id")
+
+
+def truth(s, d):
+    return measures.agreed_truth(last_readings(s, d), "model", "crop_id", "text")
+
+
+ASCII = lambda x: f"translate({x}, '{HEBREW_LETTERS}', '{ASCII_LETTERS}')"
+CER_SQL = lambda a, b: f"CASE WHEN {a} = '' AND {b} = '' THEN 0.0::DOUBLE WHEN {a} = '' OR {b} = '' THEN 1.0::DOUBLE ELSE levenshtein({ASCII(a)}, {ASCII(b)})::DOUBLE / length({a}) END"
+TRUTH_SQL = f"""l AS (SELECT crop_id, model, t, {PROSE_SQL.format(t="t")} AS p FROM (SELECT *, {FIRST_SQL} AS t FROM (SELECT DISTINCT crop_id, model, transcribed_at, transcript_id, hebrew_text, interleaved_markdown, errors FROM transcriber) WHERE len(errors) = 0)
+  WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY crop_id, model ORDER BY transcribed_at DESC, transcript_id DESC) = 1),
+k AS (SELECT a.crop_id, a.model AS ra, b.model AS rb, CASE WHEN length(a.p) >= length(b.p) THEN a.t ELSE b.t END AS truth, greatest(length(a.p), length(b.p)) AS n, {CER_SQL("a.p", "b.p")} AS cer FROM l a JOIN l b ON a.crop_id = b.crop_id AND a.model < b.model),
+truth AS (SELECT crop_id, truth FROM k WHERE cer <= 0.08 AND n >= 8 QUALIFY row_number() OVER (PARTITION BY crop_id ORDER BY cer, ra, rb) = 1)"""
+GATE_COLUMNS = ("transcript_id", "crop_id", "actual_model", "hebrew_text", "interleaved_markdown", "math_latex", "latex_eval", "prompt_tokens", "candidate_tokens", "cache_hit", "errors", "ok")
 
 
 def coverage(s, d):
@@ -71,16 +94,20 @@ def coverage(s, d):
 
 QUERIES: dict[str, Query] = {
     "gate_metrics_by_model": Query(
-        lambda s, d: measures.transcription_gate(rows(s, d, "transcript_id", "crop_id", "actual_model", "hebrew_text", "interleaved_markdown", "math_latex", "latex_eval", "prompt_tokens", "candidate_tokens", "cache_hit", "errors", "ok"), "actual_model"),
-        """WITH t AS (SELECT DISTINCT transcript_id, crop_id, actual_model, hebrew_text, interleaved_markdown, math_latex, latex_eval, prompt_tokens AS p, candidate_tokens AS c, cache_hit, errors, ok FROM transcriber),
-        x AS (SELECT *, coalesce(len(errors), 0) > 0 AS failed, coalesce(nullif(hebrew_text, ''), nullif(interleaved_markdown, ''), '') <> '' AS has FROM t),
-        y AS (SELECT *, NOT failed AND NOT coalesce(cache_hit, false) AND (coalesce(ok, false) OR has OR coalesce(len(math_latex), 0) > 0) AND (coalesce(p, 0) > 0 OR coalesce(c, 0) > 0) AS paid FROM x)
-        SELECT actual_model, count(*) AS n_results, count(*) FILTER (WHERE coalesce(ok, false) OR (NOT failed AND has)) AS n_ok, round(avg(coalesce(latex_eval.parse_rate, 0)) FILTER (WHERE coalesce(latex_eval.total, 0) > 0 AND NOT failed), 4) AS mean_parse_rate,
+        lambda s, d: measures.transcription_passes(rows(s, d, *GATE_COLUMNS), truth(s, d), "crop_id", "actual_model"),
+        f"""WITH {TRUTH_SQL}, t AS (SELECT DISTINCT transcript_id, crop_id, actual_model, hebrew_text, interleaved_markdown, math_latex, latex_eval, prompt_tokens AS p, candidate_tokens AS c, cache_hit, errors, ok FROM transcriber),
+        x AS (SELECT *, coalesce(len(errors), 0) > 0 AS failed, {FIRST_SQL} AS said, {FIRST_SQL} <> '' AS has FROM t),
+        y AS (SELECT *, NOT failed AND NOT coalesce(cache_hit, false) AND (coalesce(ok, false) OR has OR coalesce(len(math_latex), 0) > 0) AND (coalesce(p, 0) > 0 OR coalesce(c, 0) > 0) AS paid FROM x),
+        g AS (SELECT actual_model, count(*) AS n_with_truth, round(avg({CER_SQL("a", "b")}), 4) AS mean_cer FROM (SELECT actual_model, {PROSE_SQL.format(t="truth")} AS a, {PROSE_SQL.format(t="said")} AS b FROM x JOIN truth USING (crop_id) WHERE NOT failed) GROUP BY 1),
+        m AS (SELECT actual_model, count(*) AS n_results, count(*) FILTER (WHERE coalesce(ok, false) OR (NOT failed AND has)) AS n_ok, round(avg(coalesce(latex_eval.parse_rate, 0)) FILTER (WHERE coalesce(latex_eval.total, 0) > 0 AND NOT failed), 4) AS mean_parse_rate,
           count(*) FILTER (WHERE failed) AS n_errors, CAST(sum(len(list_filter(coalesce(errors, []), lambda e: contains(e, '503') AND NOT contains(lower(e), 'retry')))) AS BIGINT) AS n_unhandled_overload,
           round(CASE WHEN count(*) FILTER (WHERE paid) >= 3 THEN median(coalesce(p, 0)) FILTER (WHERE paid) ELSE coalesce(avg(coalesce(p, 0)) FILTER (WHERE paid), 0) END, 1) AS typical_prompt_tokens,
           round(CASE WHEN count(*) FILTER (WHERE paid) >= 3 THEN median(coalesce(c, 0)) FILTER (WHERE paid) ELSE coalesce(avg(coalesce(c, 0)) FILTER (WHERE paid), 0) END, 1) AS typical_candidate_tokens,
-          count(DISTINCT crop_id) AS n_crops FROM y GROUP BY 1""",
+          count(DISTINCT crop_id) AS n_crops FROM y GROUP BY 1),
+        f AS (SELECT m.*, coalesce(n_with_truth, 0) AS n_with_truth, mean_cer, coalesce(mean_cer <= 0.08, false) AS mean_cer_pass, coalesce(mean_parse_rate >= 0.9, false) AS mean_parse_rate_pass, n_unhandled_overload <= 0 AS n_unhandled_overload_pass FROM m LEFT JOIN g USING (actual_model))
+        SELECT *, mean_cer_pass AND mean_parse_rate_pass AND n_unhandled_overload_pass AS all_pass FROM f""",
     ),
+    "agreed_truth": Query(truth, f"WITH {TRUTH_SQL} SELECT * FROM truth"),
     "cer_pairs": Query(
         lambda s, d: cer_pairs(s, d).select("crop_id", "before_id", "transcript_id", F.round("cer", 6).alias("cer")),
         f"WITH {PAIRS_SQL} SELECT crop_id, before_id, transcript_id, round(cer, 6) AS cer FROM c",
@@ -130,10 +157,10 @@ QUERIES: dict[str, Query] = {
         lambda s, d: store.latest(rows(s, d, "transcript_id", "crop_id", "model", "transcribed_at", "state"), ["crop_id", "model"], "transcribed_at", "transcript_id").select("crop_id", "model", "transcript_id", "state"),
         "SELECT crop_id, model, transcript_id, state FROM (SELECT DISTINCT transcript_id, crop_id, model, transcribed_at, state FROM transcriber) QUALIFY row_number() OVER (PARTITION BY crop_id, model ORDER BY transcribed_at DESC, transcript_id DESC) = 1",
     ),
-    "keyed_upsert": Query(
-        lambda s, d: store.upsert(*(rows(s, d, "transcript_id", "crop_id", "model", "prompt_version", "state").where(F.col("prompt_version") == v) for v in ("phase3_transcribe_v1", "phase3_transcribe_v2")), ["crop_id", "model"], "transcript_id").select("crop_id", "model", "prompt_version", "transcript_id"),
-        """SELECT crop_id, model, prompt_version, transcript_id FROM (SELECT DISTINCT transcript_id, crop_id, model, prompt_version, CASE WHEN prompt_version = 'phase3_transcribe_v2' THEN 1 ELSE 0 END AS src FROM transcriber
-          WHERE prompt_version IN ('phase3_transcribe_v1', 'phase3_transcribe_v2') AND crop_id <> '' AND model <> '') QUALIFY row_number() OVER (PARTITION BY crop_id, model ORDER BY src DESC, transcript_id DESC) = 1""",
+    "keyed_upsert": Query(  # readings by the newest prompt over all earlier ones
+        upserted,
+        """SELECT crop_id, model, prompt_version, transcript_id FROM (SELECT DISTINCT transcript_id, crop_id, model, prompt_version, prompt_version = (SELECT max(prompt_version) FROM transcriber) AS src FROM transcriber
+          WHERE crop_id <> '' AND model <> '' AND prompt_version IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY crop_id, model ORDER BY src DESC, transcript_id DESC) = 1""",
     ),
     "best_confidence": Query(
         lambda s, d: store.latest(rows(s, d, "transcript_id", "booklet_id", "question_id", "self_reported_confidence"), ["booklet_id", "question_id"], F.col("self_reported_confidence").desc_nulls_last(), F.col("transcript_id").desc()),
@@ -141,10 +168,16 @@ QUERIES: dict[str, Query] = {
     ),
     "coverage_states": Query(
         coverage,
-        """WITH t AS (SELECT DISTINCT booklet_id, question_id, state FROM transcriber), e AS (SELECT b.booklet_id, q.question_id FROM (SELECT DISTINCT booklet_id FROM t) b CROSS JOIN (SELECT DISTINCT question_id FROM t) q),
+        """WITH t AS (SELECT DISTINCT booklet_id, question_id, state FROM transcriber), e AS (SELECT DISTINCT booklet_id, q.question_id FROM (SELECT DISTINCT booklet_id, rubric_id FROM grades) JOIN (SELECT DISTINCT rubric_id, question_id FROM curated_rubric) q USING (rubric_id)),
         f AS (SELECT booklet_id, question_id, bool_and(state = 'blank') AS blank FROM t GROUP BY ALL)
         SELECT booklet_id, question_id, CASE WHEN blank IS NULL THEN 'not_found' WHEN blank THEN 'blank' ELSE 'answered' END AS coverage FROM e LEFT JOIN f USING (booklet_id, question_id)""",
     ),
+    "halted_pages": Query(  # an expected question that is not found halts the booklet; what is blank does not
+        lambda s, d: layout.halting(coverage(s, d), "booklet_id", "question_id"),
+        """WITH t AS (SELECT DISTINCT booklet_id, question_id FROM transcriber), e AS (SELECT DISTINCT booklet_id, q.question_id FROM (SELECT DISTINCT booklet_id, rubric_id FROM grades) JOIN (SELECT DISTINCT rubric_id, question_id FROM curated_rubric) q USING (rubric_id)),
+        c AS (SELECT e.booklet_id, e.question_id, t.booklet_id IS NULL AS missing FROM e LEFT JOIN t USING (booklet_id, question_id))
+        SELECT booklet_id, bool_or(missing) AS halted, coalesce(string_agg(CASE WHEN missing THEN 'question ' || question_id || ' not found' END, '; ' ORDER BY question_id), '') AS reasons FROM c GROUP BY 1""",
+    ),
     "crop_discovery": Query(
         lambda s, d: rows(s, d, "crop_id", "booklet_id", "page_name", "question_id", "state").where((F.col("state") == "answered") & (F.col("page_name") != "page_001.png")).join(table(s, d, "booklets").select("booklet_id").distinct(), "booklet_id", "left_semi")
         .select("crop_id", F.concat_ws("/", "booklet_id", X.stem("page_name"), F.concat(F.lit("q"), "question_id")).alias("composite_id"), X.safe_name("crop_id").alias("file_name")).distinct(),
