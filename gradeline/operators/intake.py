@@ -49,10 +49,10 @@ def pages(booklets: DataFrame) -> DataFrame:
     return p.withColumn("page_index", F.row_number().over(w) - 1).withColumn("page_name", X.stem("path"))
 
 
-def kind(path: Column | str) -> Column:
-    """What reader a file needs, by its ending; null for none."""
+def kind(path: Column | str, strict: bool = False) -> Column:
+    """What reader a file needs, by its ending; for others null, or with ``strict`` an error."""
     e = X.extension(path)
-    out = F.lit(None).cast("string")
+    out = F.raise_error(F.concat(F.lit("unsupported file "), path if isinstance(path, Column) else F.col(path))).cast("string") if strict else F.lit(None).cast("string")
     for ending, k in KINDS.items():
         out = F.when(e == ending, k).otherwise(out)
     return out

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions import text as X
+
 
 def latest(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     """The row of each key that comes last in ``order``; equal rows count as one."""
@@ -82,3 +84,13 @@ def admitted(spend: DataFrame, key: str, order: list[str], cost: str, budget: fl
     w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum(cost).over(w), F.lit(0.0))
     return spend.withColumn("spent_before", before).withColumn("admitted", F.col("spent_before") < budget)
+
+
+def pseudonyms(people: DataFrame, existing: DataFrame, key: str, secret: str = "") -> DataFrame:
+    """(key, pseudonym) of every person: the one given before where there is one, else a keyed hash. A new name that another person has, given before or new, is made longer."""
+    kept = existing.select(key, "pseudonym").dropDuplicates([key])
+    new = people.where(F.col(key).isNotNull()).select(key).distinct().join(kept, key, "left_anti").withColumn("_name", X.pseudonym(key, secret))
+    taken = kept.select(F.col("pseudonym").alias("_name")).unionByName(new.select("_name")).groupBy("_name").agg(F.count("*").alias("_n"))
+    longer = F.concat("_name", F.lit("_"), F.upper(F.substring(F.sha2(F.concat(F.lit(secret), F.lit("/"), F.col(key)), 256), 1, 12)))
+    made = new.join(taken, "_name").select(key, F.when(F.col("_n") > 1, longer).otherwise(F.col("_name")).alias("pseudonym"))
+    return people.where(F.col(key).isNotNull()).select(key).distinct().join(kept.unionByName(made), key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import repair, scores as S, text as X
-from ..operators import intake, measures, scoring, store, votes
+from ..operators import intake, keys, measures, scoring, store, votes
 from .tables import Query, table
 
 GRADE_KEYS = ["booklet_id", "question_id", "rubric_id"]
@@ -92,6 +92,20 @@ def key(s, d):
     return votes.majority(grid_rows(s, d).where("suit is not null"), ["suit", "question"], "letter")
 
 
+def sheet_letters(s, d):
+    return grid_rows(s, d).where("question is not null").withColumnRenamed("letter", "mark")
+
+
+def graded_sheets(s, d):
+    expected = table(s, d, "grades").select("booklet_id", "rubric_id").distinct().join(table(s, d, "curated_rubric").select("rubric_id", "question_id", "max_points").distinct(), "rubric_id")
+    expected = expected.groupBy("booklet_id", F.col("question_id").cast("int").alias("question")).agg(F.max("max_points").alias("max_points"))
+    read = grid_rows(s, d)
+    rows_ = read.where("question is not null").groupBy("booklet_id", "question").agg(F.max("letter").alias("final_answer")).withColumn("needs_review", F.lit(False)).withColumn("reasons", F.lit(""))
+    own = own_letters(s, d).where("letter is not null").groupBy("booklet_id", F.col("question_id").cast("int").alias("question")).agg(F.max_by("letter", "id").alias("letter"))
+    g = keys.graded_sheets(expected, rows_, read.groupBy("booklet_id").agg(F.min("suit").alias("suit")), key(s, d), own, "booklet_id", "question", "suit")
+    return g.select("booklet_id", "question", "max_points", "score", "evidence.key_letter", "evidence.answer", "evidence.own_key_letter", "review_reasons")
+
+
 def own_letters(s, d):
     g = grades(s, d, "id", "booklet_id", "question_id", "rubric_id", "model", "evidence")
     return g.withColumn("letter", F.get_json_object("evidence", "$.own_key_letter"))
@@ -410,4 +424,33 @@ QUERIES: dict[str, Query] = {
         f"WITH {PATHS_SQL} SELECT rubric_id, question_id, path_id, m.id AS milestone_id, coalesce(TRY_CAST(string_split(m.id, 'm')[-1] AS INT), 0) AS number FROM m",
     ),
     "open_scores": Query(lambda s, d: scoring.scored(open_answers(s, d), table(s, d, "curated_rubric")).withColumn("deductions", F.array_join("deductions", ",")).withColumn("reasons", F.array_join("reasons", "; "))),
+    "grid_full": Query(  # questions 1 to 10 of every sheet that was read
+        lambda s, d: keys.full_rows(grid_rows(s, d).withColumn("pos", F.lit(0)), "booklet_id", "question", 10),
+        GRID_SQL + """, s AS (SELECT DISTINCT booklet_id FROM answers WHERE question IS NOT NULL), r AS (SELECT booklet_id, question, max(letter) AS letter, true AS has FROM answers GROUP BY ALL)
+        SELECT s.booklet_id, CAST(q AS INTEGER) AS question, letter, CASE WHEN has IS NULL THEN 'omitted' ELSE '' END AS note FROM s CROSS JOIN range(1, 11) t(q) LEFT JOIN r ON r.booklet_id = s.booklet_id AND r.question = t.q""",
+    ),
+    "choice_rubric": Query(  # rubric rows of the voted keys; the master is the vote of all suits together
+        lambda s, d: keys.choice_rubric(votes.majority(grid_rows(s, d), ["question"], "letter").where("question is not null").select("question", F.col("letter").alias("correct_letter")), key(s, d), "question", "suit")
+        .select("question", "max_points", "kind", F.array_join(F.transform(F.array_sort(F.map_entries("mcq_keys")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("keys")),
+        VOTE_SQL + """, mn AS (SELECT question, letter, count(*) AS k FROM answers WHERE letter IS NOT NULL GROUP BY ALL), mt AS (SELECT *, max(k) OVER (PARTITION BY question) AS top FROM mn),
+        m AS (SELECT question, CASE WHEN count(*) = 1 THEN min(letter) END AS letter FROM mt WHERE k = top AND question IS NOT NULL GROUP BY question),
+        every AS (SELECT question, 'master' AS suit, coalesce(letter, '') AS letter FROM m UNION ALL SELECT question, suit, letter FROM key WHERE letter IS NOT NULL AND question IN (SELECT question FROM m))
+        SELECT question, 10.0::DOUBLE AS max_points, 'mcq' AS kind, string_agg(suit || '=' || letter, ',' ORDER BY suit) AS keys FROM every GROUP BY question""",
+    ),
+    "hand_scores": Query(  # the letters read off a sheet stand for those read by hand
+        lambda s, d: keys.hand_scores(sheet_letters(s, d), key(s, d), "question", "suit").select("booklet_id", "suit", "question", "mark", "reference"),
+        VOTE_SQL + """ SELECT a.booklet_id, a.suit, a.question, a.letter AS mark, CASE WHEN key.letter IS NOT NULL THEN CASE WHEN a.letter = key.letter THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END END AS reference
+        FROM answers a LEFT JOIN key USING (suit, question) WHERE a.question IS NOT NULL""",
+    ),
+    "sheet_grades": Query(  # sheets with evidence: questions of the booklet's rubrics, readings and printed keys from the grades
+        graded_sheets,
+        VOTE_SQL + f""", cr AS (SELECT DISTINCT rubric_id, question_id, max_points FROM curated_rubric), br AS (SELECT DISTINCT booklet_id, rubric_id FROM grades),
+        e AS (SELECT booklet_id, CAST(question_id AS INTEGER) AS question, max(max_points) AS max_points FROM br JOIN cr USING (rubric_id) GROUP BY ALL),
+        sh AS (SELECT booklet_id, min(suit) AS suit FROM answers GROUP BY 1), r AS (SELECT booklet_id, question, max(letter) AS answer, true AS has FROM answers WHERE question IS NOT NULL GROUP BY ALL),
+        {OWN_SQL}, o AS (SELECT booklet_id, CAST(question_id AS INTEGER) AS question, max_by(letter, id) AS own_key_letter FROM own WHERE letter IS NOT NULL GROUP BY ALL),
+        joined AS (SELECT e.booklet_id, e.question, e.max_points, sh.suit, r.answer, r.has, key.letter AS key_letter, o.own_key_letter FROM e LEFT JOIN sh USING (booklet_id) LEFT JOIN r USING (booklet_id, question) LEFT JOIN key ON key.suit = sh.suit AND key.question = e.question LEFT JOIN o ON o.booklet_id = e.booklet_id AND o.question = e.question)
+        SELECT booklet_id, question, max_points, CASE WHEN key_letter IS NOT NULL THEN CASE WHEN answer = key_letter THEN max_points ELSE 0.0::DOUBLE END END AS score, key_letter, answer, own_key_letter,
+          concat_ws('; ', CASE WHEN has IS NULL THEN 'question not read' END, CASE WHEN suit IS NULL THEN 'version unknown' END, CASE WHEN suit IS NOT NULL AND key_letter IS NULL THEN 'no approved key for the version' END,
+            CASE WHEN own_key_letter <> key_letter THEN 'printed options give ' || own_key_letter || ', the key is ' || key_letter END) AS review_reasons FROM joined""",
+    ),
 }

@@ -33,6 +33,23 @@ def images(spark: SparkSession, folder: str, glob: str = "*.png") -> DataFrame:
     return from_images(spark.read.format("image").option("dropInvalid", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder))
 
 
+def unreadable(spark: SparkSession, folder: str, glob: str = "*.png") -> DataFrame:
+    """(path, error) of the files that the image source cannot decode, so that none is lost without trace."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder).select("path")
+    tail = lambda c: F.regexp_replace(c, r"^file:/+", "/")  # noqa: E731 - the two sources write the scheme differently
+    good = images(spark, folder, glob).select(tail(F.col("path")).alias("_p"))
+    return files.withColumn("_p", tail(F.col("path"))).join(good, "_p", "left_anti").select("path", F.lit("not an image").alias("error"))
+
+
+PAGE_METRICS = "path string, paper_white double, clamped double, skew double, std double, faint double, spread double, ink double, fixing_score double, _corrupt_record string"
+
+
+def page_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures that ``sinks.page_metrics`` wrote beside the pages; records that do not parse are left out."""
+    m = spark.read.schema(PAGE_METRICS).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(folder)
+    return m.where("_corrupt_record is null and path is not null").drop("_corrupt_record")
+
+
 def manifests(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "manifest.json").json(folder)
 
@@ -70,9 +87,10 @@ def hand_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """(crop_id, text) of an object; keys that begin with an underscore are notes, values that are no text are left out."""
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("crop_id", "text"))
-    return raw.where(~F.col("crop_id").startswith("_") & F.col("text").isNotNull() & ~F.col("text").rlike(r"^[\[{]|^(?:true|false|null|-?\d+(?:\.\d+)?)$"))
+    """(crop_id, text) of an object; keys that begin with an underscore are notes. What is no JSON text, by its type, is left out; a text of digits stays."""
+    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    each = raw.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+    return each.where(~F.col("key").startswith("_") & (F.schema_of_variant("value") == "STRING")).select(F.col("key").alias("crop_id"), F.variant_get("value", "$", "string").alias("text"))
 
 
 def rubric(spark: SparkSession, path: str) -> DataFrame:

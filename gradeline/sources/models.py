@@ -7,6 +7,7 @@ as a repeated Spark task would call again.
 
 from __future__ import annotations
 
+import os
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -52,6 +53,16 @@ def with_retries(client: Client, prompt: str, tries: int = 4, least: float = 1.0
     raise AssertionError
 
 
+def model_list(variable: str, default: list[str]) -> list[str]:
+    """Models to run: those that an environment variable names, with commas between, else the default."""
+    return [m for m in (x.strip() for x in os.environ.get(variable, "").split(",")) if m] or default
+
+
+def requests(items: DataFrame, prompt, version: str, models: list[str]) -> DataFrame:
+    """A request per item and model: the items' columns with prompt_version, model and prompt (a column). Models are few, so they are an array."""
+    return items.withColumn("prompt", prompt).withColumn("prompt_version", F.lit(version)).withColumn("model", F.explode(F.array(*map(F.lit, models))))
+
+
 def keyed(requests: DataFrame) -> DataFrame:
     """Adds cache_key to (prompt_version, model, prompt)."""
     return requests.withColumn("cache_key", X.digest(F.concat_ws("\n", F.coalesce("prompt_version", F.lit("")), F.coalesce("model", F.lit("")), F.coalesce("prompt", F.lit(""))), 24))
@@ -73,6 +84,21 @@ def called(requests: DataFrame, client: Client, parallel: int = 4) -> DataFrame:
     return requests.select("cache_key", "prompt").coalesce(parallel).mapInPandas(run, RESPONSE)
 
 
+class Attempts:
+    """A client of several, asked one after the other until a response can be read; what the last one said stays, if none can."""
+
+    def __init__(self, clients: list[Client], readable: Callable[[str], bool]):
+        self.clients, self.readable = clients, readable
+
+    def __call__(self, prompt: str) -> str:
+        said = ""
+        for client in self.clients:
+            said = client(prompt) or ""
+            if said.strip() and self.readable(said):
+                break
+        return said
+
+
 def enriched(requests: DataFrame, cache: DataFrame, client: Client, parallel: int = 4) -> tuple[DataFrame, DataFrame]:
     """(answers of all requests with cache_hit, new cache rows). Failed calls are answered but not cached."""
     r = keyed(requests)

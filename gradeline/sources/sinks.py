@@ -7,12 +7,30 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as X
 
 
-def page_manifests(regions: DataFrame, folder: str) -> None:
-    """One record per page with its regions in reading order, partitioned by booklet."""
-    m = regions.groupBy("booklet_id", "page_name").agg(F.array_sort(F.collect_list(F.struct("reading_order", "question_id", "state", "x", "y", "w", "h"))).alias("questions"))
+def page_manifests(regions: DataFrame, folder: str, pages: DataFrame | None = None, tables: DataFrame | None = None) -> None:
+    """One record per page with its regions in reading order, partitioned by booklet. ``pages`` adds what is known of a page (booklet_id, page_name, page_size,
+    columns, gutters, coverage, halted, halt_reasons, errors, method, ...), also of pages without a region; ``tables`` its tables (index, x, y, w, h, confidence, kind)."""
+    key = ["booklet_id", "page_name"]
+    optional = [c for c in ("label", "confidence", "column_index", "is_sub", "crop") if c in regions.columns]
+    m = regions.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("reading_order", "question_id", "state", "x", "y", "w", "h", *optional))).alias("questions"))
+    if tables is not None:
+        t = tables.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("index", "x", "y", "w", "h", "confidence", "kind"))).alias("tables"))
+        m = m.join(t, key, "full")
+    if pages is not None:
+        m = pages.join(m, key, "left")
     m.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("booklet_id").json(folder)
 
 
+def crops(cut: DataFrame, folder: str) -> None:
+    """Crops (booklet_id, page_name, crop_id, w, h, channels, data) as bytes; what a booklet's page had before is replaced, so no crop of an earlier layout stays."""
+    cut.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("booklet_id", "page_name").parquet(folder)
+
+
+def page_metrics(measures: DataFrame, folder: str) -> None:
+    """Measures of pages as records beside them, partitioned by booklet."""
+    measures.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("booklet_id").json(folder)
+
+
 def transcripts(rows: DataFrame, folder: str) -> None:
     rows.withColumn("model_slug", X.slug("model")).write.mode("append").partitionBy("model_slug").json(folder)
 

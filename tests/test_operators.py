@@ -24,6 +24,8 @@ def test_statuses(spark):
     assert sorted(r.booklet_id for r in left.collect()) == ["ok", "unknown"]
     assert intake.pages(spark.createDataFrame(rows, BOOKLET)).where("booklet_id = 'ok'").count() == 3
     assert [r.k for r in spark.createDataFrame([("a.PDF",), ("b.jpeg",), ("c.txt",)], ["p"]).select(intake.kind("p").alias("k")).collect()] == ["pdf", "image", None]
+    with pytest.raises(Exception, match="unsupported file c.txt"):
+        spark.createDataFrame([("c.txt",)], ["p"]).select(intake.kind("p", strict=True)).collect()
 
 
 def test_store(spark):
@@ -115,6 +117,14 @@ def test_layout(spark):
     assert {(r.q, r.coverage) for r in layout.coverage(e, f, ["booklet_id", "q"]).collect()} == {("1", "answered"), ("2", "blank"), ("3", "not_found")}
     pts = spark.createDataFrame([(5,), (15,), (99,), (10,)], "x int")
     assert [r.band for r in layout.band_of(pts, "x", [(0, 10), (10, 20)]).collect()] == [0, 1, 0, 0]
+    regions = spark.createDataFrame([("p", 5), ("p", 50), ("p", 99), ("q", 5)], "page string, c int")
+    cols = spark.createDataFrame([("p", 0, 40, 60), ("p", 1, 0, 50)], "page string, pos int, x0 int, x1 int")
+    assert sorted((r.page, r.c, r.column_index) for r in layout.column_of(regions, cols, "page", "c").collect()) == [("p", 5, 1), ("p", 50, 0), ("p", 99, 0), ("q", 5, 0)]
+    labels = spark.createDataFrame([("p", "a", 90, 10), ("p", "b", 50, 12)], "page string, label string, lx int, ly int")
+    spans = spark.createDataFrame([("p", "s1", 70, 11), ("p", "s2", 30, 15), ("p", "s3", 70, 30), ("p", "s4", 95, 10)], "page string, text string, x int, y int")
+    assert sorted((r.label, r.text) for r in layout.band_rows(spans, labels, "page").collect()) == [("a", "s1"), ("b", "s2")]
+    cov = spark.createDataFrame([("b", "1", "answered"), ("b", "2", "not_found"), ("c", "1", "blank")], "b string, q string, coverage string")
+    assert {(r.b, r.halted, r.reasons) for r in layout.halting(cov, "b", "q").collect()} == {("b", True, "question 2 not found"), ("c", False, "")}
     rng = np.random.default_rng(1)
     L = [("k" if i % 3 else "h", int(t), i) for i, t in enumerate(rng.integers(0, 100, 60))]
     R = [("k" if i % 3 else "h", int(t), i) for i, t in enumerate(rng.integers(0, 100, 25))]

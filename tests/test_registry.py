@@ -38,8 +38,18 @@ def test_against_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_rows_only(spark, name):
-    assert registry.queries()[name](spark, FOLDER).count() >= 0
+    rows = registry.queries()[name](spark, FOLDER).collect()
+    assert rows and len({len(r) for r in rows}) == 1
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from gradeline.__main__ import main
+
+    assert main(["no_such_query", FOLDER], spark) == 2 and "current_grades" in capsys.readouterr().err
+    assert main(["halted", FOLDER], spark) == 1
+    assert main(["current_grades", FOLDER, str(tmp_path / "o"), "--booklets", "b00000000, x"], spark) == 0
+    assert {r.booklet_id for r in spark.read.parquet(str(tmp_path / "o")).select("booklet_id").distinct().collect()} == {"b00000000"}

@@ -21,6 +21,8 @@ def test_scans_and_images(spark, tmp_path):
     assert sorted((r.stem, r.reader) for r in files.scans(spark, str(tmp_path)).collect()) == [("a", "pdf"), ("b", "image")]
     png(tmp_path / "pages" / "page_001.png")
     assert [(r.width, r.height) for r in files.images(spark, str(tmp_path / "pages")).collect()] == [(8, 6)]
+    (tmp_path / "pages" / "page_002.png").write_bytes(b"no image")
+    assert [(r.path.rsplit("/", 1)[-1], r.error) for r in files.unreadable(spark, str(tmp_path / "pages")).collect()] == [("page_002.png", "not an image")]
 
 
 def test_crops(spark, tmp_path):
@@ -37,8 +39,8 @@ def test_lists(spark, tmp_path):
     assert sorted(tuple(r) for r in files.grade_list(spark, str(tmp_path / "g.csv")).collect()) == [("07", 81.5), ("12", 90.0)]
     (tmp_path / "l.json").write_text(json.dumps({"01": {"version": "heart", "marks": ["a", None]}}))
     assert [(r.question, r.mark) for r in files.hand_labels(spark, str(tmp_path / "l.json")).orderBy("question").collect()] == [(1, "a"), (2, None)]
-    (tmp_path / "t.json").write_text(json.dumps({"_note": "x", "c1": "text", "c2": 3}))
-    assert [tuple(r) for r in files.ground_truth(spark, str(tmp_path / "t.json")).collect()] == [("c1", "text")]
+    (tmp_path / "t.json").write_text(json.dumps({"_note": "x", "c1": "text", "c2": 3, "c3": "42", "c4": "true", "c5": None, "c6": ["a"], "c7": "[x]"}))
+    assert sorted(tuple(r) for r in files.ground_truth(spark, str(tmp_path / "t.json")).collect()) == [("c1", "text"), ("c3", "42"), ("c4", "true"), ("c7", "[x]")]
     (tmp_path / "r.json").write_text(json.dumps({"rubric_id": "r", "exam_id": "e", "questions": [{"question_id": "1", "max_points": 3, "paths": []}]}))
     r = files.rubric(spark, str(tmp_path / "r.json")).first()
     assert (r.source, r.kind) == ("instructor", "open")
@@ -56,6 +58,18 @@ def test_transcripts_round_trip(spark, tmp_path):
     regions = spark.createDataFrame([("b", "p.png", 1, "2", "blank", 0, 0, 1, 1), ("b", "p.png", 0, "1", "answered", 0, 0, 1, 1)], "booklet_id string, page_name string, reading_order int, question_id string, state string, x int, y int, w int, h int")
     sinks.page_manifests(regions, str(tmp_path / "m"))
     assert [q.question_id for q in spark.read.json(str(tmp_path / "m")).first().questions] == ["1", "2"]
+    pages = spark.createDataFrame([("b", "p.png", True, ["question 3 not found"]), ("b", "q.png", False, [])], "booklet_id string, page_name string, halted boolean, halt_reasons array<string>")
+    tables = spark.createDataFrame([("b", "p.png", 0, 1, 2, 3, 4, 0.7, "grid")], "booklet_id string, page_name string, index int, x int, y int, w int, h int, confidence double, kind string")
+    sinks.page_manifests(regions.withColumn("label", F.lit("l")), str(tmp_path / "m"), pages, tables)
+    got = {r.page_name: r for r in spark.read.json(str(tmp_path / "m")).collect()}
+    assert got["p.png"].halted and len(got["p.png"].tables) == 1 and got["p.png"].questions[0].label == "l" and got["q.png"].questions is None
+    sinks.page_metrics(spark.createDataFrame([("b", "p", 0.5), ("c", "q", 1.0)], "booklet_id string, path string, fixing_score double"), str(tmp_path / "x"))
+    (tmp_path / "x" / "booklet_id=c" / "bad.json").write_text("{broken")
+    assert {(r.path, r.fixing_score) for r in files.page_metrics(spark, str(tmp_path / "x")).collect()} == {("p", 0.5), ("q", 1.0)}
+    crop = spark.createDataFrame([("b", "p.png", "c1", 1, 1, 1, b"x"), ("b", "p.png", "c2", 1, 1, 1, b"y"), ("b", "q.png", "c3", 1, 1, 1, b"z")], "booklet_id string, page_name string, crop_id string, w int, h int, channels int, data binary")
+    sinks.crops(crop, str(tmp_path / "c"))
+    sinks.crops(crop.where("crop_id = 'c1'"), str(tmp_path / "c"))
+    assert {r.crop_id for r in spark.read.parquet(str(tmp_path / "c")).collect()} == {"c1", "c3"}
     sinks.ledger(spark.range(2), str(tmp_path / "l"))
     sinks.ledger(spark.range(1), str(tmp_path / "l"))
     assert spark.read.json(str(tmp_path / "l")).count() == 3
@@ -79,6 +93,17 @@ def test_models(spark):
     assert models.with_retries(models.Replay({}), "x", sleep=waits.append)[2] == 1
 
 
+def test_attempts_and_requests(spark, monkeypatch):
+    a = models.Attempts([models.Replay({"x": "words", "y": '{"a": 1}'}), models.Replay({"x": '{"b": 2}'})], lambda t: t.startswith("{"))
+    assert a("x") == '{"b": 2}' and a("y") == '{"a": 1}'
+    with pytest.raises(models.Refused):
+        a("z")
+    monkeypatch.setenv("MODELS_TO_RUN", " a, ,b ")
+    assert models.model_list("MODELS_TO_RUN", ["c"]) == ["a", "b"] and models.model_list("NOT_SET_HERE", ["c"]) == ["c"]
+    r = models.requests(spark.createDataFrame([("1",)], "q string"), F.concat(F.lit("read "), "q"), "v1", ["a", "b"])
+    assert sorted((x.model, x.prompt, x.prompt_version) for x in r.collect()) == [("a", "read 1", "v1"), ("b", "read 1", "v1")]
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, t int, v string")
     for i, part in enumerate((rows.where("t = 1"), rows.where("t = 2"))):
