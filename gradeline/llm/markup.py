@@ -1,7 +1,7 @@
 """Problem 5: markup of other formats in transcripts, found and turned into clean text.
 
 Three steps. (1) Each page's HTML containers are scored by the visible text that they hold; marks that may as well be plain signs
-(``WEAK``: a dash or star at the start of a line, a single star or underscore around words, a ruled line, bars) are noted. (2) The pages of
+(``WEAK``: a single star or underscore around words, a ruled line, a line between bars without a table's second line) are noted. (2) The pages of
 a host, here the model and prompt that wrote them, vote in Spark on generalised paths, tag and class from the
 outside in, indexes left out; the path with the most votes wins. A weak mark wins if ``AGREE`` pages have it. (3) Each page is read again: where it
 has the winning path, that container is its body, and whatever stands outside is kept after it, not lost; weak marks that did not win stay text.
@@ -47,7 +47,8 @@ RULES = {
     "item": r"(?m)^\s*(?:[-+]|\*{1,4})[ \t]+\S",
     "quote": r"(?m)^[ \t]{0,3}>[ \t]*\S",
     "rule": r"(?m)^\s{0,3}(?:-{3,}|\*{3,}|_{3,})\s*$",
-    "table": r"(?m)^\s*\|[^\n]*\|\s*$|^\s*\|?\s*:?-{2,}:?\s*\|[\s:|-]*$",
+    "table": r"(?m)^\s*\|?\s*:?-{2,}:?\s*\|[\s:|-]*$",
+    "bars": r"(?m)^\s*\|[^\n]*\|\s*$",
     "link": r"!?\[[^\]\n]*\]\((?=[^)\n]*[/.#:])[^)\n]*\)|!\[[^\]\n]*\]\(",
     "wiki": r"(?m)'{2,5}[^'\n]+'{2,5}|\[\[(?!deleted:)[^\]\n]+\]\]|\{\{[^{}\n]+\}\}|\{\||\|\}|^\s*={2,6}[^=\n]+={2,6}\s*$|\[(?:https?|ftp)://",
     "emphasis": r"(?<![\w*])\*[^\s*][^*\n]*?(?<!\s)\*(?![\w*])|(?<![\w_\\])_[^\s_][^_\n]*?(?<!\s)_(?![\w_])",
@@ -55,7 +56,7 @@ RULES = {
 #: A text without any of these has no match of the rule.
 NEEDS = {
     "html": "<", "entity": "&", "latex": "\\", "formula": "\\", "break": "\\", "fence": ("```", "~~~"), "code": "`", "bold": ("**", "__"), "strike": "~~", "heading": "#",
-    "quote": ">", "rule": ("---", "***", "___"), "table": "|", "link": "](", "wiki": ("''", "[[", "{{", "{|", "|}", "==", "[http", "[ftp"), "emphasis": ("*", "_"),
+    "quote": ">", "rule": ("---", "***", "___"), "table": "|", "bars": "|", "link": "](", "wiki": ("''", "[[", "{{", "{|", "|}", "==", "[http", "[ftp"), "emphasis": ("*", "_"),
 }
 RULES["break"] = r"\\\\"
 IN_FORMULA = ("html", "entity", "latex", "formula", "fence", "code", "strike", "heading", "link")
@@ -93,7 +94,7 @@ def formula_kinds(entry: str | None) -> list[str]:
 
 
 #: Marks that may be plain signs, the pages that must have one, and the most hosts whose winning paths are broadcast.
-WEAK, AGREE, MOST_HOSTS = ("item", "quote", "rule", "table", "emphasis"), 2, 100_000
+WEAK, AGREE, MOST_HOSTS = ("rule", "bars", "emphasis"), 2, 100_000
 BLOCKS = {"p", "div", "section", "article", "blockquote", "table", "tr", "ul", "ol", "li", "pre", "main", "header", "footer", "nav", "aside", "center", "body", "html", "dl", "dt", "dd", "hr", "h1", "h2", "h3", "h4", "h5", "h6"}
 HOSTS = {"div", "section", "article", "main", "body", "blockquote", "center"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "col", "source"}
@@ -351,7 +352,7 @@ def winning_paths(df: DataFrame) -> DataFrame:
     pages = df.where("interleaved_markdown is not null").select(host_of().alias("host"), "interleaved_markdown")
     votes = cut(pages.mapInArrow(run, "host string, path string, score long").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score")))
     weak = F.col("path").startswith("<")
-    marks = [r.path[1:-1] for r in votes.where(weak).groupBy("path").agg(F.sum("votes").alias("v")).where(F.col("v") >= AGREE).orderBy("path").collect()]  # five names at most
+    marks = [r.path[1:-1] for r in votes.where(weak).groupBy("path").agg(F.sum("votes").alias("v")).where(F.col("v") >= AGREE).orderBy("path").collect()]  # three names at most
     best = votes.groupBy("host").agg(F.max(F.when(~weak, F.struct("votes", "score", "path"))).alias("v"))
     return best.select("host", F.col("v.path").alias("body_path"), F.col("v.votes").alias("votes"), F.array(*map(F.lit, marks)).cast("array<string>").alias("marks"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata as ud
 
-from . import looks as L
+from . import looks as L, markup as M
 
 #: Written from the definition of the cases: a response is whole if the last part of its format stands complete, a plain text if it ends with a full stop.
 _P1 = r"""
@@ -93,5 +93,25 @@ SELECT s.lang, s.source, count(*) AS n_docs, sum(n_words)::BIGINT AS n_words, su
 FROM shares s JOIN l ON s.lang IS NOT DISTINCT FROM l.lang AND s.source IS NOT DISTINCT FROM l.source GROUP BY s.lang, s.source"""
 
 
+#: Written from the definition of the cases, with plainer patterns than the operator's; which commands are mathematics is the same fixed list.
+_TAGS = "a|b|i|u|s|p|em|br|hr|h[1-6]|ul|ol|li|dl|dt|dd|tr|td|th|div|del|ins|sub|sup|pre|ref|img|span|code|font|math|mark|small|strong|table|thead|tbody|center|section|article|nowiki|details|summary|blockquote"
+_HTML = rf"(?i)</?(?:{_TAGS})(?:\s[^<>]*)?/?>|<!--"
+_ENTITY = r"&(?:[a-zA-Z][a-zA-Z0-9]+|#[0-9]+|#[xX][0-9a-fA-F]+);"
+_NO_MATRIX = r"regexp_replace({t}, '\\(begin|end)\s*\{{(d?cases|array|small[a-z]*|[pbvBV]?matrix\*?)\}}', '', 'g')"
+_COMMANDS = "len(list_filter(regexp_extract_all(" + _NO_MATRIX + r", '\\([a-zA-Z]{{2,}})', 1), lambda x: NOT list_contains([" + ", ".join(f"'{m}'" for m in M.MATH) + "], x))) > 0"
+_SIGNS = (r"\\[\[\]()]", r"```|(?m)^\s*~~~", r"`[^`\n]+`", r"~~[^\s~]", r"(?m)^\s{0,3}#{1,6}[ \t]+\S", r"!?\[[^\]\n]*\]\([^)\n]*[/.#:][^)\n]*\)")
+_MARKS = _SIGNS + (
+    r"\\\\", r"\*\*[^\s*][^\n]*\*\*", r"(?:^|\W)__[^\s_][^\n]*__", r"(?m)^\s*(?:[-+]|\*{1,4})[ \t]+\S", r"(?m)^[ \t]{0,3}>[ \t]*\S", r"(?m)^\s{0,3}(?:-{3,}|\*{3,}|_{3,})\s*$", r"(?m)^\s*\|[^\n]*\|\s*$",
+    r"'{2,5}[^'\n]+'{2,5}", r"\[\[[^\]\n]+\]\]", r"\{\{[^{}\n]+\}\}", r"\{\||\|\}", r"(?m)^\s*={2,6}[^=\n]+={2,6}\s*$", r"\[(?:https?|ftp)://",
+)
+_any = lambda t, patterns: " OR ".join(f"regexp_matches({t}, {_quoted(p)})" for p in patterns)
+P5_FOUND = rf"""
+WITH t AS (SELECT DISTINCT transcript_id, interleaved_markdown, math_latex FROM transcriber WHERE transcript_id IS NOT NULL),
+m AS (SELECT transcript_id, regexp_replace(regexp_replace(regexp_replace(interleaved_markdown, '(?is)\[\[deleted:.*?(\]\]|\z)', '', 'g'), '(?s)\$\$.+?\$\$|\$[^$\n]+\$', '', 'g'), '(?m)\$[^$\n]*$', '', 'g') AS s FROM t WHERE interleaved_markdown <> ''),
+f AS (SELECT transcript_id, unnest(math_latex) AS e FROM t)
+SELECT transcript_id, 'interleaved_markdown' AS field FROM m WHERE {_any("s", (_HTML, _ENTITY, *_MARKS))} OR {_COMMANDS.format(t="s")}
+UNION SELECT transcript_id, 'math_latex' FROM f WHERE e <> '' AND ({_any("e", (_HTML, _ENTITY, *_SIGNS, r"\$", r"(?s)^\s*(?:''.*''|\*\*.*\*\*)\s*$"))} OR {_COMMANDS.format(t="e")})"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_rates": P1_RATES, "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p8_shares": P8_SHARES, "p8_found": P8_FOUND, "p8_report": P8_REPORT}
+    return {"p1_found": P1_FOUND, "p1_rates": P1_RATES, "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p8_shares": P8_SHARES, "p8_found": P8_FOUND, "p8_report": P8_REPORT}

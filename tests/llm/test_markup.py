@@ -46,11 +46,11 @@ def test_cleaning_again_changes_nothing():
 
 
 def test_a_weak_mark_needs_another_page(spark):
-    rows = [("a", "m", "v", "x\n- 5", None), ("b", "m", "v", "x\n> y", None), ("c", "n", "v", "z\n> w", None), ("d", "n", "v", "plain", None)]
+    rows = [("a", "m", "v", "x\n| 5 |", None), ("b", "m", "v", "x *y z*", None), ("c", "n", "v", "*z* w", None), ("d", "n", "v", "plain", None)]
     df = spark.createDataFrame(rows, "transcript_id string, actual_model string, prompt_version string, interleaved_markdown string, math_latex array<string>")
     assert {r.transcript_id for r in M.found(df).collect()} == {"b", "c"}
     got = {r.transcript_id: r.clean_markdown for r in M.cleaned(df).collect()}
-    assert got == {"a": "x\n- 5", "b": "x\ny", "c": "z\nw", "d": "plain"}
+    assert got == {"a": "x\n| 5 |", "b": "x y z", "c": "z w", "d": "plain"}
     assert "SortMergeJoin" not in M.cleaned(df)._jdf.queryExecution().executedPlan().toString()
 
 
