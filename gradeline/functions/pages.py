@@ -120,6 +120,138 @@ def crop_border(image: np.ndarray, dark: int = 90) -> np.ndarray:
     return image[y[0] : y[-1] + 1, x[0] : x[-1] + 1] if len(y) and len(x) else image
 
 
+def warp(image: np.ndarray, corners: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The quadrangle of ``corners`` (x, y; from the top left on, clockwise) as an upright page of that size; nearest neighbour, white where the image ends."""
+    u, v = np.array([0, width - 1, width - 1, 0.0]), np.array([0, 0, height - 1, height - 1.0])
+    x, y = np.asarray(corners, float).T
+    one, zero = np.ones(4), np.zeros(4)
+    # x = (a u + b v + c) / (g u + h v + 1), y likewise, at the four corners
+    rows = np.concatenate([np.stack([u, v, one, zero, zero, zero, -u * x, -v * x], 1), np.stack([zero, zero, zero, u, v, one, -u * y, -v * y], 1)])
+    a, b, c, d, e, f, g, h = np.linalg.solve(rows, np.concatenate([x, y]))
+    v, u = np.mgrid[0:height, 0:width].astype(float)
+    z = g * u + h * v + 1
+    sx, sy = np.rint((a * u + b * v + c) / z).astype(int), np.rint((d * u + e * v + f) / z).astype(int)
+    inside = (sx >= 0) & (sx < image.shape[1]) & (sy >= 0) & (sy < image.shape[0])
+    out = np.full((height, width, *image.shape[2:]), 255, np.uint8)
+    out[inside] = image[sy[inside], sx[inside]]
+    return out
+
+
+def largest(mask: np.ndarray) -> np.ndarray:
+    """The largest connected part of a mask, by its rows' runs, neighbours at corners included."""
+    at, own, above = [], [], (np.zeros((0, 2), int), np.zeros(0, int))
+    parent: list[int] = []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for y in range(len(mask)):
+        r = runs(mask[y])
+        ids = np.arange(len(parent), len(parent) + len(r))
+        parent.extend(ids.tolist())
+        first = np.searchsorted(above[0][:, 1], r[:, 0])  # runs above that end at or behind the start
+        for k, (a, b) in enumerate(r):
+            j = first[k]
+            while j < len(above[0]) and above[0][j, 0] <= b:
+                parent[root(int(above[1][j]))] = root(int(ids[k]))
+                j += 1
+        at += [(y, a, b) for a, b in r]
+        own.append(ids)
+        above = (r, ids)
+    out = np.zeros_like(mask)
+    if at:
+        roots = np.array([root(i) for i in range(len(parent))])
+        at = np.array(at)
+        size = np.bincount(roots, at[:, 2] - at[:, 1])
+        for y, a, b in at[roots == int(np.argmax(size))]:
+            out[y, a:b] = True
+    return out
+
+
+def corners(mask: np.ndarray) -> np.ndarray:
+    """Its outermost points towards the four corners, from the top left on, clockwise, as (x, y)."""
+    y, x = np.nonzero(mask)
+    return np.array([(x[k], y[k]) for k in (np.argmin(x + y), np.argmax(x - y), np.argmax(x + y), np.argmin(x - y))])
+
+
+def sides(c: np.ndarray) -> tuple[int, int]:
+    """Width and height of a quadrangle: the longer of either two."""
+    d = np.linalg.norm(np.roll(c, -1, 0) - c, axis=1)
+    return int(round(max(d[0], d[2]))) + 1, int(round(max(d[1], d[3]))) + 1
+
+
+def upright_page(image: np.ndarray, bright: int = 200, least: float = 0.5) -> tuple[np.ndarray, bool]:
+    """The bright sheet on a dark ground, made rectangular. A sheet that reaches the image's corners, or covers less than ``least`` of a side, is left as it is."""
+    sheet = grey(image) > bright
+    if not sheet.any():
+        return image, False
+    h, w = sheet.shape
+    c = corners(largest(sheet))
+    wide, high = sides(c)
+    off = np.abs(c - np.array([(0, 0), (w - 1, 0), (w - 1, h - 1), (0, h - 1)])).max()
+    if wide < least * w or high < least * h or off <= 0.01 * max(h, w):
+        return image, False
+    return warp(image, c, wide, high), True
+
+
+def ruled(mask: np.ndarray, across: int, down: int) -> np.ndarray:
+    """Pixels that belong to a horizontal run of ``across`` or a vertical one of ``down`` at least."""
+    out = np.zeros_like(mask)
+    for m, o, least in ((mask, out, across), (mask.T, out.T, down)):
+        for k in range(len(m)):
+            for a, b in runs(m[k]):
+                if b - a >= least:
+                    o[k, a:b] = True
+    return out
+
+
+def lattice(found: list[int], n: int, most: float = 0.15) -> list[int] | None:
+    """Of positions found, the ``n`` that lie most evenly; None if there are too few or the best of them are off by more than ``most`` of a step."""
+    x = np.array(sorted(found), float)
+    best, cost = None, most
+    for i in range(len(x)):
+        for j in range(i + n - 1, len(x)):
+            step = (x[j] - x[i]) / (n - 1)
+            want = x[i] + step * np.arange(n)
+            k = np.clip(np.searchsorted(x, want), 1, len(x) - 1)
+            k = np.where(want - x[k - 1] <= x[k] - want, k - 1, k)
+            off = np.abs(x[k] - want).max() / max(step, 1.0)
+            if len(set(k.tolist())) == n and off < cost:
+                best, cost = x[k].astype(int).tolist(), off
+    return best
+
+
+def rectified_grid(image: np.ndarray, rows: int, cols: int) -> tuple[np.ndarray, list[int], list[int]] | None:
+    """The ruled table of ``rows`` x ``cols`` boxes, made upright, with the places of its lines (ys, xs); None if no part of the page has such a lattice.
+    Rows that are nearly all dark, a mask, are no lines."""
+    ink = grey(image) < 128
+    ink[ink.mean(axis=1) > 0.9] = False
+    h, w = ink.shape
+    lines_ = ruled(ink, max(12, w // 30), max(12, h // 40))
+    if not lines_.any():
+        return None
+    c = corners(largest(lines_))
+    wide, high = sides(c)
+    if wide < 0.2 * w or high < 0.1 * h:
+        return None
+    table = warp(image, c, wide, high)
+    dark = grey(table) < 128
+    out = []
+    for axis, n in ((1, rows + 1), (0, cols + 1)):
+        size = dark.shape[1 - axis]
+        p = smooth(ruled(dark, *((wide // 3, 10**9) if axis else (10**9, high // 3))).mean(axis=axis), 5)
+        if p.max() <= 0:
+            return None
+        peaks = [int(a + np.argmax(p[a:b])) for a, b in runs(p >= 0.35 * p.max())]
+        gap = max(4, size // (2 * n))
+        peaks += [e for e in (0, size - 1) if all(abs(e - q) >= gap for q in peaks)]
+        out.append(lattice(peaks, n))
+    return None if None in out else (table, *out)
+
+
 def mask_top(image: np.ndarray, share: float = 0.15) -> np.ndarray:
     out = image.copy()
     out[: int(round(len(image) * share))] = 0
@@ -213,7 +345,7 @@ def tables(image: np.ndarray) -> list[dict]:
         cross = [x for x, p, q in down if a - 3 <= x <= b + 3 and p <= y0 + 5 and q >= y1 - 5]
         if len(same) >= 3 and len(cross) >= 3:
             n = len(same) * len(cross)
-            out.append({"x": a, "y": y0, "w": b - a, "h": y1 - y0, "rows": len(same), "cols": len(cross), "confidence": round(min(0.98, 0.5 + n / 60), 3), "kind": "grid" if n >= 20 else "table"})
+            out.append({"x": a, "y": y0, "w": b - a, "h": y1 - y0, "rows": len(same), "cols": len(cross), "ys": [r[0] for r in same], "xs": sorted(cross), "confidence": round(min(0.98, 0.5 + n / 60), 3), "kind": "grid" if n >= 20 else "table"})
     return out
 
 

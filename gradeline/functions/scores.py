@@ -9,6 +9,7 @@ def clamp(x: Column, lo, hi) -> Column:
     return F.least(F.greatest(x, F.lit(lo) if not isinstance(lo, Column) else lo), F.lit(hi) if not isinstance(hi, Column) else hi)
 
 
+#: The numbers of the functions below are fixed values.
 def confidence(blank: Column, has_content: Column, n_formulas: Column, parse_rate: Column, n_flags: Column, self_reported: Column, agreement: Column | None = None) -> Column:
     """Objective confidence: blank .95; empty .15; else the parse rate (.92 without formulas) less .07 a flag, .35 at most,
     within [.05, .98]; .4 of it from another model's agreement, then .1 from the model's own, counted up to .85."""
@@ -75,3 +76,17 @@ def suit(ink_ratio: Column, holes: Column, top: Column, solidity: Column) -> Col
         .when((top >= 0.24) & (solidity <= 0.82), "club")
         .when((top < 0.24) & (solidity > 0.82), "spade"),
     )
+
+
+#: From which a page's measure is named as a reason for its score; contrast below it, if there is any.
+FAINT, SPREAD, CONTRAST = 0.30, 6.0, 32.0
+
+
+def page_reason(clamped: Column, faint: Column, spread: Column, contrast: Column) -> Column:
+    """Why a page was worked on, in a sentence for each measure that passes its limit; a default where none does."""
+    said = F.concat_ws(
+        " ",
+        F.when(clamped > 0, F.format_string("White point moved %.1f%% of the pixels.", clamped * 100)), F.when(faint >= FAINT, F.format_string("Faint strokes: %.1f%%.", faint * 100)),
+        F.when(spread >= SPREAD, F.format_string("Uneven light (%.1f).", spread)), F.when((contrast > 0) & (contrast < CONTRAST), F.format_string("Low contrast (%.1f).", contrast)),
+    )
+    return F.when(said == "", "Highest score of its batch.").otherwise(said)

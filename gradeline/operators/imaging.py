@@ -63,19 +63,37 @@ def tables(pages: DataFrame) -> DataFrame:
     return per_page(pages, lambda a: (tuple(t[k] for k in keys) for t in P.tables(a)), "x int, y int, w int, h int, rows int, cols int, confidence double, kind string")
 
 
-def grid_cells(pages: DataFrame) -> DataFrame:
-    """Ink of each box of a page's largest table, ready for ``votes.resolved_rows``."""
+def grid_cells(pages: DataFrame, rows: int | None = None, cols: int | None = None) -> DataFrame:
+    """Ink of each box of a page's answer grid, ready for ``votes.resolved_rows``. With ``rows`` and ``cols`` the grid of that many boxes is found,
+    made upright and read on its lattice; a page without one gives no row and is left to ``without_grid``. Else the boxes between the lines of the largest table are read."""
 
     def one(a):
-        found = max(P.tables(a), key=lambda t: t["w"] * t["h"], default=None)
-        if found:
-            x, y, w, h = (found[k] for k in ("x", "y", "w", "h"))
-            ys, xs = np.linspace(y, y + h, found["rows"]).astype(int), np.linspace(x, x + w, found["cols"]).astype(int)
-            yield from ((r, str(c), ink, core) for r, c, ink, core in P.cells(a, list(xs), list(ys)))
+        if rows and cols:
+            got = P.rectified_grid(a, rows, cols)
+            a, ys, xs = got if got else (a, [], [])
+        else:
+            found = max(P.tables(a), key=lambda t: t["w"] * t["h"], default={"ys": [], "xs": []})
+            ys, xs = found["ys"], found["xs"]
+        yield from ((r, str(c), ink, core) for r, c, ink, core in P.cells(a, xs, ys))
 
     return per_page(pages, one, "row int, letter string, ink double, core_fill double")
 
 
+def without_grid(pages: DataFrame, cells: DataFrame) -> DataFrame:
+    """(path, error) of the pages on which no grid was found."""
+    return pages.select("path").join(cells.select("path").distinct(), "path", "left_anti").withColumn("error", F.lit("answer grid not found"))
+
+
+def upright(pages: DataFrame) -> DataFrame:
+    """Pages with their sheet cut out of a dark ground and made rectangular; ``changed`` tells which."""
+
+    def one(a):
+        b, changed = P.upright_page(a)
+        yield b.shape[0], b.shape[1], 1 if b.ndim == 2 else b.shape[2], np.ascontiguousarray(b).tobytes(), changed
+
+    return per_page(pages, one, "height int, width int, channels int, data binary, changed boolean")
+
+
 def masked(pages: DataFrame, share: float = 0.15) -> DataFrame:
     """Pages with their top made black, natively on the bytes."""
     top = (F.round(F.col("height") * share) * F.col("width") * F.col("channels")).cast("int")

@@ -227,6 +227,97 @@ def option_matches(s, d):
     return pairs.mapInArrow(run, "rubric_id string, question_id string, m_a string, m_b string, equal boolean, how string")
 
 
+def formulas(s, d, shape: str):
+    """Different formulas of a shape."""
+    return table(s, d, "transcriber").select(F.explode("math_latex").alias("formula")).where(F.col("formula").rlike(shape)).distinct()
+
+
+def per_formula(rows, fn, schema: str):
+    """``fn`` of each formula, beside it, in an Arrow pass."""
+    import pyarrow as pa
+
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            cols = list(zip(*map(fn, b.column(0).to_pylist()))) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c)) for c in cols)], names=["formula", *names]) if b.num_rows else pa.RecordBatch.from_pydict({n: [] for n in ["formula", *names]})
+
+    return rows.mapInArrow(run, "formula string, " + schema)
+
+
+#: Shapes of formulas that SQL can work out as well: products, quotients, roots, sums of powers' bounds, binomials.
+NUM = r"([0-9]+(?:\.[0-9]+)?)"
+PRODUCT = rf"^{NUM}\\cdot{NUM}={NUM}$"
+FRACTION = rf"^\\(?:theta|mu|lambda|alpha|beta|rho|sigma|varphi)=\\frac\{{{NUM}\}}\{{{NUM}\}}$"
+ROOT = rf"^\\(?:theta|mu|lambda|alpha|beta|rho|sigma|varphi)=\\sqrt\{{{NUM}\}}$"
+POWER = rf"^\\binom\{{([0-9]+)\}}\{{([0-9]+)\}}{NUM}\^\{{([0-9]+)\}}$"
+
+
+def formula_values(s, d):
+    """Values of formulas by the expression engine: an equation is the difference of its sides, a name counts 0."""
+    from ..functions import expr
+
+    def value(f):
+        tree = expr.parse(f)
+        v = None if tree is None else expr.number(tree, {n: 0.0 for n in expr.names(tree)})
+        return (None if v is None else v.real, ",".join(sorted(expr.names(tree))) if tree else None)
+
+    got = per_formula(formulas(s, d, "|".join((PRODUCT, FRACTION, ROOT, POWER))), value, "value double, names string")
+    # twelve significant digits, as a power may be of any size
+    return got.select("formula", F.format_string("%.11e", F.col("value") + F.lit(0.0)).alias("value"), "names")
+
+
+def product_checks(s, d):
+    """Products as respondents write them: the number written behind the sign, its decimals, and whether it is the product by the rule of scoring."""
+    from ..functions import expr
+    from ..operators import scoring
+
+    def check(f):
+        said = scoring.written(f)
+        target = expr.evaluate(f.rsplit("=", 1)[0], {})
+        return said.value, said.decimals, said.is_about(target)
+
+    return per_formula(formulas(s, d, PRODUCT), check, "value double, decimals long, right boolean")
+
+
+def content_hashes(s, d):
+    """Hash of a question's canonical JSON: keys in order, as the proposals of a rubric are told apart."""
+    import pyarrow as pa
+
+    from ..functions import repair
+
+    def run(batches):
+        import hashlib
+
+        for b in batches:
+            out = [hashlib.sha256(repair.canonical({"rubric_id": r, "question_id": q, "max_points": m, "kind": k}).encode()).hexdigest()[:16] for r, q, m, k in zip(*(c.to_pylist() for c in b.columns))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["rubric_id", "question_id", "content_hash"])
+
+    return table(s, d, "curated_rubric").select("rubric_id", "question_id", "max_points", "kind").distinct().mapInArrow(run, "rubric_id string, question_id string, content_hash string")
+
+
+_F_SQL = "f AS (SELECT DISTINCT formula FROM (SELECT unnest(math_latex) AS formula FROM transcriber) WHERE {where})"
+_PART = lambda p, k: f"CAST(regexp_extract(formula, '{p}', {k}) AS DOUBLE)"
+QUERIES |= {
+    "formula_values": Query(
+        formula_values,
+        "WITH " + _F_SQL.format(where=" OR ".join(f"regexp_matches(formula, '{p}')" for p in (PRODUCT, FRACTION, ROOT, POWER))) + rf"""
+        , v AS (SELECT formula, CASE WHEN regexp_matches(formula, '{PRODUCT}') THEN {_PART(PRODUCT, 1)} * {_PART(PRODUCT, 2)} - {_PART(PRODUCT, 3)} WHEN regexp_matches(formula, '{FRACTION}') THEN -{_PART(FRACTION, 1)} / {_PART(FRACTION, 2)}
+          WHEN regexp_matches(formula, '{ROOT}') THEN -sqrt({_PART(ROOT, 1)}) ELSE round(gamma({_PART(POWER, 1)} + 1) / gamma({_PART(POWER, 2)} + 1) / gamma({_PART(POWER, 1)} - {_PART(POWER, 2)} + 1)) * pow({_PART(POWER, 3)}, {_PART(POWER, 4)}) END AS v FROM f)
+        SELECT formula, printf('%.11e', v + 0.0) AS value, coalesce(regexp_extract(formula, '^\\(theta|mu|lambda|alpha|beta|rho|sigma|varphi)=', 1), '') AS names FROM v""",
+    ),
+    "product_checks": Query(
+        product_checks,
+        "WITH " + _F_SQL.format(where=f"regexp_matches(formula, '{PRODUCT}')") + rf""", v AS (SELECT formula, {_PART(PRODUCT, 3)} AS value, {_PART(PRODUCT, 1)} * {_PART(PRODUCT, 2)} AS target, nullif(length(regexp_extract(regexp_extract(formula, '{PRODUCT}', 3), '\.([0-9]+)', 1)), 0) AS decimals FROM f),
+        g AS (SELECT *, greatest(abs(value), abs(target), 1e-12) AS scale, abs(value - target) AS gap FROM v)
+        SELECT formula, value, decimals, gap <= 1e-6 * scale OR (decimals IS NOT NULL AND gap <= 0.5 * pow(10.0::DOUBLE, -decimals) + 1e-12 AND gap <= 0.01 * scale) AS "right" FROM g""",
+    ),
+    "content_hashes": Query(
+        content_hashes,
+        """SELECT DISTINCT rubric_id, question_id, substr(sha256('{"kind": ' || to_json(kind) || ', "max_points": ' || max_points || ', "question_id": ' || to_json(question_id) || ', "rubric_id": ' || to_json(rubric_id) || '}'), 1, 16) AS content_hash FROM curated_rubric""",
+    ),
+}
 QUERIES |= {
     "page_measures": Query(_imaging("measured")),
     "page_regions": Query(_imaging("regions")),

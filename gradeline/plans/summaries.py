@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..functions import scores as S, text as X
 from ..operators import answers, intake, keys, measures, store
 from .general import PARTS_SQL, page_parts
 from .tables import Query, table
 from .transcripts import GATE_COLUMNS, rows, truth
 
 
-def reason():
-    """Why a page scored low, in words, by the measures that pass their limits; a default where none does."""
-    parts = ((F.col("faint") >= 90, "faint ink"), (F.col("lighting") >= 80, "uneven light"), (F.col("contrast") < 32, "low contrast"), (F.col("deskew") >= 100, "strong skew"))
-    said = F.concat_ws("; ", *(F.when(c, t) for c, t in parts))
-    return F.when(said == "", "no single cause").otherwise(said)
+def reasons(s, d):
+    p = page_parts(s, d).select("p_partkey", F.when(F.col("crop") >= 60, F.col("crop") / 1000).otherwise(0.0).alias("clamped"), (F.col("faint") / 200).alias("faint"), (F.col("lighting") / 10).alias("spread"), F.col("contrast"))
+    return p.select("p_partkey", S.page_reason(*map(F.col, ("clamped", "faint", "spread", "contrast"))).alias("reason"))
 
 
 def readings(s, d):
@@ -62,9 +60,10 @@ QUERIES: dict[str, Query] = {
         FROM (SELECT DISTINCT transcript_id, booklet_id, page_name, state, prompt_tokens, cache_hit FROM transcriber)""",
     ),
     "page_reasons": Query(
-        lambda s, d: page_parts(s, d).select("p_partkey", reason().alias("reason")),
-        f"""WITH {PARTS_SQL}, r AS (SELECT p_partkey, concat_ws('; ', CASE WHEN faint >= 90 THEN 'faint ink' END, CASE WHEN lighting >= 80 THEN 'uneven light' END, CASE WHEN contrast < 32 THEN 'low contrast' END, CASE WHEN deskew >= 100 THEN 'strong skew' END) AS t FROM parts)
-        SELECT p_partkey, CASE WHEN t = '' THEN 'no single cause' ELSE t END AS reason FROM r""",
+        reasons,
+        f"""WITH {PARTS_SQL}, r AS (SELECT p_partkey, concat_ws(' ', CASE WHEN crop >= 60 THEN printf('White point moved %.1f%% of the pixels.', crop / 1000 * 100) END, CASE WHEN faint / 200 >= 0.3 THEN printf('Faint strokes: %.1f%%.', faint / 200 * 100) END,
+          CASE WHEN lighting / 10 >= 6 THEN printf('Uneven light (%.1f).', lighting / 10) END, CASE WHEN contrast > 0 AND contrast < 32 THEN printf('Low contrast (%.1f).', contrast) END) AS t FROM parts)
+        SELECT p_partkey, CASE WHEN t = '' THEN 'Highest score of its batch.' ELSE t END AS reason FROM r""",
     ),
     "page_owners": Query(
         lambda s, d: intake.pages(table(s, d, "booklets")).join(rows(s, d, "booklet_id").select("booklet_id", X.pseudonym("booklet_id").alias("owner")), "booklet_id", "left").select("booklet_id", "page_name", F.coalesce("owner", F.lit("N/A")).alias("owner")),

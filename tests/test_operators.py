@@ -161,6 +161,53 @@ def test_deskew_and_columns():
     assert P.glyph(ring)["holes"] == 1.0 and P.glyph(255 - ring[12:28, 12:28] * 0)["ink_ratio"] >= 0
 
 
+def grid_page(rows, cols, marked):
+    """A page with a ruled grid; ``marked`` boxes are filled."""
+    a = np.full((600, 500), 255, np.uint8)
+    ys, xs = np.linspace(150, 450, rows + 1).astype(int), np.linspace(100, 400, cols + 1).astype(int)
+    for y in ys:
+        a[y : y + 2, 100:402] = 0
+    for x in xs:
+        a[150:452, x : x + 2] = 0
+    for r, c in marked:
+        cy, cx = (ys[r] + ys[r + 1]) // 2, (xs[c] + xs[c + 1]) // 2
+        a[cy - 10 : cy + 10, cx - 10 : cx + 10] = 20
+    return a
+
+
+@pytest.mark.parametrize("tilt", [0.0, 2.0, -3.0])
+def test_grid_is_made_upright(tilt):
+    marked = [(0, 1), (2, 3), (5, 0)]
+    a = P.rotate(grid_page(6, 4, marked), tilt)
+    table, ys, xs = P.rectified_grid(a, 6, 4)
+    assert len(ys) == 7 and len(xs) == 5 and max(np.diff(ys)) - min(np.diff(ys)) <= 6
+    inked = {(r, c) for r, c, ink, _ in P.cells(table, xs, ys) if ink > 0.2}
+    assert inked == set(marked)
+    assert P.rectified_grid(a, 9, 4) is None and P.rectified_grid(np.full((50, 50), 255, np.uint8), 2, 2) is None
+
+
+def test_lattice():
+    assert P.lattice([0, 10, 13, 20, 31, 40, 77], 5) == [0, 10, 20, 31, 40] and P.lattice([0, 10], 3) is None and P.lattice([0, 3, 20], 3) is None
+
+
+def test_sheet_on_a_dark_ground():
+    sheet = np.full((400, 300), 250, np.uint8)
+    sheet[100:120, 50:250] = 30
+    ground = np.full((500, 420), 40, np.uint8)
+    ground[40:440, 60:360] = sheet
+    b, changed = P.upright_page(ground)
+    assert changed and b.shape == (400, 300) and (b[105, 100:200] < 50).all()
+    # a sheet that leans: its corners become those of the page
+    lean = P.warp(ground, np.array([(-30, 0), (419, 10), (419, 499), (0, 499)]), 420, 500)
+    lean[lean == 255] = 40
+    b, changed = P.upright_page(lean)
+    assert changed and (P.grey(b)[3:-3, 3:-3] > 200).mean() > 0.9
+    assert P.upright_page(sheet)[1] is False and P.upright_page(np.zeros((9, 9), np.uint8))[1] is False
+    m = np.zeros((5, 9), bool)
+    m[1:4, 1:3] = m[0, 5:8] = m[2, 6] = True
+    assert P.largest(m).sum() == 6 and not P.largest(m)[0].any()
+
+
 def test_pages(spark):
     drawn = imaging.drawn(spark.range(4)).cache()
     assert imaging.measured(drawn).count() == 4
@@ -168,6 +215,11 @@ def test_pages(spark):
     assert n["2"] == 2 and n["1"] == 1
     rows = votes.resolved_rows(imaging.grid_cells(drawn), "path", "row").collect()
     assert len(rows) == 10 and all(r.status == "answered" for r in rows)
+    made = grid_page(5, 4, [(1, 2)])
+    one = spark.createDataFrame([("g", *made.shape, 1, made.tobytes()), ("n", 10, 10, 1, bytes([255]) * 100)], "path string, height int, width int, channels int, data binary")
+    cells = imaging.grid_cells(one, 5, 4)
+    assert {(r.path, r.row, r.letter) for r in cells.where("ink > 0.2").collect()} == {("g", 1, "2")} and [tuple(r) for r in imaging.without_grid(one, cells).collect()] == [("n", "answer grid not found")]
+    assert {(r.path, r.changed) for r in imaging.upright(one).collect()} == {("g", False), ("n", False)}
     assert imaging.masked(drawn).select(F.length("data").alias("n")).first().n == 120000
     c = imaging.crops(drawn, spark.createDataFrame([("1", 290, 395, 50, 50)], "path string, x int, y int, w int, h int")).first()
     assert (c.w, c.h, len(c.data)) == (10, 5, 50)
