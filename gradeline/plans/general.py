@@ -264,8 +264,8 @@ def formula_values(s, d):
         return (None if v is None else v.real, ",".join(sorted(expr.names(tree))) if tree else None)
 
     got = per_formula(formulas(s, d, "|".join((PRODUCT, FRACTION, ROOT, POWER))), value, "value double, names string")
-    # twelve significant digits, as a power may be of any size
-    return got.select("formula", F.format_string("%.11e", F.col("value") + F.lit(0.0)).alias("value"), "names")
+    # as sign and magnitude, since a power may be of any size and a logarithm is never half way between two roundings
+    return got.select("formula", F.signum("value").cast("int").alias("sign"), F.when(F.col("value") != 0, F.round(F.log10(F.abs("value")), 6) + F.lit(0.0)).alias("magnitude"), "names")
 
 
 def product_checks(s, d):
@@ -304,8 +304,8 @@ QUERIES |= {
         formula_values,
         "WITH " + _F_SQL.format(where=" OR ".join(f"regexp_matches(formula, '{p}')" for p in (PRODUCT, FRACTION, ROOT, POWER))) + rf"""
         , v AS (SELECT formula, CASE WHEN regexp_matches(formula, '{PRODUCT}') THEN {_PART(PRODUCT, 1)} * {_PART(PRODUCT, 2)} - {_PART(PRODUCT, 3)} WHEN regexp_matches(formula, '{FRACTION}') THEN -{_PART(FRACTION, 1)} / {_PART(FRACTION, 2)}
-          WHEN regexp_matches(formula, '{ROOT}') THEN -sqrt({_PART(ROOT, 1)}) ELSE round(gamma({_PART(POWER, 1)} + 1) / gamma({_PART(POWER, 2)} + 1) / gamma({_PART(POWER, 1)} - {_PART(POWER, 2)} + 1)) * pow({_PART(POWER, 3)}, {_PART(POWER, 4)}) END AS v FROM f)
-        SELECT formula, printf('%.11e', v + 0.0) AS value, coalesce(regexp_extract(formula, '^\\(theta|mu|lambda|alpha|beta|rho|sigma|varphi)=', 1), '') AS names FROM v""",
+          WHEN regexp_matches(formula, '{ROOT}') THEN -sqrt({_PART(ROOT, 1)}) WHEN {_PART(POWER, 1)} < {_PART(POWER, 2)} THEN 0.0::DOUBLE ELSE round(gamma({_PART(POWER, 1)} + 1) / gamma({_PART(POWER, 2)} + 1) / gamma({_PART(POWER, 1)} - {_PART(POWER, 2)} + 1)) * pow({_PART(POWER, 3)}, {_PART(POWER, 4)}) END AS v FROM f)
+        SELECT formula, CAST(sign(v) AS INTEGER) AS sign, CASE WHEN v <> 0 THEN round(log10(abs(v)), 6) + 0.0 END AS magnitude, coalesce(regexp_extract(formula, '^\\(theta|mu|lambda|alpha|beta|rho|sigma|varphi)=', 1), '') AS names FROM v""",
     ),
     "product_checks": Query(
         product_checks,
