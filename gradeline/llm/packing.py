@@ -5,8 +5,8 @@ Four passes, each linear in the corpus.
 1. Every text becomes its tokens and its terms (hash, times).
 2. Document frequencies over all documents, in ``2**DF_BITS`` buckets of the term's hash, so that what the driver and
    the executors hold is bounded; terms that share a bucket share their frequency, which can only be too high.
-3. The inverted index is sharded by content: a tree of principal directions, fitted on the ``SAMPLE`` documents of the least
-   hashes (nodes of ``LEAST_NODE`` and more, ``DEPTH`` levels at most), routes a projection of each document's weighted terms to a leaf. A leaf
+3. The inverted index is sharded by content: a tree of principal directions, fitted on about ``SAMPLE`` documents drawn
+   by a hash (nodes of ``LEAST_NODE`` and more, ``DEPTH`` levels at most), routes a projection of each document's weighted terms to a leaf. A leaf
    of more than ``SHARD`` documents is cut along further bits of the projection, and where those are equal by a hash of the id, so no
    shard grows with the corpus, whatever the texts are.
 4. Each shard is an index with the corpus's frequencies and mean length. The longest unused document seeds a window, the index returns the
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import cut
 from .tokens import VOCABULARY, counter
@@ -161,6 +161,11 @@ class Router:
         return leaf, code
 
 
+def _uniform(h) -> Column:
+    """A hash as a number from 0 up to 1."""
+    return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
+
+
 def dealt(rows: DataFrame, df: np.ndarray, n_docs: int, shard: int) -> DataFrame:
     """``rows`` with the shard (leaf, part) of each document; a shard has about ``shard`` documents at most."""
     sc = rows.sparkSession.sparkContext
@@ -173,8 +178,10 @@ def dealt(rows: DataFrame, df: np.ndarray, n_docs: int, shard: int) -> DataFrame
 
     x = np.zeros((0, DIMS), np.float32)
     if n_docs > shard:
-        least = rows.select(F.xxhash64("doc_id").alias("h"), "data", "n_terms").orderBy("h").limit(SAMPLE)
-        x = np.array(least.mapInArrow(sampled, "h long, v array<float>").toArrow().column("v").to_pylist(), np.float32).reshape(-1, DIMS)
+        # about SAMPLE documents, by a hash of the id; in order of it, so that the tree does not depend on the partitions
+        some = rows.select(F.xxhash64("doc_id").alias("h"), "data", "n_terms").where(_uniform(F.xxhash64(F.lit(5), "doc_id")) < SAMPLE / n_docs)
+        got = some.mapInArrow(sampled, "h long, v array<float>").toArrow().sort_by("h")
+        x = np.array(got.column("v").to_pylist(), np.float32).reshape(-1, DIMS)
     router = Router(x, shard * len(x) / max(n_docs, 1))
 
     def run(batches):
@@ -188,8 +195,7 @@ def dealt(rows: DataFrame, df: np.ndarray, n_docs: int, shard: int) -> DataFrame
     every, upto = W.partitionBy("leaf"), W.partitionBy("leaf").orderBy("code")
     size = F.sum("n").over(every)
     n = n.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("room", size / F.ceil(size / shard))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(6), "doc_id"), 11) / F.lit(float(1 << 53))
-    part = F.floor((F.col("before") + F.floor(u * F.col("n"))) / F.col("room")).cast("int")
+    part = F.floor((F.col("before") + F.floor(_uniform(F.xxhash64(F.lit(6), "doc_id")) * F.col("n"))) / F.col("room")).cast("int")
     return placed.join(F.broadcast(n), ["leaf", "code"]).select("doc_id", "n_tokens", "n_terms", "data", "leaf", part.alias("part"))
 
 
