@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 #: Rows of a block; a task multiplies one block of queries with one of rows.
 BLOCK = 1024
@@ -56,3 +56,65 @@ def cosine_neighbours(vectors: DataFrame, key: str, vector: str, least: float, e
 
     m = each.join(asked, "block").select("ids", "unit", "q_ids", "q_unit").mapInArrow(run, f"query_id long, {key} long, cosine double")
     return m.withColumn("cosine", F.round("cosine", 4)).where((F.col("cosine") >= least) & (F.col("query_id") != F.col(key)))
+
+
+def derivations(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """Adds to pairs of texts, such as the near copies of a search, ``edits`` and ``common``: the edit distance and the longest common subsequence of their words, and ``kept``,
+    the share of the longer text that the common part makes up. Null texts have no words. Pairs come from elsewhere; none are made here."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = [compared((x or "").split(), (y or "").split()) for x, y in zip(b.column(b.schema.get_field_index(left)).to_pylist(), b.column(b.schema.get_field_index(right)).to_pylist())]
+            more = [pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "edits", "common", "kept"])
+
+    return pairs.mapInArrow(run, f"{fields}, edits int, common int, kept double")
+
+
+def compared(a: list[str], b: list[str]) -> tuple[int, int, float]:
+    """(edit distance, length of the longest common subsequence, its share of the longer one) of two word lists."""
+    import numpy as np
+
+    ids: dict[str, int] = {}
+    x, y = (np.array([ids.setdefault(w, len(ids)) for w in t], np.int64) for t in (a, b))
+    if not len(x) or not len(y):
+        return max(len(x), len(y)), 0, 1.0 if not len(x) and not len(y) else 0.0
+    edits, common, at = np.arange(len(y) + 1), np.zeros(len(y) + 1, np.int64), np.arange(len(y) + 1)
+    for i, w in enumerate(x, 1):
+        same = y == w
+        down = np.concatenate(([i], np.minimum(edits[1:] + 1, edits[:-1] + ~same)))
+        edits = np.minimum.accumulate(down - at) + at  # insertions run along the row
+        common = np.maximum.accumulate(np.maximum(common, np.concatenate(([0], common[:-1] + same))))
+    return int(edits[-1]), int(common[-1]), float(common[-1] / max(len(x), len(y)))
+
+
+def shared_anomalies(pairs: DataFrame, answers: DataFrame, person: str, question: str, answer: str, key: DataFrame) -> DataFrame:
+    """(a, b, n_shared, score) of given pairs of persons: their equal wrong answers, each weighted by how few give it (log of persons over those who do), so that a
+    common mistake says little. ``key`` has question and the right answer; blank answers are not shared."""
+    k = key.select(question, F.col(answer).alias("_right"))
+    wrong = answers.select(person, question, answer).distinct().join(k, question).where(F.col(answer).isNotNull() & (F.col(answer) != F.col("_right"))).drop("_right")
+    n = answers.where(F.col(answer).isNotNull()).groupBy(question).agg(F.count_distinct(person).alias("_n"))
+    weight = wrong.groupBy(question, answer).agg(F.count_distinct(person).alias("_k")).join(n, question).select(question, answer, F.log(F.col("_n") / F.col("_k")).alias("_w"))
+    side = lambda c: wrong.select(F.col(person).alias(c), question, answer)
+    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), ["b", question, answer]).join(weight, [question, answer])
+    return both.groupBy("a", "b").agg(F.count("*").alias("n_shared"), F.sum("_w").alias("score"))
+
+
+def clustered(vectors: DataFrame, key: str, vector: str, k: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(key, cluster) of every vector by k-means over all of them, and (cluster, n, share). Null vectors are in no cluster."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    v = vectors.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    c = KMeans(k=k, seed=seed).fit(v).transform(v).select(key, F.col("prediction").alias("cluster"))
+    n = c.groupBy("cluster").agg(F.count("*").alias("n"))
+    every = W.partitionBy(F.lit(1))  # a row per cluster
+    return c, n.withColumn("share", F.col("n") / F.sum("n").over(every))
+
+
+def enough_for_item_response(answers: DataFrame, exam: str, person: str, least: int = 100) -> DataFrame:
+    """(exam, n_persons, enough): whether an exam has the examinees that an item-response model asks for."""
+    return answers.groupBy(exam).agg(F.count_distinct(person).alias("n_persons")).withColumn("enough", F.col("n_persons") >= least)

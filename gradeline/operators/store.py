@@ -94,3 +94,8 @@ def pseudonyms(people: DataFrame, existing: DataFrame, key: str, secret: str = "
     longer = F.concat("_name", F.lit("_"), F.upper(F.substring(F.sha2(F.concat(F.lit(secret), F.lit("/"), F.col(key)), 256), 1, 12)))
     made = new.join(taken, "_name").select(key, F.when(F.col("_n") > 1, longer).otherwise(F.col("_name")).alias("pseudonym"))
     return people.where(F.col(key).isNotNull()).select(key).distinct().join(kept.unionByName(made), key)
+
+
+def pending(jobs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Jobs that are not done yet, each once; a run that was broken off goes on with them."""
+    return jobs.dropDuplicates(keys).join(done.select(*keys), keys, "left_anti")

@@ -54,16 +54,20 @@ def manifests(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "manifest.json").json(folder)
 
 
-def crops(spark: SparkSession, folder: str, booklets: list[str] | None = None, states: tuple[str, ...] = ("answered",)) -> DataFrame:
-    """Regions of the manifests in a folder whose crop file is there, filtered by booklet before they are exploded."""
+def crops(spark: SparkSession, folder: str, booklets: list[str] | None = None, states: tuple[str, ...] = ("answered",), cover: str | None = None, limit: int | None = None) -> DataFrame:
+    """Regions of the manifests in a folder whose crop file is there, filtered by booklet before they are exploded; without the page named ``cover``,
+    and with ``limit`` only the first so many by crop_id."""
     m = manifests(spark, folder)
+    if cover:
+        m = m.where(F.col("page_name") != cover)
     if booklets:
         m = m.where(F.col("booklet_id").isin(booklets))
     q = m.select("booklet_id", "page_name", F.explode("questions").alias("q")).select("booklet_id", "page_name", "q.*").where(F.col("state").isin(*states))
     there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(folder)
     there = there.select(F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1).alias("tail"))
     tail = F.concat_ws("/", "booklet_id", X.stem("page_name"), "crop")
-    return q.withColumn("tail", tail).join(there, "tail", "left_semi").withColumn("crop_id", F.concat_ws("/", "booklet_id", X.stem("page_name"), F.concat(F.lit("q"), "question_id"))).drop("tail")
+    found = q.withColumn("tail", tail).join(there, "tail", "left_semi").withColumn("crop_id", F.concat_ws("/", "booklet_id", X.stem("page_name"), F.concat(F.lit("q"), "question_id"))).drop("tail")
+    return found.orderBy("crop_id").limit(limit) if limit is not None else found
 
 
 def transcripts(spark: SparkSession, folder: str) -> DataFrame:

@@ -230,3 +230,41 @@ def test_pages(spark):
 def test_cosine(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0])], "id long, v array<float>")
     assert [tuple(r) for r in cohort.cosine_neighbours(v, "id", "v", 0.5).collect()] == [(0, 1, 1.0)]
+
+
+def slow(a, b):
+    """Edit distance and longest common subsequence by their definitions."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1)}
+    c = dict.fromkeys(d, 0)
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            same = a[i - 1] == b[j - 1]
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (not same))
+            c[i, j] = c[i - 1, j - 1] + 1 if same else max(c[i - 1, j], c[i, j - 1])
+    return d[len(a), len(b)], c[len(a), len(b)]
+
+
+def test_derivations(spark):
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        a, b = ([f"w{k}" for k in r.integers(0, 5, int(r.integers(0, 14)))] for _ in range(2))
+        assert cohort.compared(a, b)[:2] == slow(a, b)
+    df = spark.createDataFrame([("p", "a b c d", "a x c d", 1), ("q", None, "a", 2), ("r", "", None, 3)], "k string, x string, y string, edits_ int")
+    got = {x.k: (x.edits, x.common, x.kept) for x in cohort.derivations(df, "x", "y").collect()}
+    assert got == {"p": (1, 3, 0.75), "q": (1, 0, 0.0), "r": (0, 0, 1.0)}
+
+
+def test_shared_anomalies(spark):
+    rows = [(p, q, x) for p, xs in {"u": "abz", "v": "abz", "w": "aac", "t": "aa "}.items() for q, x in zip("123", xs) if x != " "]
+    key = spark.createDataFrame([("1", "a"), ("2", "a"), ("3", "c")], "q string, x string")
+    got = cohort.shared_anomalies(spark.createDataFrame([("u", "v"), ("u", "w")], "a string, b string"), spark.createDataFrame(rows, "p string, q string, x string"), "p", "q", "x", key).collect()
+    assert [(r.a, r.b, r.n_shared) for r in got] == [("u", "v", 2)] and got[0].score == pytest.approx(np.log(2) + np.log(1.5))
+
+
+def test_planned_ones(spark):
+    v = spark.createDataFrame([(i, [float(i % 2) * 9, 1.0]) for i in range(20)] + [(99, None)], "id long, v array<float>")
+    c, n = cohort.clustered(v, "id", "v", 2)
+    assert len({r.cluster for r in c.where("id % 2 = 0").collect()}) == 1 and sorted((r.n, r.share) for r in n.collect()) == [(10, 0.5), (10, 0.5)] and c.count() == 20
+    assert [(r.n_persons, r.enough) for r in cohort.enough_for_item_response(v.withColumn("e", F.lit("x")), "e", "id", 21).collect()] == [(21, True)]
+    jobs = spark.createDataFrame([(1,), (1,), (2,)], ["j"])
+    assert [r.j for r in store.pending(jobs, jobs.where("j = 2"), ["j"]).collect()] == [1]

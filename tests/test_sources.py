@@ -31,7 +31,8 @@ def test_crops(spark, tmp_path):
     png(d / "question_1.png")
     (d / "manifest.json").write_text(json.dumps({"booklet_id": "b1", "page_name": "page_002.png", "questions": [q("1", "answered", "question_1.png"), q("2", "answered", "gone.png"), q("3", "blank", "question_1.png")]}))
     assert [r.crop_id for r in files.crops(spark, str(tmp_path), ["b1"]).collect()] == ["b1/page_002/q1"]
-    assert files.crops(spark, str(tmp_path), ["b2"]).count() == 0
+    assert files.crops(spark, str(tmp_path), ["b2"]).count() == 0 and files.crops(spark, str(tmp_path), cover="page_002.png").count() == 0
+    assert [r.crop_id for r in files.crops(spark, str(tmp_path), states=("answered", "blank"), limit=1).collect()] == ["b1/page_002/q1"]
 
 
 def test_lists(spark, tmp_path):
