@@ -208,11 +208,11 @@ def columns_prior(found: Column, width: Column) -> Column:
 # -- transcripts ----------------------------------------------------------------------------------
 
 
-def parse_stats(formulas: list[str]) -> tuple[int, int, float, list[str]]:
-    """(total, parsed, rate, the first five that cannot be read, cut to 120 characters); no formula: rate 1."""
+def parse_stats(formulas: list[str], most: int = 5, digits: int = 4) -> tuple[int, int, float, list[str]]:
+    """(total, parsed, rate, the first ``most`` that cannot be read, cut to 120 characters); no formula: rate 1."""
     bad = [f for f in formulas if not expr.parses(f)]
     n = len(formulas)
-    return n, n - len(bad), round((n - len(bad)) / n, 4) if n else 1.0, [f[:120] for f in bad[:5]]
+    return n, n - len(bad), round((n - len(bad)) / n, digits) if n else 1.0, [f[:120] for f in bad[:most]]
 
 
 def transcript(payload) -> list[tuple]:

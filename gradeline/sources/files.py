@@ -41,6 +41,36 @@ def unreadable(spark: SparkSession, folder: str, glob: str = "*.png") -> DataFra
     return files.withColumn("_p", tail(F.col("path"))).join(good, "_p", "left_anti").select("path", F.lit("not an image").alias("error"))
 
 
+def _pdf(spark: SparkSession, folder: str, what: str, schema: str, names: list[str]) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,PDF}").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+
+    def run(frames):
+        import pandas as pd
+
+        from ..functions import pdf
+
+        read = getattr(pdf, what)
+        for f in frames:
+            rows = []
+            for path, content in f.itertuples(index=False, name=None):
+                for page, found, error in pdf.read(bytes(content), read):
+                    rows += [(path, page, k, None, *([x[n] for n in names] if isinstance(x, dict) else x)) for k, x in enumerate(found)] or [(path, page, None, error, *[None] * len(names))]
+            yield pd.DataFrame(rows, columns=["path", "page_index", "pos", "error", *names])
+
+    return files.mapInPandas(run, "path string, page_index int, pos int, error string, " + schema)
+
+
+def pdf_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, page_index, pos, error, text, x, y, size, color): text spans of digital PDFs, y from the top. A page without text has a row of nulls, one that cannot be
+    read, or a file, has its error."""
+    return _pdf(spark, folder, "page_spans", "text string, x double, y double, size double, color int", ["text", "x", "y", "size", "color"])
+
+
+def pdf_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, page_index, pos, error, width, height, channels, format, data): the images on the pages of scanned PDFs, the largest of a page first. Nothing is rendered."""
+    return _pdf(spark, folder, "page_images", "width int, height int, channels int, format string, data binary", ["width", "height", "channels", "format", "data"])
+
+
 PAGE_METRICS = "path string, paper_white double, clamped double, skew double, std double, faint double, spread double, ink double, fixing_score double, _corrupt_record string"
 
 

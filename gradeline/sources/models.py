@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
 
-RESPONSE = "cache_key string, response string, error string, attempts int"
+RESPONSE = "cache_key string, response string, error string, attempts int, latency_sec double"
 
 
 class Refused(Exception):
@@ -79,7 +79,11 @@ def called(requests: DataFrame, client: Client, parallel: int = 4) -> DataFrame:
         import pandas as pd
 
         for b in batches:
-            yield pd.DataFrame([(k, *with_retries(client, p)) for k, p in zip(b["cache_key"], b["prompt"])], columns=["cache_key", "response", "error", "attempts"])
+            rows = []
+            for k, p in zip(b["cache_key"], b["prompt"]):
+                began = time.monotonic()
+                rows.append((k, *with_retries(client, p), round(time.monotonic() - began, 2)))
+            yield pd.DataFrame(rows, columns=["cache_key", "response", "error", "attempts", "latency_sec"])
 
     return requests.select("cache_key", "prompt").coalesce(parallel).mapInPandas(run, RESPONSE)
 
@@ -99,6 +103,14 @@ class Attempts:
         return said
 
 
+def compared(requests: DataFrame, answers: DataFrame, readable) -> DataFrame:
+    """Per model: requests, those answered, the share that can be read (``readable``, a condition on ``response``), typical latency and attempts of the calls made."""
+    r = keyed(requests).select("cache_key", "model").distinct().join(answers, "cache_key", "left")
+    return r.groupBy("model").agg(
+        F.count("*").alias("n"), F.count("response").alias("n_answered"), F.avg(F.coalesce(readable, F.lit(False)).cast("int")).alias("readable_rate"), F.median("latency_sec").alias("latency_sec"), F.sum("attempts").alias("attempts"),
+    )
+
+
 def enriched(requests: DataFrame, cache: DataFrame, client: Client, parallel: int = 4) -> tuple[DataFrame, DataFrame]:
     """(answers of all requests with cache_hit, new cache rows). Failed calls are answered but not cached."""
     r = keyed(requests)

@@ -71,7 +71,7 @@ def test_transcripts(spark):
     assert got["a"].interleaved_markdown == "א\n\n$x=1$\n$\\frac{1}{$" and got["a"].self_reported_confidence == 0.9
     m = {r.id: r for r in A.measured(A.repaired(df, ["id"]), F.col("is_blank")).collect()}
     assert (m["a"].latex_eval.total, m["a"].latex_eval.parsed, m["a"].latex_eval.parse_rate, m["a"].latex_eval.errors) == (2, 1, 0.5, ["\\frac{1}{"]) and m["e"].objective_confidence == 0.95 and m["b"].objective_confidence == 0.15
-    assert A.parse_stats([]) == (0, 0, 1.0, [])
+    assert A.parse_stats([]) == (0, 0, 1.0, []) and A.parse_stats(["x", "((", "))"], 1, 3) == (3, 1, 0.333, ["(("])
 
 
 def test_proposals(spark):

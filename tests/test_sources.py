@@ -103,6 +103,8 @@ def test_attempts_and_requests(spark, monkeypatch):
     assert models.model_list("MODELS_TO_RUN", ["c"]) == ["a", "b"] and models.model_list("NOT_SET_HERE", ["c"]) == ["c"]
     r = models.requests(spark.createDataFrame([("1",)], "q string"), F.concat(F.lit("read "), "q"), "v1", ["a", "b"])
     assert sorted((x.model, x.prompt, x.prompt_version) for x in r.collect()) == [("a", "read 1", "v1"), ("b", "read 1", "v1")]
+    got = models.called(models.keyed(r.where("model = 'a'")), models.Replay({"read 1": "{}"})).unionByName(models.called(models.keyed(r.where("model = 'b'")), models.Replay({})))
+    assert sorted((x.model, x.n, x.n_answered, x.readable_rate, x.attempts) for x in models.compared(r, got, F.col("response").startswith("{")).collect()) == [("a", 1, 1, 1.0, 1), ("b", 1, 0, 0.0, 1)]
 
 
 def test_streams(spark, tmp_path):
