@@ -17,6 +17,16 @@ def grey(image: np.ndarray) -> np.ndarray:
     return image if image.ndim == 2 else np.round(image[..., :3] @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
 
 
+def lightness(image: np.ndarray) -> np.ndarray:
+    """Perceived lightness from 0 to 255 (the L of Lab) of blue-green-red pages; grey pages are their own."""
+    if image.ndim == 2:
+        return image
+    c = image[..., :3].astype(np.float64) / 255
+    linear = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+    y = linear @ np.array([0.0722, 0.7152, 0.2126])
+    return np.round(np.where(y > 216 / 24389, 116 * np.cbrt(y) - 16, y * 24389 / 27) * 2.55).astype(np.uint8)
+
+
 def runs(mask: np.ndarray) -> np.ndarray:
     """Start and end of each run of true, one row each."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
@@ -30,22 +40,22 @@ def smooth(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def paper_white(image: np.ndarray) -> float:
-    """The paper's grey: a high percentile or the bright peak of the histogram, whichever is brighter."""
-    g = grey(image)
+    """The paper's lightness: a high percentile or the bright peak of the histogram, whichever is brighter."""
+    g = lightness(image)
     high = float(np.percentile(g, 99))
     low = int(max(PAPER_LEAST, min(high - 20, 250)))
     return max(high, float(low + np.argmax(np.bincount(g.ravel(), minlength=256)[low:])))
 
 
-def clamp_white(image: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ghosts near the paper's white become white, what is dark enough for ink stays; the share changed. Dark paper stays as it is."""
-    paper = paper_white(image)
+def clamp_white(image: np.ndarray, on: bool = True) -> tuple[np.ndarray, float]:
+    """Ghosts near the paper's white become white, what is dark enough for ink stays; the share changed. Dark paper stays as it is, as does everything unless ``on``."""
+    paper = paper_white(image) if on else 0.0
     if paper < PAPER_LEAST:
         return image, 0.0
     at = max(paper - 255 * BLEED_BAND, CLAMP_FLOOR, INK_SAFE)
     if at >= paper:
         at = max(INK_SAFE, paper - 8)
-    g = grey(image)
+    g = lightness(image)
     ghost = g >= int(at)
     changed = float(np.mean(ghost & (g < 255)))
     out = image.copy()
@@ -280,6 +290,13 @@ def gutters(image: np.ndarray) -> list[tuple[int, int]]:
     return sorted(sorted(found, key=lambda r: (r[0] - r[1], abs(r[0] + r[1] - w)))[:2])
 
 
+def gutter_confidences(image: np.ndarray) -> list[float]:
+    """How free of ink each gutter is against its columns: 1 for white, 0 for as much as half a column has."""
+    ink = (grey(image) < INK).mean(axis=0)
+    column = float(np.percentile(ink, 90))
+    return [round(float(np.clip(1 - ink[a:b].mean() / max(column / 2, 1e-9), 0, 1)), 3) for a, b in gutters(image)]
+
+
 def columns(image: np.ndarray) -> list[tuple[int, int]]:
     """Columns in reading order from right to left; none narrower than a fifth of the page, else one column."""
     w = image.shape[1]

@@ -41,16 +41,38 @@ def unreadable(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("data").isNull() | (F.length("data") == 0) | (F.length("data") != F.col("height") * F.col("width") * F.col("channels"))).select("path")
 
 
-def measured(pages: DataFrame) -> DataFrame:
-    """Measures of each page after straightening and white-point clamp."""
+def measured(pages: DataFrame, clamp: bool = True) -> DataFrame:
+    """Measures of each page after straightening and, with ``clamp``, the white-point clamp; ``skew_after`` is what the straightened page still leans."""
 
     def one(a):
         straight, angle = P.deskew(a)
-        clean, changed = P.clamp_white(straight)
+        clean, changed = P.clamp_white(straight, clamp)
         s = P.statistics(clean)
-        yield P.paper_white(a), changed, angle, s["std"], s["faint"], s["spread"], s["ink"]
+        yield P.paper_white(a), changed, angle, angle if straight is a else P.skew(straight), s["std"], s["faint"], s["spread"], s["ink"]
 
-    return per_page(pages, one, "paper_white double, clamped double, skew double, std double, faint double, spread double, ink double")
+    return per_page(pages, one, "paper_white double, clamped double, skew double, skew_after double, std double, faint double, spread double, ink double")
+
+
+def columns(pages: DataFrame) -> DataFrame:
+    """Columns of each page in reading order, with the mean confidence of the page's gutters, 1 where it has none."""
+
+    def one(a):
+        sure = P.gutter_confidences(a)
+        yield from ((x0, x1, k, float(np.mean(sure)) if sure else 1.0) for k, (x0, x1) in enumerate(P.columns(a)))
+
+    return per_page(pages, one, "x0 int, x1 int, reading_order int, gutter_confidence double")
+
+
+def grid_crops(pages: DataFrame, rows: int, cols: int) -> DataFrame:
+    """The answer grid of each page, made upright, as bytes, for a second reading; pages without one give no row."""
+
+    def one(a):
+        got = P.rectified_grid(a, rows, cols)
+        if got:
+            t = got[0]
+            yield t.shape[0], t.shape[1], 1 if t.ndim == 2 else t.shape[2], np.ascontiguousarray(t).tobytes()
+
+    return per_page(pages, one, "height int, width int, channels int, data binary")
 
 
 def regions(pages: DataFrame) -> DataFrame:

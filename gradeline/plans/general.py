@@ -344,6 +344,7 @@ QUERIES |= {
     "page_measures": Query(_imaging("measured")),
     "page_regions": Query(_imaging("regions")),
     "page_tables": Query(_imaging("tables")),
+    "page_columns": Query(_imaging("columns")),
     "page_grid_answers": Query(grid_answers),
     "json_repair": Query(repaired),
     "parsed_formulas": Query(parsed_formulas),

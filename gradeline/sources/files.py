@@ -71,7 +71,7 @@ def pdf_images(spark: SparkSession, folder: str) -> DataFrame:
     return _pdf(spark, folder, "page_images", "width int, height int, channels int, format string, data binary", ["width", "height", "channels", "format", "data"])
 
 
-PAGE_METRICS = "path string, paper_white double, clamped double, skew double, std double, faint double, spread double, ink double, fixing_score double, _corrupt_record string"
+PAGE_METRICS = "path string, paper_white double, clamped double, skew double, skew_after double, std double, faint double, spread double, ink double, fixing_score double, _corrupt_record string"
 
 
 def page_metrics(spark: SparkSession, folder: str) -> DataFrame:

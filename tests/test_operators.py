@@ -141,6 +141,9 @@ def test_white_point():
         a[y : y + 60, 40:560] = v
     b, changed = P.clamp_white(a)
     assert [b[y + 5, 100] for y in (80, 200, 320, 440)] == [40, 165, 255, 255] and changed > 0
+    assert P.clamp_white(a, on=False)[0] is a
+    colour = np.stack([a, a, np.minimum(a, 250)], 2)
+    assert P.lightness(np.array([[[255, 255, 255], [0, 0, 0], [128, 128, 128]]], np.uint8)).tolist() == [[255, 0, 137]] and (P.clamp_white(colour)[0][300] == 255).all()
     dark = np.full((50, 50), 200, np.uint8)
     assert (P.clamp_white(dark)[0] == dark).all()
 
@@ -215,10 +218,14 @@ def test_pages(spark):
     assert n["2"] == 2 and n["1"] == 1
     rows = votes.resolved_rows(imaging.grid_cells(drawn), "path", "row").collect()
     assert len(rows) == 10 and all(r.status == "answered" for r in rows)
+    assert {(r.path, r.reading_order) for r in imaging.columns(drawn).collect()} == {("0", 0), ("1", 0), ("2", 0), ("2", 1), ("3", 0)}  # the grid of 0 crosses its gutter
+    assert all(r.gutter_confidence > 0.9 for r in imaging.columns(drawn).collect())
     made = grid_page(5, 4, [(1, 2)])
     one = spark.createDataFrame([("g", *made.shape, 1, made.tobytes()), ("n", 10, 10, 1, bytes([255]) * 100)], "path string, height int, width int, channels int, data binary")
     cells = imaging.grid_cells(one, 5, 4)
     assert {(r.path, r.row, r.letter) for r in cells.where("ink > 0.2").collect()} == {("g", 1, "2")} and [tuple(r) for r in imaging.without_grid(one, cells).collect()] == [("n", "answer grid not found")]
+    t = imaging.grid_crops(one, 5, 4).collect()
+    assert [r.path for r in t] == ["g"] and abs(t[0].width - 302) <= 4 and len(t[0].data) == t[0].width * t[0].height
     assert {(r.path, r.changed) for r in imaging.upright(one).collect()} == {("g", False), ("n", False)}
     assert imaging.masked(drawn).select(F.length("data").alias("n")).first().n == 120000
     c = imaging.crops(drawn, spark.createDataFrame([("1", 290, 395, 50, 50)], "path string, x int, y int, w int, h int")).first()
