@@ -219,7 +219,8 @@ def test_pages(spark):
     rows = votes.resolved_rows(imaging.grid_cells(drawn), "path", "row").collect()
     assert len(rows) == 10 and all(r.status == "answered" for r in rows)
     assert {(r.path, r.reading_order) for r in imaging.columns(drawn).collect()} == {("0", 0), ("1", 0), ("2", 0), ("2", 1), ("3", 0)}  # the grid of 0 crosses its gutter
-    assert all(r.gutter_confidence > 0.9 for r in imaging.columns(drawn).collect())
+    sure = {r.path: r.gutter_confidence for r in imaging.columns(drawn).collect()}
+    assert sure["1"] == sure["3"] == 1.0 and 0.9 < sure["2"] < 1.0 and 0 < sure["0"] < sure["2"]  # lines of the grid run through the gutter of 0
     made = grid_page(5, 4, [(1, 2)])
     one = spark.createDataFrame([("g", *made.shape, 1, made.tobytes()), ("n", 10, 10, 1, bytes([255]) * 100)], "path string, height int, width int, channels int, data binary")
     cells = imaging.grid_cells(one, 5, 4)
