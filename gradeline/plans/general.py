@@ -233,20 +233,10 @@ def changes(s, d):
     return cer_pairs(s, d).select("transcript_id", "before", "text")
 
 
-def sheet_pairs(s, d):
-    """Pairs of booklets next to each other in the scan, and the letters of their answers by the questions of their own keys."""
-    b = table(s, d, "booklets").select(F.col("booklet_id").alias("a")).distinct().withColumn("n", F.regexp_extract("a", r"(\d+)$", 1).try_cast("long"))
-    return b.join(b.select(F.col("a").alias("b"), (F.col("n") - 1).alias("n")), "n").select("a", "b")
-
-
-def letters(s, d):
-    g = table(s, d, "grades").select("id", "booklet_id", F.concat_ws("/", "rubric_id", "question_id").alias("question"), F.get_json_object("evidence", "$.own_key_letter").alias("letter")).where("letter is not null")
-    return store.latest(g, ["booklet_id", "question"], "id").select("booklet_id", "question", "letter")
-
-
-LETTERS_SQL = """g AS (SELECT DISTINCT id, booklet_id, rubric_id || '/' || question_id AS question, CAST(evidence AS JSON)->>'$.own_key_letter' AS letter FROM grades),
-x AS (SELECT booklet_id, question, letter FROM g WHERE letter IS NOT NULL QUALIFY row_number() OVER (PARTITION BY booklet_id, question ORDER BY id DESC) = 1),
-c AS (SELECT question, letter, count(*) AS k FROM x GROUP BY ALL), top AS (SELECT question, max(k) AS k FROM c GROUP BY 1), key AS (SELECT question, min(letter) AS letter FROM c JOIN top USING (question, k) GROUP BY question HAVING count(*) = 1)"""
+def supplier_answers(s, d):
+    """A supplier's first flag on each line number, as a person's answer to a question."""
+    l = table(s, d, "lineitem")
+    return l.groupBy(F.col("l_suppkey").alias("person"), F.col("l_linenumber").alias("question")).agg(F.min(F.struct("l_orderkey", "l_partkey", "l_returnflag"))["l_returnflag"].alias("letter"))
 
 
 def formulas(s, d, shape: str):
@@ -349,11 +339,14 @@ QUERIES |= {
     "json_repair": Query(repaired),
     "parsed_formulas": Query(parsed_formulas),
     "expression_matches": Query(option_matches),
-    "shared_anomalies": Query(  # of neighbours in the scan; the letter that most have stands for the right one
-        lambda s, d: cohort.shared_anomalies(sheet_pairs(s, d), letters(s, d), "booklet_id", "question", "letter", votes.majority(letters(s, d), ["question"], "letter").where("letter is not null")).withColumn("score", F.round("score", 6)),
-        f"""WITH {LETTERS_SQL}, b AS (SELECT DISTINCT booklet_id AS a, TRY_CAST(regexp_extract(booklet_id, '([0-9]+)$', 1) AS BIGINT) AS n FROM booklets), p AS (SELECT b.a, o.a AS b FROM b JOIN b o ON o.n = b.n + 1),
-        w AS (SELECT x.* FROM x JOIN key USING (question) WHERE x.letter <> key.letter), n AS (SELECT question, count(*) AS n FROM x GROUP BY 1), v AS (SELECT question, letter, ln(any_value(n)::DOUBLE / count(*)) AS w FROM w JOIN n USING (question) GROUP BY ALL)
-        SELECT p.a, p.b, count(*) AS n_shared, round(sum(v.w), 6) AS score FROM p JOIN w y ON y.booklet_id = p.a JOIN w z ON z.booklet_id = p.b AND z.question = y.question AND z.letter = y.letter JOIN v ON v.question = y.question AND v.letter = y.letter GROUP BY ALL""",
+    "shared_anomalies": Query(  # suppliers next to each other; N is the right answer
+        lambda s, d: cohort.shared_anomalies(
+            supplier_answers(s, d).select(F.col("person").alias("a"), (F.col("person") + 1).alias("b")).distinct(), supplier_answers(s, d), "person", "question", "letter",
+            supplier_answers(s, d).select("question", F.lit("N").alias("letter")).distinct(),
+        ).withColumn("score", F.round("score", 6)),
+        """WITH x AS (SELECT l_suppkey AS person, l_linenumber AS question, min((l_orderkey, l_partkey, l_returnflag)) AS m FROM lineitem GROUP BY ALL), y AS (SELECT person, question, m[3] AS letter FROM x),
+        n AS (SELECT question, count(*) AS n FROM y GROUP BY 1), w AS (SELECT * FROM y WHERE letter <> 'N'), v AS (SELECT question, letter, ln(any_value(n)::DOUBLE / count(*)) AS w FROM w JOIN n USING (question) GROUP BY ALL)
+        SELECT p.person AS a, q.person AS b, count(*) AS n_shared, round(sum(v.w), 6) AS score FROM w p JOIN w q ON q.person = p.person + 1 AND q.question = p.question AND q.letter = p.letter JOIN v ON v.question = p.question AND v.letter = p.letter GROUP BY ALL""",
     ),
     "pending_jobs": Query(  # transcriptions still to do: crops of each model without a reading free of errors
         lambda s, d: store.pending(table(s, d, "transcriber").select("crop_id", "model"), table(s, d, "transcriber").where(F.size("errors") == 0).select("crop_id", "model"), ["crop_id", "model"]),
