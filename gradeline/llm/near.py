@@ -11,12 +11,13 @@ the words themselves, so no false pair comes out.
 A single global tree cannot give the result: texts here share many frequent words, the OR of a few
 thousand bitmaps is all ones, and the traversal becomes a comparison of all pairs. Hence the routing.
 
-A group of over ``HOT`` classes is not held in one task: its members are split into blocks by id and every
-pair of blocks is a task of its own. Texts that are empty, null or without a word are in no group.
+A group of over ``HOT`` classes is not held in one task: its members are split by size, in bins as wide as the sizes of a pair can differ, and
+within a bin into blocks by hash; every pair of blocks of one bin or of two next to each other is a task of its own. Texts that are empty, null or without a word are in no group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -235,11 +236,23 @@ def candidates(cl: DataFrame, least: float = T.THRESHOLD, hot: int = HOT) -> Dat
     if got.where("hot").isEmpty():
         return pairs
     found = rows.join(got.where("hot").select(F.col("a").alias("key")), "key", "left_semi")
-    keys = found.groupBy("key").count().select("key", F.ceil(F.col("count") / hot).cast("int").alias("blocks"))
-    split = found.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    more = split.select("key", "i", "j", "own", "c", "n", "b0", "b1", "b2", "b3").groupBy("key", "i", "j").applyInPandas(_blocks(least), "a long, b long")
+    # sizes of a pair lie within ``least``, so they fall into one bin of that width or into two next to each other
+    size = F.floor(F.log("n") * (1 - 1e-9) / -math.log(least)).cast("long")
+    found = found.withColumn("bin", size)
+    bins = found.groupBy("key", "bin").agg(F.ceil(F.count("*") / hot).cast("long").alias("blocks"))
+    beside = lambda by, name: bins.select("key", (F.col("bin") + by).alias("bin"), F.col("blocks").alias(name))
+    split = found.join(bins, ["key", "bin"]).join(beside(-1, "above"), ["key", "bin"], "left").join(beside(1, "below"), ["key", "bin"], "left")
+    block = lambda bin_, k: bin_ * (1 << 24) + k
+    k = F.pmod(F.xxhash64("c"), F.col("blocks"))
+    split = split.withColumn("own", block(F.col("bin"), k))
+    each = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), f)).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>"))
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    meet = F.concat(
+        each("blocks", lambda x: pair(F.least(F.col("own"), block(F.col("bin"), x)), F.greatest(F.col("own"), block(F.col("bin"), x)))),
+        each("above", lambda x: pair(F.col("own"), block(F.col("bin") + 1, x))), each("below", lambda x: pair(block(F.col("bin") - 1, x), F.col("own"))),
+    )
+    split = split.withColumn("m", F.explode(meet)).select("key", "m.i", "m.j", "own", "c", "n", "b0", "b1", "b2", "b3")
+    more = split.groupBy("key", "i", "j").applyInPandas(_blocks(least), "a long, b long")
     return pairs.unionByName(more).distinct()
 
 

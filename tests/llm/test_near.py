@@ -40,6 +40,20 @@ def test_hot_group_goes_by_blocks(spark):
     assert near.candidates(cl, hot=25).count() == near.candidates(cl).count() == 120 * 119 // 2
 
 
+def test_hot_group_of_many_sizes(spark):
+    base = "a b c d e f g h i j".split()
+    rows = [(f"{k:04d}", " ".join(base + [f"w{x}" for x in range(k % 40)] + [f"u{k}"])) for k in range(160)]
+    cl = words.classes(words.word_sets(frame(spark, rows))).cache()
+    pairs = lambda hot: {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in links_of(cl, hot)}
+    want = H.near_pairs(rows)
+    assert len(pairs(7)) == len(pairs(8192)) == len(want)
+
+
+def links_of(cl, hot):
+    got = words.similarity(near.candidates(cl, hot=hot), *(cl.select("field", "c", "cls", "toks"),) * 2)
+    return got.where("similarity >= 0.6 - 1e-12 and a <> b").collect()
+
+
 def test_classes_that_share_a_number(spark):
     rows = [(f"{k:03d}", t) for k, t in enumerate(H.texts_like(40, 9))]
     cl = words.classes(words.word_sets(frame(spark, rows))).cache()
