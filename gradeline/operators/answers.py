@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import expr, repair, scores as S, text as X
 
 UNREADABLE = "unreadable response"
+#: Confidence of a region and of a table that names none, and how far corners may reach to be taken as width and height; least extent of a box.
+REGION_SURE, TABLE_SURE, EXTENT_SUM, LEAST_EXTENT = 0.8, 0.7, 1.5, 0.05
 
 
 def number(x, default: float | None = None) -> float | None:
@@ -138,10 +140,10 @@ def box(corners, width: int, height: int) -> tuple[int, int, int, int] | None:
     if len(v) != 4 or None in v:
         return None
     sides = []
-    is_extent = not (v[2] > v[0] and v[3] > v[1]) and max(v[2:]) <= 1 and v[2] + v[3] < 1.5 and min(v[2:]) > 0
+    is_extent = not (v[2] > v[0] and v[3] > v[1]) and max(v[2:]) <= 1 and v[2] + v[3] < EXTENT_SUM and min(v[2:]) > 0
     for lo, hi, size in ((v[0], v[2], width), (v[1], v[3], height)):
         lo, hi = (min(max(e, 0.0), 1.0) for e in (lo, lo + hi if is_extent else hi))
-        hi = hi if hi > lo else min(1.0, lo + 0.05)
+        hi = hi if hi > lo else min(1.0, lo + LEAST_EXTENT)
         at = round(lo * size)
         sides.append((at, max(1, round(hi * size) - at)))
     return sides[0][0], sides[1][0], sides[0][1], sides[1][1]
@@ -161,7 +163,7 @@ def layout(payload, width: int, height: int) -> list[tuple]:
         state = text(q.get("state")).lower()
         if state not in ("answered", "blank"):
             state = "blank" if q.get("has_student_ink") is False else "answered"
-        sure = round(min(max(number(q.get("confidence") or None, 0.8), 0.0), 1.0), 3)
+        sure = round(min(max(number(q.get("confidence") or None, REGION_SURE), 0.0), 1.0), 3)
         label = text(q.get("label"))
         name = text(q.get("question_id"))
         if name not in best or sure >= best[name][0]:
@@ -171,7 +173,7 @@ def layout(payload, width: int, height: int) -> list[tuple]:
     for i, t in enumerate(listed(payload, "tables")):
         b = box(t.get("bbox_norm") or [0, 0, 1, 1], width, height) if isinstance(t, dict) else None
         if b is not None:
-            tables.append({"index": i, "x": b[0], "y": b[1], "w": b[2], "h": b[3], "confidence": number(t.get("confidence") or None, 0.7), "kind": text(t.get("kind")) or "unknown"})
+            tables.append({"index": i, "x": b[0], "y": b[1], "w": b[2], "h": b[3], "confidence": number(t.get("confidence") or None, TABLE_SURE), "kind": text(t.get("kind")) or "unknown"})
     summary = text(payload.get("page_summary"))
     return [(bool(regions or tables or (summary and not errors)), max(1, whole(payload.get("n_columns") or None) or 1), text(payload.get("reading_order_hint")) or "single", bool(payload.get("override_gutter_prior")), summary, regions, tables, errors)]
 

@@ -59,7 +59,7 @@ def mapped_options(printed: DataFrame, master: DataFrame, sheet: str, question:
     questions = [r[0] for r in m.select(question).distinct().collect()]  # of one exam: a few names
     every = printed.select(sheet).distinct().select(sheet, F.explode(F.array(*map(F.lit, questions)).cast(f"array<{m.schema[question].dataType.simpleString()}>")).alias(question))
     out = every.join(r, [sheet, question], "left")
-    issue = F.when(F.col("_all").isNull(), "question not found on printed pages").when(~F.col("_all"), "printed options are not a permutation of the master's").when(F.col("_letter").isNull(), "no correct option")
+    issue = F.when(F.col("_all").isNull(), "not on the printed pages").when(~F.col("_all"), "not a permutation of the master's options").when(F.col("_letter").isNull(), "no correct option")
     return out.select(sheet, question, F.when(issue.isNull(), F.col("_letter")).alias("letter"), issue.alias("issue"))
 
 
