@@ -129,7 +129,7 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 def rubric(spark: SparkSession, path: str) -> DataFrame:
     """One row per question, missing kinds open and missing sources instructor."""
-    r = spark.read.schema(RUBRIC).option("multiLine", "true").json(path).select("rubric_id", "exam_id", F.coalesce("source", F.lit("instructor")).alias("source"), F.explode("questions").alias("q"))
+    r = spark.read.schema(RUBRIC).option("multiLine", "true").option("pathGlobFilter", "*.json").json(path).select("rubric_id", "exam_id", F.coalesce("source", F.lit("instructor")).alias("source"), F.explode("questions").alias("q"))
     return r.select("rubric_id", "exam_id", "source", "q.*").withColumn("kind", F.coalesce("kind", F.lit("open")))
 
 

@@ -76,6 +76,25 @@ def test_transcripts_round_trip(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "l")).count() == 3
 
 
+def test_stores(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "crop_id string, model string, t int, v string")
+    first = sinks.merged(rows(("a", "m", 1, "old"), ("b", "m", 1, "b"), ("", "m", 1, "x")), str(tmp_path / "s"), ["crop_id", "model"], "t")
+    second = sinks.merged(rows(("a", "m", 1, "new"), ("a", "m", 0, "older"), ("c", "m", 1, "c")), str(tmp_path / "s"), ["crop_id", "model"], "t")
+    read = lambda p: {(r.crop_id, r.v) for r in spark.read.parquet(p).collect()}
+    assert read(first) == {("a", "old"), ("b", "b")} and read(second) == {("a", "new"), ("b", "b"), ("c", "c")} and second.endswith("v1")
+    q = [{"question_id": i, "max_points": 3.0, "kind": k, "question_text": "t", "paths": p} for i, k, p in (("2", "mcq", None), ("10", "open", [{"path_id": "p", "description": "d", "milestones": [{"id": "m1", "description": "", "points": 3.0, "expected": "1/2", "depends_on": [], "abs_tol": None}]}]))]
+    (tmp_path / "r.json").write_text(json.dumps({"rubric_id": "r", "exam_id": "e", "source": "s", "questions": q}))
+    r = files.rubric(spark, str(tmp_path / "r.json"))
+    sinks.rubrics(r, str(tmp_path / "rubrics"))
+    assert sorted(map(str, files.rubric(spark, str(tmp_path / "rubrics")).collect())) == sorted(map(str, r.collect()))
+    t = spark.createDataFrame([("b", "10", "ten", 0.5), ("b", "2", "two", None), ("c", None, None, None)], "booklet_id string, question_id string, interleaved_markdown string, objective_confidence double")
+    sinks.transcript_pages(t, str(tmp_path / "p"))
+    got = {x.booklet_id: x.value for x in spark.read.text(str(tmp_path / "p"), wholetext=True).collect()}
+    assert got["b"] == "## 2\n\ntwo\n\n## 10 (0.50)\n\nten\n\n" and got["c"].startswith("## ?")
+    (tmp_path / "file").write_text("x")
+    assert sinks.ledger(spark.range(1), str(tmp_path / "file" / "below")) is False
+
+
 def test_models(spark):
     req = spark.createDataFrame([("v1", "m", "one"), ("v1", "m", "two"), ("v1", "m", "one"), ("v1", "m", "three")], "prompt_version string, model string, prompt string")
     cache = models.keyed(req.where("prompt = 'one'")).dropDuplicates(["cache_key"]).select("cache_key", F.lit("ONE").alias("response"))
