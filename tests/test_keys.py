@@ -49,10 +49,10 @@ def test_full_rows(spark):
 
 
 def test_names(spark):
-    df = spark.createDataFrame([("google/fam-2-mini",), ("fam-2",), ("other",), (None,)], "m string")
+    df = spark.createDataFrame([("maker/fam-2-mini",), ("fam-2",), ("other",), (None,)], "m string")
     assert [r.x for r in df.select(X.model_family("m", ["fam-2-mini", "fam-2"]).alias("x")).collect()] == ["fam-2-mini", "fam-2", "default", "default"]
-    assert [r.x for r in df.select(X.routed_model("m", "google", "fam-").alias("x")).collect()] == ["google/fam-2-mini", "google/fam-2", "other", None]
-    assert df.select(X.filled('Q {m}: {{}} {n}', m="m", n=F.lit("{m}")).alias("x")).first().x == "Q google/fam-2-mini: {{}} {m}"
+    assert [r.x for r in df.select(X.routed_model("m", "maker", "fam-").alias("x")).collect()] == ["maker/fam-2-mini", "maker/fam-2", "other", None]
+    assert df.select(X.filled('Q {m}: {{}} {n}', m="m", n=F.lit("{m}")).alias("x")).first().x == "Q maker/fam-2-mini: {{}} {m}"
 
 
 def test_pseudonyms(spark):
